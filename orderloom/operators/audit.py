@@ -96,12 +96,10 @@ def worst_multipliers(items: DataFrame, requisitions: DataFrame, n: int = 20) ->
 # Status -----------------------------------------------------------------------
 
 
-def _presence(receipts: DataFrame, notices: DataFrame) -> DataFrame:
-    """Per line, the best evidence: 2 a receipt, 1 a notice."""
-    rows = receipts.select(*LINE_KEYS, F.lit(2).alias("seen")).unionByName(
-        notices.select(*LINE_KEYS, F.lit(1).alias("seen"))
-    )
-    return rows.groupBy(*LINE_KEYS).agg(F.max("seen").alias("item_seen"))
+def _presence(receipts: DataFrame, notices: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Per key, the best evidence: 2 a receipt, 1 a notice."""
+    rows = receipts.select(*keys, F.lit(2).alias(name)).unionByName(notices.select(*keys, F.lit(1).alias(name)))
+    return rows.groupBy(*keys).agg(F.max(name).alias(name))
 
 
 def _expected(seen: str) -> Column:
@@ -111,15 +109,15 @@ def _expected(seen: str) -> Column:
 def _with_evidence(lines: DataFrame, receipts: DataFrame, notices: DataFrame) -> DataFrame:
     """Adds the status expected from evidence on the order and on the line.
 
-    Hot orders or lines of ``lines`` are spread, so it must come from a stored table.
+    The order join comes first, so its placement also serves the line join.  Hot
+    orders or lines of ``lines`` are spread, so it must come from a stored table.
     """
-    per_line = _presence(receipts, notices)
-    per_order = per_line.groupBy("PurchaseOrder").agg(F.max("item_seen").alias("po_seen"))
-    hot = hot_keys(lines, {"line": LINE_KEYS, "order": LINE_KEYS[:1]})
+    order_keys = LINE_KEYS[:1]
+    hot = hot_keys(lines, {"order": order_keys, "line": LINE_KEYS})
     if any(hot.values()):
         lines = with_row_number(lines)
-    joined = left_join(lines, per_line, LINE_KEYS, hot["line"])
-    joined = left_join(joined, per_order, LINE_KEYS[:1], hot["order"])
+    joined = left_join(lines, _presence(receipts, notices, order_keys, "po_seen"), order_keys, hot["order"])
+    joined = left_join(joined, _presence(receipts, notices, LINE_KEYS, "item_seen"), LINE_KEYS, hot["line"])
     return joined.withColumns({"expected_po": _expected("po_seen"), "expected_item": _expected("item_seen")})
 
 
@@ -148,7 +146,7 @@ def _unproven() -> Column:
 def status_sample(summary: DataFrame, receipts: DataFrame, notices: DataFrame, n: int = 25) -> DataFrame:
     """Lines called fulfilled without a receipt of their own; only those are joined."""
     claimed = summary.filter(F.col("CurrentStatus") == FULFILLED).select(*LINE_KEYS, "CurrentStatus")
-    checked = claimed.join(_presence(receipts, notices), LINE_KEYS, "left")
+    checked = claimed.join(_presence(receipts, notices, LINE_KEYS, "item_seen"), LINE_KEYS, "left")
     checked = checked.withColumn("expected_item", _expected("item_seen")).filter(_unproven())
     return top_rows(checked.select(*LINE_KEYS, "CurrentStatus", "expected_item"), LINE_KEYS, n)
 

@@ -360,17 +360,12 @@ def build_fact(inputs: RawInputs, strict_keys: bool = False, find_hot: bool = Tr
     lines, header = item_lines(inputs.items), header_lines(inputs.header)
     hot: dict[str, HotKeys] = {}
     if find_hot:
-        hot = hot_keys(
-            lines,
-            {
-                "order": [PO],
-                "line": [PO, ITEM],
-                "requisition": [PO, "purchase_requisition", "purchase_requisition_item"],
-                "material": ["material"],
-            },
-        )
-        hot |= hot_keys(header, {"supplier": ["supplier"]})
-        if any(hot[k] for k in ("order", "line", "requisition", "material")):
+        hot = hot_keys(lines, {"order": [PO], "material": ["material"]}) | hot_keys(header, {"supplier": ["supplier"]})
+        if hot["order"]:
+            # A hot line or requisition implies a hot order, so they are looked for only here.
+            requisition = [PO, "purchase_requisition", "purchase_requisition_item"]
+            hot |= hot_keys(lines, {"line": [PO, ITEM], "requisition": requisition})
+        if hot["order"] or hot["material"]:
             lines = with_row_number(lines)
         if hot["supplier"]:
             header = with_row_number(header)
@@ -378,7 +373,7 @@ def build_fact(inputs: RawInputs, strict_keys: bool = False, find_hot: bool = Tr
     def found(name: str) -> HotKeys:
         return hot.get(name, HotKeys())
 
-    named_header = attach_supplier(header, inputs.suppliers, found("supplier")).drop(*([ROW] if found("supplier") else []))
+    named_header = attach_supplier(header, inputs.suppliers, found("supplier")).drop(ROW)
     lines = attach_material(lines, inputs.materials, set(inputs.items.columns), found("material"))
     lines = attach_header(lines, named_header, found("order"))
     lines = attach_movements(lines, inputs.receipts, inputs.notices, found("line"))

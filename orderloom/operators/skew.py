@@ -79,7 +79,8 @@ def left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: HotKe
 
     Hot left rows get a slot from their row number.  The matching right rows, at
     most ``MAX_TRACKED`` keys, are repeated once per slot, so each left row still
-    meets each of its right rows exactly once.
+    meets each of its right rows exactly once.  ``left`` must not be partitioned by
+    a part of ``keys``, which holds after a scan or a spread join.
     """
     keys = list(keys)
     if not hot:
@@ -93,5 +94,7 @@ def left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: HotKe
     spread = F.when(left_hot, F.pmod(left[ROW], F.lit(hot.slots)).cast("int")).otherwise(F.lit(0))
     copies = F.when(right_hot, F.sequence(F.lit(0), F.lit(hot.slots - 1))).otherwise(F.array(F.lit(0)))
     salted = left.withColumn(SLOT, spread)
-    repeated = right.withColumn(SLOT, F.explode(copies))
+    # An aggregated right side is already placed by its keys, and Spark would move
+    # the left rows there, slots or not.  Placing it by key and slot prevents that.
+    repeated = right.withColumn(SLOT, F.explode(copies)).repartition(*keys, SLOT)
     return salted.join(repeated, [*keys, SLOT], "left").drop(SLOT)

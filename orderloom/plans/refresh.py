@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,9 @@ from ..operators.fact import RawInputs, build_fact
 from ..operators.mart import build_mart
 from ..sources.store import TableStore
 
+# Raw tables are independent jobs; submitted together they keep the cluster busy.
+CONCURRENT_WRITES = 8
+
 RAW_TABLES = {
     "header": "raw_po_header",
     "items": "raw_po_item",
@@ -47,22 +51,20 @@ def refresh(
     previous = store.current_run()
     result = RefreshResult(store.start_run())
     try:
-        stored = {}
+        sources = dict(extra or {})
         for slot, table in RAW_TABLES.items():
             df = getattr(inputs, slot)
-            if df is not None:
-                stored[slot] = store.write(df, result.run_id, table)
-            elif previous and store.has(table, previous):
-                stored[slot] = store.write(store.read(table, previous), result.run_id, table)
+            if df is None and previous and store.has(table, previous):
+                df = store.read(table, previous)
                 result.stale.append(table)
-        for table, df in (extra or {}).items():
-            store.write(df, result.run_id, table)
-        raw = replace(RawInputs(), **stored)
+            if df is not None:
+                sources[table] = df
+        sources["po_item_overrides"] = store.overrides() if overrides is None else overrides
+        stored = _write_all(store, sources, result)
+        raw = replace(RawInputs(), **{slot: stored[t] for slot, t in RAW_TABLES.items() if t in stored})
         fact = store.write(build_fact(raw, strict_keys), result.run_id, "fact_po_item")
-        edits = store.overrides() if overrides is None else overrides
         # Date order inside each file lets date filters skip row groups.
-        mart = store.write(build_mart(fact, edits), result.run_id, "mart_po_item", ["creation_date"])
-        result.counts = {RAW_TABLES[s]: df.count() for s, df in stored.items()}
+        mart = store.write(build_mart(fact, stored["po_item_overrides"]), result.run_id, "mart_po_item", ["creation_date"])
         result.counts |= {"fact_po_item": fact.count(), "mart_po_item": mart.count()}
         store.finish_run(result.run_id, "success", {**result.counts, "stale": result.stale})
     except Exception as error:
@@ -70,3 +72,16 @@ def refresh(
         raise
     result.seconds = time.monotonic() - started
     return result
+
+
+def _write_all(store: TableStore, sources: dict[str, DataFrame], result: RefreshResult) -> dict[str, DataFrame]:
+    """Write and count independent tables side by side; counts come from the written files' footers."""
+
+    def write(table: str) -> tuple[str, DataFrame, int]:
+        df = store.write(sources[table], result.run_id, table)
+        return table, df, df.count()
+
+    with ThreadPoolExecutor(CONCURRENT_WRITES) as pool:
+        written = list(pool.map(write, sources))
+    result.counts = {table: n for table, _, n in written}
+    return {table: df for table, df, _ in written}

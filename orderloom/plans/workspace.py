@@ -48,7 +48,7 @@ class Workspace:
             self.frames["mart_po_item"] = build_mart(self.frames["fact_po_item"], self.frames["po_item_overrides"])
             return
         self.store = TableStore(spark, f"{folder.rstrip('/')}/orderloom/{uuid.uuid4().hex}")
-        extra = {t: self.frames[t] for t in ("po_item_overrides", "pr_po_summary")}
+        extra = {"pr_po_summary": self.frames["pr_po_summary"]}
         self.run_id = refresh(self.store, inputs, overrides=self.frames["po_item_overrides"], extra=extra).run_id
 
     def table(self, name: str) -> DataFrame:
