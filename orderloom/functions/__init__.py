@@ -11,9 +11,7 @@ from .exprs import (
     not_blank,
     pct,
     round_half_up,
-    safe_date,
     safe_double,
-    safe_int,
 )
 
 __all__ = [
@@ -28,7 +26,5 @@ __all__ = [
     "not_blank",
     "pct",
     "round_half_up",
-    "safe_date",
     "safe_double",
-    "safe_int",
 ]

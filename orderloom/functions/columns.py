@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .exprs import parse_double
 
 
 def find_column(df: DataFrame, candidates: Sequence[str], ignore_case: bool = False) -> str | None:
@@ -33,4 +36,6 @@ def column_or_null(df: DataFrame, candidates: Sequence[str], data_type: str) ->
         return F.lit(None).cast(data_type)
     if df.schema[name].dataType.simpleString() == data_type:
         return df[name]
+    if data_type == "double" and isinstance(df.schema[name].dataType, T.StringType):
+        return parse_double(df[name])
     return df[name].try_cast(data_type)

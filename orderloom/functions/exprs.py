@@ -18,18 +18,17 @@ def round_half_up(value: Column, digits: int = 0) -> Column:
 
 
 def safe_double(value: Column) -> Column:
-    """Double, or NULL when the text is not a number."""
+    """Double, or NULL when the value is not a number."""
     return value.try_cast("double")
 
 
-def safe_int(value: Column) -> Column:
-    """Whole number, halves rounded away from zero, or NULL when it does not parse."""
-    return round_half_up(safe_double(value)).try_cast("int")
+def parse_double(text: Column) -> Column:
+    """Number in a text column, or NULL.
 
-
-def safe_date(value: Column) -> Column:
-    """Date, or NULL when the text is not one."""
-    return value.try_cast("date")
+    A failing cast costs an exception per row, so text without a digit, the usual
+    placeholder for a missing number, does not reach it.
+    """
+    return F.when(text.rlike("[0-9]"), text.try_cast("double"))
 
 
 def exact_sum(value: Column) -> Column:

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import count_where, find_column, safe_double
+from ..functions import column_or_null, count_where, find_column
 from .lists import top_rows
 from .skew import hot_keys, left_join, with_row_number
 
@@ -172,7 +172,7 @@ def missing_supplier_count(summary: DataFrame, suppliers: DataFrame) -> DataFram
 def spend_check(summary: DataFrame) -> DataFrame:
     """Agreement of stated spend with quantity x price; a missing number counts as agreement."""
     qty, price, stated = (
-        safe_double(F.col(c)) for c in ("OrderQuantity", "NetPriceAmount", "TotalEstimatedSpend")
+        column_or_null(summary, [c], "double") for c in ("OrderQuantity", "NetPriceAmount", "TotalEstimatedSpend")
     )
     diff = F.abs(qty * price - stated)
     agrees = F.coalesce(diff, F.lit(0.0)) < 1e-6

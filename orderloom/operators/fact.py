@@ -17,7 +17,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import column_or_null, find_column, round_half_up, safe_double
+from ..functions import column_or_null, find_column, round_half_up
 from ..functions.exprs import exact_sum
 from .skew import ROW, HotKeys, hot_keys, left_join, with_row_number
 
@@ -138,7 +138,7 @@ def _planned_days(items: DataFrame) -> Column:
         return F.lit(None).cast("int")
     if items.schema[name].dataType.simpleString() == "int":
         return items[name]
-    return round_half_up(safe_double(items[name])).try_cast("int")
+    return round_half_up(column_or_null(items, [name], "double")).try_cast("int")
 
 
 # Aggregated sides -------------------------------------------------------------

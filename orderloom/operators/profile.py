@@ -46,13 +46,13 @@ def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def null_profile(df: DataFrame) -> DataFrame:
     """Null percentage of every column, in one pass."""
-    names = df.columns
-    counts = df.agg(lines_count().alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(names)])
-    cells = [
-        F.struct(F.lit(c).alias("column_name"), pct(F.col("_rows") - F.col(f"_{i}"), F.col("_rows")).alias("null_pct"))
-        for i, c in enumerate(names)
-    ]
-    return counts.select(F.inline(F.array(*cells)))
+    filled = F.array(*[F.count(F.col(f"`{c}`")) for c in df.columns])
+    counted = df.agg(lines_count().alias("_rows"), filled.alias("_filled"))
+    names = F.array(*[F.lit(c) for c in df.columns])
+    cells = F.arrays_zip(names.alias("column_name"), F.col("_filled"))
+    return counted.select("_rows", F.inline(cells)).select(
+        "column_name", pct(F.col("_rows") - F.col("_filled"), F.col("_rows")).alias("null_pct")
+    )
 
 
 def schema_profile(df: DataFrame) -> DataFrame:
@@ -140,8 +140,8 @@ def fill_counts(fact: DataFrame) -> DataFrame:
 def kpi_rows(mart: DataFrame) -> DataFrame:
     """KPI row as (metric, value)."""
     kpis = dashboard_kpis(mart)
-    values = kpis.select(*[F.col(c).cast("double").alias(c) for c in kpis.columns])
-    return values.unpivot([], kpis.columns, "metric", "value")
+    cells = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in kpis.columns]
+    return kpis.select(F.inline(F.array(*cells)))
 
 
 def overdue_sample(mart: DataFrame, as_of=None, n: int = 5) -> DataFrame:

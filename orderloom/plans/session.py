@@ -13,6 +13,9 @@ SETTINGS = {
     # Items partitioned by order serve the joins on (order, item) and on
     # (order, requisition, item) without another shuffle of the wide side.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # The JVM interprets methods above 8000 bytes instead of compiling them.  The
+    # fused code of a 50-column row is larger, so let Spark use smaller pieces there.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -48,9 +48,12 @@ def odata_date(value: Column) -> Column:
     """``/Date(ms)/`` anywhere in the text as ``yyyy-MM-dd`` in UTC; other text unchanged.
 
     Day arithmetic on the epoch keeps the result free of the session time zone,
-    and the offset inside the notation is ignored.
+    and the offset inside the notation is ignored.  Most text holds no date: a plain
+    substring test spares it the pattern, and only digits reach the cast, since a
+    failing cast costs an exception per row.
     """
-    millis = F.regexp_extract(value, ODATA_DATE, 1).try_cast("bigint")
+    digits = F.when(value.contains("/Date("), F.nullif(F.regexp_extract(value, ODATA_DATE, 1), F.lit("")))
+    millis = digits.try_cast("bigint")
     days = F.floor(millis / F.lit(MS_PER_DAY)).cast("int")
     text = F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string")
     return F.when(millis <= F.lit(LAST_MILLISECOND), text).otherwise(value)

@@ -92,8 +92,11 @@ OVERRIDES = {
 }
 
 
+TYPES = {t.simpleString(): t for t in (T.StringType(), T.TimestampType(), T.DateType(), T.DoubleType())}
+
+
 def struct_of(columns: dict[str, str]) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in columns.items()))
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in columns.items()])
 
 
 def text_schema(entity: str, *extra: str) -> T.StructType:
