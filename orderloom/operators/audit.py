@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import column_or_null, count_where, find_column
 from .lists import top_rows
-from .skew import hot_keys, left_join, with_row_number
+from .skew import HotKeys, hot_keys, left_join, with_row_number
 
 LINE_KEYS = ["PurchaseOrder", "PurchaseOrderItem"]
 
@@ -106,14 +106,16 @@ def _expected(seen: str) -> Column:
     return F.when(F.col(seen) == 2, FULFILLED).when(F.col(seen) == 1, SHIPPED).otherwise(CREATED)
 
 
-def _with_evidence(lines: DataFrame, receipts: DataFrame, notices: DataFrame) -> DataFrame:
+def _with_evidence(lines: DataFrame, receipts: DataFrame, notices: DataFrame, find_hot: bool) -> DataFrame:
     """Adds the status expected from evidence on the order and on the line.
 
-    The order join comes first, so its placement also serves the line join.  Hot
-    orders or lines of ``lines`` are spread, so it must come from a stored table.
+    The order join comes first, so its placement also serves the line join.  With
+    ``find_hot``, hot orders and lines are spread; ``lines`` must then come from a
+    stored table.
     """
     order_keys = LINE_KEYS[:1]
-    hot = hot_keys(lines, {"order": order_keys, "line": LINE_KEYS})
+    key_sets = {"order": order_keys, "line": LINE_KEYS}
+    hot = hot_keys(lines, key_sets) if find_hot else dict.fromkeys(key_sets, HotKeys())
     if any(hot.values()):
         lines = with_row_number(lines)
     joined = left_join(lines, _presence(receipts, notices, order_keys, "po_seen"), order_keys, hot["order"])
@@ -121,18 +123,22 @@ def _with_evidence(lines: DataFrame, receipts: DataFrame, notices: DataFrame) ->
     return joined.withColumns({"expected_po": _expected("po_seen"), "expected_item": _expected("item_seen")})
 
 
-def expected_status(summary: DataFrame, receipts: DataFrame, notices: DataFrame) -> DataFrame:
+def expected_status(
+    summary: DataFrame, receipts: DataFrame, notices: DataFrame, find_hot: bool = True
+) -> DataFrame:
     lines = summary.select(*LINE_KEYS, "CurrentStatus")
-    return _with_evidence(lines, receipts, notices).select(*lines.columns, "expected_po", "expected_item")
+    return _with_evidence(lines, receipts, notices, find_hot).select(*lines.columns, "expected_po", "expected_item")
 
 
 def _differs(expected: str) -> Column:
     return ~F.col("CurrentStatus").eqNullSafe(F.col(expected))
 
 
-def status_mismatch(summary: DataFrame, receipts: DataFrame, notices: DataFrame) -> DataFrame:
+def status_mismatch(
+    summary: DataFrame, receipts: DataFrame, notices: DataFrame, find_hot: bool = True
+) -> DataFrame:
     """Lines whose status disagrees with the evidence."""
-    return expected_status(summary, receipts, notices).agg(
+    return expected_status(summary, receipts, notices, find_hot).agg(
         count_where(_differs("expected_po")).alias("mismatch_vs_po_level"),
         count_where(_differs("expected_item")).alias("mismatch_vs_item_level"),
         count_where(_unproven()).alias("fulfilled_without_item_receipt"),
@@ -196,7 +202,7 @@ def _as_report(df: DataFrame, section: str, label: str | None = None) -> DataFra
     return df.select(F.lit(section).alias("section"), F.inline(F.array(*cells)))
 
 
-def audit_report(inputs: Mapping[str, DataFrame]) -> DataFrame:
+def audit_report(inputs: Mapping[str, DataFrame], find_hot: bool = True) -> DataFrame:
     """All checks as (section, metric, value); a check without its columns leaves a note."""
     header, items, summary = inputs["raw_po_header"], inputs["raw_po_item"], inputs["pr_po_summary"]
     receipts, notices = inputs["raw_gr"], inputs["raw_asn"]
@@ -214,7 +220,7 @@ def audit_report(inputs: Mapping[str, DataFrame]) -> DataFrame:
     if all(find_column(df, [c]) for df in (summary, receipts, notices) for c in LINE_KEYS) and find_column(
         summary, ["CurrentStatus"]
     ):
-        parts.append(_as_report(status_mismatch(summary, receipts, notices), "status_validation"))
+        parts.append(_as_report(status_mismatch(summary, receipts, notices, find_hot), "status_validation"))
     else:
         notes.append("status validation skipped: columns missing")
     if find_column(summary, ["SupplierID"]):

@@ -110,15 +110,15 @@ _register(
     "material_dedup",
     lambda w: fact.material_names(w.table("raw_material")).withColumnRenamed("master_name", "material_name"),
 )
-_register("po_item_status", lambda w: fact.build_fact(w.raw_inputs()).select(*_LINE, "order_qty", "system_status"))
-_register("fact_po_item", lambda w: fact.build_fact(w.raw_inputs()))
+_register("po_item_status", lambda w: w.fact().select(*_LINE, "order_qty", "system_status"))
+_register("fact_po_item", lambda w: w.fact())
 _register("key_report", lambda w: fact.key_report(w.raw_inputs()))
 
 # Mart and overrides -----------------------------------------------------------
 
 
 def _override_changes(w: Workspace) -> DataFrame:
-    """Edits to fully discounted-out receipts: one per receipt, several for some lines."""
+    """One edit per cancelled receipt, so some lines get several."""
     gr = w.table("raw_gr").filter(F.col("GoodsMovementIsCancelled"))
     return gr.select(
         F.col("PurchaseOrder").alias(fact.PO),
@@ -132,7 +132,7 @@ def _override_changes(w: Workspace) -> DataFrame:
 
 
 _register(
-    "mart_po_item", lambda w: mart.build_mart(fact.build_fact(w.raw_inputs()), w.table("po_item_overrides"))
+    "mart_po_item", lambda w: mart.build_mart(w.fact(), w.table("po_item_overrides"))
 )
 _register("override_upsert", lambda w: mart.upsert_overrides(w.table("po_item_overrides"), _override_changes(w)))
 _register("override_delete", lambda w: mart.delete_overrides(w.table("po_item_overrides"), _override_changes(w)))
@@ -222,13 +222,19 @@ _register("audit_null_rate", lambda w: audit.null_rate(_tables(w, DATED)))
 _on_tables("audit_top_pr_per_po", audit.top_requisitions_per_order, "raw_pr")
 _on_tables("audit_join_explosion", audit.join_explosion, "raw_po_item", "raw_pr")
 _on_tables("audit_worst_multipliers", audit.worst_multipliers, "raw_po_item", "raw_pr")
-_on_tables("audit_expected_status", audit.expected_status, "pr_po_summary", "raw_gr", "raw_asn")
-_on_tables("audit_status_mismatch", audit.status_mismatch, "pr_po_summary", "raw_gr", "raw_asn")
+_register(
+    "audit_expected_status",
+    lambda w: audit.expected_status(w.table("pr_po_summary"), w.table("raw_gr"), w.table("raw_asn"), w.find_hot),
+)
+_register(
+    "audit_status_mismatch",
+    lambda w: audit.status_mismatch(w.table("pr_po_summary"), w.table("raw_gr"), w.table("raw_asn"), w.find_hot),
+)
 _on_tables("audit_status_sample", audit.status_sample, "pr_po_summary", "raw_gr", "raw_asn")
 _on_tables("audit_missing_suppliers", audit.missing_suppliers, "pr_po_summary", "raw_supplier")
 _on_tables("audit_missing_supplier_count", audit.missing_supplier_count, "pr_po_summary", "raw_supplier")
 _on_tables("audit_spend", audit.spend_check, "pr_po_summary")
-_register("audit_report", lambda w: audit.audit_report(_tables(w, AUDITED)))
+_register("audit_report", lambda w: audit.audit_report(_tables(w, AUDITED), w.find_hot))
 
 # Profile ----------------------------------------------------------------------
 

@@ -43,8 +43,10 @@ class Workspace:
         self.store: TableStore | None = None
         folder = _shared_folder(spark)
         inputs = RawInputs(**{slot: self.frames[table] for slot, table in RAW_TABLES.items()})
+        # Spreading hot keys numbers rows, which only a stored table keeps in order.
+        self.find_hot = folder is not None
         if folder is None:
-            self.frames["fact_po_item"] = build_fact(inputs)
+            self.frames["fact_po_item"] = build_fact(inputs, find_hot=False)
             self.frames["mart_po_item"] = build_mart(self.frames["fact_po_item"], self.frames["po_item_overrides"])
             return
         self.store = TableStore(spark, f"{folder.rstrip('/')}/orderloom/{uuid.uuid4().hex}")
@@ -59,6 +61,10 @@ class Workspace:
     def raw_inputs(self) -> RawInputs:
         return RawInputs(**{slot: self.table(table) for slot, table in RAW_TABLES.items()})
 
+    def fact(self) -> DataFrame:
+        """The fact built from the raw tables, not read back."""
+        return build_fact(self.raw_inputs(), find_hot=self.find_hot)
+
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     """The workspace of a folder, built on first use in this application."""
