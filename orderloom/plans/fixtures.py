@@ -7,6 +7,7 @@ for a table or an earlier statement.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -148,3 +149,17 @@ def adapter_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def adapter_ctes() -> dict[str, str]:
     """The same statements with plain table names, for use as common table expressions."""
     return {name: sql.format(**{t: t for t in (*BASE_TABLES, *ADAPTER)}) for name, sql in ADAPTER.items()}
+
+
+def land_pages(header: DataFrame, path: str, page_size: int = 5000) -> None:
+    """Write the header as the source lands it: one page of at most ``page_size`` rows per JSON file.
+
+    Dates take the source's notation.  Pages count rows within a partition, so no
+    group exceeds the page size.
+    """
+    days = F.datediff("CreationDate", F.lit("1970-01-01").cast("date")).cast("bigint")
+    dated = header.withColumn("CreationDate", F.format_string("/Date(%d)/", days * F.lit(86_400_000)))
+    page = F.floor(F.monotonically_increasing_id() / F.lit(page_size))
+    rows = dated.select(page.alias("page"), F.struct(*dated.columns).alias("row"))
+    pages = rows.groupBy("page").agg(F.collect_list("row").alias("results"))
+    pages.select(F.struct("results").alias("d")).write.option("maxRecordsPerFile", 1).json(path)

@@ -362,6 +362,7 @@ def _facts() -> dict[str, str]:
                                     ELSE CAST(CreationDate AS VARCHAR) END AS txt
                         FROM (SELECT *, CAST(epoch_ms(CAST(CreationDate AS TIMESTAMP)) + 3600000 AS VARCHAR) AS t
                               FROM raw_po_header)))""",
+        "ingest_header": "SELECT * FROM raw_po_header",
         "fact_item_header": f"SELECT {line}, {_cols(HEADER_COLUMNS)} FROM wide",
         "gr_per_item": f"SELECT {line}, gr_qty, last_gr_date FROM wide",
         "asn_per_item": f"SELECT {line}, asn_qty, earliest_asn_delivery_date FROM wide",

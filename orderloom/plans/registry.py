@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, fact, lists, mart, profile, rules, search, views
-from ..sources import normalize
+from ..sources.landing import read_odata_pages
+from ..sources.normalize import normalize, odata_dates
+from ..sources.schemas import conform, text_schema
 from .workspace import Workspace, workspace
 
 # The test data ends in 2001; the date stands for "today".
@@ -69,7 +71,18 @@ def _dated_texts(w: Workspace) -> DataFrame:
     return header.select(F.col("PurchaseOrder").alias("purchase_order"), text.alias("date_text"))
 
 
-_register("normalize_odata_dates", lambda w: normalize.odata_dates(_dated_texts(w)))
+_register("normalize_odata_dates", lambda w: odata_dates(_dated_texts(w)))
+
+
+
+def _ingested_header(w: Workspace) -> DataFrame:
+    """Landed header pages read with their select list, normalised and typed."""
+    path = w.landed_header()
+    pages = read_odata_pages(SparkSession.active(), path, text_schema("raw_po_header"))
+    return conform(normalize(pages), "raw_po_header")
+
+
+_register("ingest_header", _ingested_header)
 
 # Fact steps -------------------------------------------------------------------
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.fact import RawInputs, build_fact
 from ..operators.mart import build_mart
 from ..sources.store import TableStore
-from .fixtures import adapter_frames
+from .fixtures import adapter_frames, land_pages
 from .refresh import RAW_TABLES, refresh
 from .session import configure
 
@@ -41,6 +41,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.frames = adapter_frames(spark, sf_dir)
         self.store: TableStore | None = None
+        self._landed = False
         folder = _shared_folder(spark)
         inputs = RawInputs(**{slot: self.frames[table] for slot, table in RAW_TABLES.items()})
         # Spreading hot keys numbers rows, which only a stored table keeps in order.
@@ -58,6 +59,16 @@ class Workspace:
             return self.frames[name]
         return self.store.read(name, self.run_id)
 
+    def landed_header(self) -> str:
+        """Folder of the header as landed page files, written on first use."""
+        if self.store is None:
+            raise RuntimeError("landing pages needs a shared folder: set spark.checkpoint.dir")
+        path = f"{self.store.root}/landing/raw_po_header"
+        if not self._landed:
+            land_pages(self.table("raw_po_header"), path)
+            self._landed = True
+        return path
+
     def raw_inputs(self) -> RawInputs:
         return RawInputs(**{slot: self.table(table) for slot, table in RAW_TABLES.items()})
 
