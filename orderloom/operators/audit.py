@@ -150,11 +150,18 @@ def _unproven() -> Column:
 
 
 def status_sample(summary: DataFrame, receipts: DataFrame, notices: DataFrame, n: int = 25) -> DataFrame:
-    """Lines called fulfilled without a receipt of their own; only those are joined."""
-    claimed = summary.filter(F.col("CurrentStatus") == FULFILLED).select(*LINE_KEYS, "CurrentStatus")
-    checked = claimed.join(_presence(receipts, notices, LINE_KEYS, "item_seen"), LINE_KEYS, "left")
+    """Lines called fulfilled without a receipt of their own.
+
+    Only those are joined, counted per line first, and repeated at the end.
+    """
+    claimed = summary.filter(F.col("CurrentStatus") == FULFILLED).groupBy(*LINE_KEYS, "CurrentStatus")
+    checked = claimed.agg(F.count(F.lit(1)).alias("n")).join(
+        _presence(receipts, notices, LINE_KEYS, "item_seen"), LINE_KEYS, "left"
+    )
     checked = checked.withColumn("expected_item", _expected("item_seen")).filter(_unproven())
-    return top_rows(checked.select(*LINE_KEYS, "CurrentStatus", "expected_item"), LINE_KEYS, n)
+    first = top_rows(checked.select(*LINE_KEYS, "CurrentStatus", "expected_item", "n"), LINE_KEYS, n)
+    times = F.sequence(F.lit(1), F.least(F.col("n"), F.lit(n)).cast("int"))
+    return top_rows(first.withColumn("n", F.explode(times)).drop("n"), LINE_KEYS, n)
 
 
 # Suppliers and spend ----------------------------------------------------------

@@ -73,7 +73,7 @@ def upsert_overrides(overrides: DataFrame, changes: DataFrame) -> DataFrame:
 def delete_overrides(overrides: DataFrame, keys: DataFrame) -> DataFrame:
     """Overrides without the given lines."""
     _check_keys(keys)
-    return overrides.join(keys.select(*OVERRIDE_KEYS), OVERRIDE_KEYS, "left_anti")
+    return overrides.join(keys.select(*OVERRIDE_KEYS).distinct(), OVERRIDE_KEYS, "left_anti")
 
 
 def reference_fill_rate(mart: DataFrame) -> DataFrame:

@@ -248,6 +248,8 @@ def test_audit(audited):
     }
     assert tuple(audit.status_mismatch(*evidence).first()) == (1, 2, 1)
     assert [tuple(r) for r in audit.status_sample(*evidence).collect()] == [("1", "20", "Fulfilled", "Shipped")]
+    doubled = (a["pr_po_summary"].union(a["pr_po_summary"]), *evidence[1:])
+    assert audit.status_sample(*doubled).count() == 2 and audit.status_sample(*doubled, n=1).count() == 1
     assert [tuple(r) for r in audit.missing_suppliers(a["pr_po_summary"], a["raw_supplier"]).collect()] == [("S2", 2)]
     assert tuple(audit.spend_check(a["pr_po_summary"]).first()) == (0.75, 1, 2)
 
