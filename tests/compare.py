@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 import sys
 import time
 
@@ -50,7 +51,7 @@ def main(argv: list[str]) -> int:
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", os.environ.get("COMPARE_PARTITIONS", "8"))
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
