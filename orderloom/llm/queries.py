@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import shard
+from . import shard, simhash
 from .common import table
 
 
+def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_documents(table(spark, sf_dir, "documents"))
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_shard_shuffle,)}
+    return {f.__name__: f for f in (op7_simhash_anchors, op9_shard_shuffle)}
 
 
 def statements() -> dict[str, str]:
