@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import shard, simhash
+from . import mix, shard, simhash
 from .common import table
 
 
+def op4_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.words_taken(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -19,8 +23,8 @@ def op9_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_simhash_anchors, op9_shard_shuffle)}
+    return {f.__name__: f for f in (op4_golden_mix, op7_simhash_anchors, op9_shard_shuffle)}
 
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op4_golden_mix": mix.words_taken_sql()}
