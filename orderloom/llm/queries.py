@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mix, shard, simhash
+from . import decontaminate, mix, shard, simhash
 from .common import table
 
 
@@ -18,12 +18,16 @@ def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_documents(table(spark, sf_dir, "documents"))
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_golden_mix, op7_simhash_anchors, op9_shard_shuffle)}
+    return {f.__name__: f for f in (op4_golden_mix, op7_simhash_anchors, op8_decontaminate, op9_shard_shuffle)}
 
 
 def statements() -> dict[str, str]:
