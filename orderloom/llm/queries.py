@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mix, shard, simhash
+from . import decontaminate, mix, shard, simhash, toxicity
 from .common import table
 
 
@@ -26,8 +26,12 @@ def op9_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_golden_mix, op7_simhash_anchors, op8_decontaminate, op9_shard_shuffle)}
+    return {f.__name__: f for f in (op4_golden_mix, op7_simhash_anchors, op8_decontaminate, op9_shard_shuffle, op10_toxicity_gru)}
 
 
 def statements() -> dict[str, str]:
