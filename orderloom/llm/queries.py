@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mix, shard, simhash, toxicity
+from . import decontaminate, mix, shard, simhash, toxicity, wrapper
 from .common import table
 
 
+def op1_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.words_taken(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_golden_mix, op7_simhash_anchors, op8_decontaminate, op9_shard_shuffle, op10_toxicity_gru)}
+    return {f.__name__: f for f in (op1_wrapper_induction, op4_golden_mix, op7_simhash_anchors, op8_decontaminate, op9_shard_shuffle, op10_toxicity_gru)}
 
 
 def statements() -> dict[str, str]:
