@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, mix, shard, simhash, toxicity, wrapper
+from . import ann, decontaminate, licenses, mix, personal, shard, simhash, toxicity, wrapper
 from .common import table
 
 
@@ -23,6 +23,14 @@ def op4_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.words_taken(table(spark, sf_dir, "documents"))
 
 
+def op5_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.tag_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,7 +48,7 @@ def op10_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wrapper_induction, op3_multi_index_hashing, op4_golden_mix, op7_simhash_anchors, op8_decontaminate, op9_shard_shuffle, op10_toxicity_gru)}
+    return {f.__name__: f for f in (op1_wrapper_induction, op3_multi_index_hashing, op4_golden_mix, op5_semi_markov_pii, op6_license_join, op7_simhash_anchors, op8_decontaminate, op9_shard_shuffle, op10_toxicity_gru)}
 
 
 def statements() -> dict[str, str]:
