@@ -73,7 +73,7 @@ class Mix:
     ):
         self.block_words, self.repeats = block_words, repeats
         self.kept = docs.columns
-        names = {x: free_name(docs, x) for x in ("size", "source_size", "target", "start", "take", "key", "bucket")}
+        names = {x: free_name(docs, x) for x in ("size", "source_size", "target", "start", "take", "key", "bucket", "at", "block")}
         self.names = names
         size_name, start, key, bucket = names["size"], names["start"], names["key"], names["bucket"]
         digits = max(1, math.ceil(math.log(max(1, docs.count() / bucket_rows), 16)))
@@ -144,31 +144,33 @@ class Mix:
         )
 
     def appearances(self) -> DataFrame:
-        """``documents`` once for every pass of their source's stream that the mix reaches, with ``at``, the place of their first word."""
+        """``documents`` once for every pass of their source's stream that the mix reaches, with the place there of their first word."""
         start, size, take, source_size = (F.col(self.names[x]) for x in ("start", "size", "take", "source_size"))
         passes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(self.repeats - 1)), lambda k: start + k * source_size), lambda at: at < take)
-        return self.documents.filter(size > 0).withColumn("at", F.explode(passes))
+        return self.documents.filter(size > 0).withColumn(self.names["at"], F.explode(passes))
 
     def pieces(self) -> DataFrame:
-        """The mix: ``appearances`` by block, with slot, from_word (of the document, from 0) and words taken."""
+        """The mix: columns of ``docs``, size, start, target, source_size, and slot, from_word (of the document, from 0), words taken."""
         size, take = F.col(self.names["size"]), F.col(self.names["take"])
         n = self.block_words
-        end = F.least(F.col("at") + size, take)
-        cut = self.appearances().withColumn("_block", F.explode(F.sequence(F.floor(F.col("at") / n), F.floor((end - 1) / n))))
-        slots = self.schedule().select(F.col("source").alias("_source"), F.col("block").alias("_slot_block"), "slot")
-        low = F.greatest("at", F.col("_block") * n)
-        return (
-            cut.join(slots, cut["source"].eqNullSafe(slots["_source"]) & (cut["_block"] == slots["_slot_block"]))
-            .withColumn("from_word", low - F.col("at"))
-            .withColumn("words", F.least(end, (F.col("_block") + 1) * n) - low)
-            .drop("_source", "_slot_block", "_block")
+        at, block = F.col(self.names["at"]), F.col(self.names["block"])
+        end = F.least(at + size, take)
+        cut = self.appearances().withColumn(self.names["block"], F.explode(F.sequence(F.floor(at / n), F.floor((end - 1) / n))))
+        slots = self.schedule().select(F.col("source").alias("_slot_source"), F.col("block").alias("_slot_block"), F.col("slot").alias("_slot"))
+        low = F.greatest(at, block * n)
+        return cut.join(
+            slots, cut["source"].eqNullSafe(slots["_slot_source"]) & (cut[self.names["block"]] == slots["_slot_block"])
+        ).select(
+            *[cut[c] for c in dict.fromkeys([*self.kept, *(self.names[x] for x in ("size", "start", "target", "source_size"))])],
+            F.col("_slot").alias("slot"), (low - at).alias("from_word"), (F.least(end, (block + 1) * n) - low).alias("words"),
         )
 
     def whole_documents(self) -> DataFrame:
         """The columns of ``docs``: every document once for each time the mix takes its first word."""
-        first = self.appearances().withColumn("_block", F.floor(F.col("at") / self.block_words))
-        slots = self.schedule().select(F.col("source").alias("_source"), F.col("block").alias("_slot_block"))
-        taken = first.join(slots, first["source"].eqNullSafe(slots["_source"]) & (first["_block"] == slots["_slot_block"]), "left_semi")
+        block = self.names["block"]
+        first = self.appearances().withColumn(block, F.floor(F.col(self.names["at"]) / self.block_words))
+        slots = self.schedule().select(F.col("source").alias("_slot_source"), F.col("block").alias("_slot_block"))
+        taken = first.join(slots, first["source"].eqNullSafe(slots["_slot_source"]) & (first[block] == slots["_slot_block"]), "left_semi")
         return taken.select(*self.kept)
 
 

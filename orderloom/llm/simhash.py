@@ -30,6 +30,11 @@ from .components import components
 SEED = 42
 #: Rows of one side that a cell of an anchor compares.
 CELL_ROWS = 8_192
+#: Words of a shingle and similarity of near duplicates; bits by which the word fingerprints of such differ.
+SHINGLE = 5
+SIMILARITY = 0.8
+WORD_BITS = 7
+SKETCH_BITS = 128
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -104,47 +109,98 @@ def _local_roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _compare(cell: pa.Table, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (member, smallest member) among the rows of a cell."""
-    prints = cell.column("print").to_numpy().view(np.uint64)
-    role = cell.column("role").to_numpy()
-    rows = np.unique(prints)
-    homes, others = np.searchsorted(rows, prints[role < 2]), np.searchsorted(rows, prints[role > 0])
+class Bits:
+    """Alike: fingerprints that differ in at most ``threshold`` bits.  A pair meets at the home of one of them."""
+
+    columns = ()
+
+    def __init__(self, threshold: int, block: int):
+        self.threshold, self.block = threshold, block
+
+    def replicas(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, anchor, at home) of every row at every anchor it is compared at."""
+        row, anchor, spent = reachable_anchors(prints, self.block, self.threshold)
+        return row, anchor, spent == 0
+
+    def alike(self, a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+        return np.bitwise_count(a["print"][:, None] ^ b["print"][None, :]) <= self.threshold
+
+
+class PartBits(Bits):
+    """Alike: fingerprints within ``threshold`` bits, 7 at most, whose sketches agree to ``agree`` of their bits.
+
+    Of four quarters one differs in a bit at most.  Every 16-bit word is an anchor, of
+    covering radius 0, for each quarter.  Of two that differ in one bit, the one that has the
+    bit goes to the other's home.
+    """
+
+    columns = ("sketch_0", "sketch_1")
+
+    def __init__(self, threshold: int, agree: float):
+        self.threshold, self.agree = threshold, agree
+
+    def replicas(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, anchors, homes = [], [], []
+        everyone = np.arange(len(prints))
+        for quarter in range(4):
+            word = ((prints >> np.uint64(16 * quarter)) & np.uint64(0xFFFF)).astype(np.int64)
+            rows.append(everyone)
+            anchors.append(word | quarter << 16)
+            homes.append(np.ones(len(prints), dtype=bool))
+            for bit in range(16):
+                some = np.flatnonzero(word >> bit & 1)
+                rows.append(some)
+                anchors.append(word[some] ^ (1 << bit) | quarter << 16)
+                homes.append(np.zeros(len(some), dtype=bool))
+        return np.concatenate(rows), np.concatenate(anchors), np.concatenate(homes)
+
+    def alike(self, a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+        near = super().alike(a, b)
+        x, y = near.nonzero()
+        apart = sum(np.bitwise_count(a[c][x] ^ b[c][y]).astype(np.int64) for c in self.columns)
+        near[x, y] = apart <= (1 - self.agree) * 64 * len(self.columns)
+        return near
+
+
+def _compare(cell: pa.Table, rule: Bits) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, smallest member) among the nodes of a cell."""
+    node, role = cell.column("node").to_numpy(), cell.column("role").to_numpy()
+    columns = {c: cell.column(c).to_numpy().view(np.uint64) for c in ("print", *rule.columns)}
+    nodes, first, index = np.unique(node, return_index=True, return_inverse=True)
+    homes, others = index[role < 2], index[role > 0]
     found_a, found_b = [], []
+    other_rows = {c: v[first[others]] for c, v in columns.items()}
     for at in range(0, len(homes), 512):
         part = homes[at : at + 512]
-        near = np.bitwise_count(rows[part][:, None] ^ rows[others][None, :]) <= threshold
-        x, y = near.nonzero()
+        x, y = rule.alike({c: v[first[part]] for c, v in columns.items()}, other_rows).nonzero()
         keep = part[x] != others[y]
         found_a.append(part[x[keep]])
         found_b.append(others[y[keep]])
     if not found_a:
-        return prints[:0], prints[:0]
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    root = _local_roots(len(rows), a, b)
-    linked = (root != np.arange(len(rows))).nonzero()[0]
-    return rows[linked], rows[root[linked]]
+        return nodes[:0], nodes[:0]
+    root = _local_roots(len(nodes), np.concatenate(found_a), np.concatenate(found_b))
+    linked = (root != np.arange(len(nodes))).nonzero()[0]
+    return nodes[linked], nodes[root[linked]]
 
 
-def fingerprint_links(prints: DataFrame, threshold: int = 2, block: int = 5, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Links u, v between different values of the long column ``print`` that join all within ``threshold`` bits.
+def covering_links(nodes: DataFrame, rule: Bits, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Links u, v between the longs ``node`` of different rows that join all rows alike by ``rule``.
 
-    ``prints`` holds distinct values and is read twice.  Role 0 is compared as home row, 2 as
-    replica, 1 as both.  An anchor of many rows is cut into a grid of cells: home rows are
-    repeated over the replica cuts and replicas over the home cuts.
+    ``nodes`` (node, print and the rule's columns; nodes distinct) is read twice.  Role 0 is
+    compared as home row, 2 as replica, 1 as both.  An anchor of many rows is cut into a grid of
+    cells: home rows are repeated over the replica cuts and replicas over the home cuts.
     """
+    names = ["node", "print", *rule.columns]
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(0).to_numpy().view(np.uint64)
-            for at in range(0, len(values), 20_000):
-                part = values[at : at + 20_000]
-                row, anchor, spent = reachable_anchors(part, block, threshold)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[row].view(np.int64)), pa.array(anchor), pa.array(spent == 0)], ["print", "anchor", "at_home"]
-                )
-
-    near = prints.select("print").mapInArrow(replicate, "print long, anchor long, at_home boolean")
+            for at in range(0, batch.num_rows, 20_000):
+                part = batch.slice(at, 20_000)
+                row, anchor, home = rule.replicas(part.column(1).to_numpy().view(np.uint64))
+                kept = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(anchor), pa.array(home)], [*names, "anchor", "at_home"])
+
+    near = nodes.select(*names).mapInArrow(replicate, ", ".join(f"{c} long" for c in [*names, "anchor"]) + ", at_home boolean")
     cuts = settle(
         near.groupBy("anchor").agg(F.count("*").alias("all"), F.count_if("at_home").alias("homes"))
         .filter("homes > 0 and all > 1")
@@ -154,41 +210,38 @@ def fingerprint_links(prints: DataFrame, threshold: int = 2, block: int = 5, cel
             F.ceil(F.col("all") / cell_rows).cast("int").alias("all_cuts"),
         )
     )
-    slot = F.xxhash64("print")
-    home_slot, all_slot = F.pmod(slot, "home_cuts"), F.pmod(slot, "all_cuts")
+    slot = F.xxhash64("node")
+    home_slot, all_slot = F.pmod(slot, "home_cuts").cast("int"), F.pmod(slot, "all_cuts").cast("int")
 
-    def cell(i: Column, j: Column) -> Column:
-        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    def cell(i: Column, j: Column, role: Column) -> Column:
+        return F.struct(i.alias("i"), j.alias("j"), role.alias("role"))
 
     # (i, j): home rows i against replicas j.  Where there is one cell, a home row goes once.
     one = (F.col("home_cuts") == 1) & (F.col("all_cuts") == 1)
-    as_home = F.transform(F.sequence(F.lit(0), F.col("all_cuts") - 1), lambda j: F.struct(home_slot.cast("int").alias("i"), j.alias("j"), F.lit(0).alias("role")))
-    as_other = F.transform(F.sequence(F.lit(0), F.col("home_cuts") - 1), lambda i: F.struct(i.alias("i"), all_slot.cast("int").alias("j"), F.lit(2).alias("role")))
-    single = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("at_home"), 1).otherwise(2).alias("role")))
+    as_home = F.transform(F.sequence(F.lit(0), F.col("all_cuts") - 1), lambda j: cell(home_slot, j, F.lit(0)))
+    as_other = F.transform(F.sequence(F.lit(0), F.col("home_cuts") - 1), lambda i: cell(i, all_slot, F.lit(2)))
+    single = F.array(cell(F.lit(0), F.lit(0), F.when(F.col("at_home"), 1).otherwise(2)))
+    each = F.when(one, single).when(F.col("at_home"), F.concat(as_home, as_other)).otherwise(as_other)
     cells = (
         near.join(cuts, "anchor")
-        .select("print", "anchor", F.explode(F.when(one, single).when(F.col("at_home"), F.concat(as_home, as_other)).otherwise(as_other)).alias("c"))
-        .select("print", F.xxhash64("anchor", "c.i", "c.j").alias("cell"), "anchor", "c.i", "c.j", F.col("c.role").cast("byte").alias("role"))
+        .select(*names, "anchor", F.explode(each).alias("c"))
+        .select(*names, F.xxhash64("anchor", "c.i", "c.j").alias("cell"), F.col("c.role").cast("byte").alias("role"))
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "cell"):
-            u, v = _compare(group, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _compare(group, rule)], ["u", "v"])
 
-    return (
-        cells.select("print", "cell", "role").repartition("cell").sortWithinPartitions("cell")
-        .mapInArrow(compare, "u long, v long").distinct()
-    )
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "u long, v long").distinct()
 
 
-def component_ids(rows: DataFrame, threshold: int = 2, block: int = 5) -> DataFrame:
-    """print, component_id: the smallest doc_id of the fingerprint's component (rows: doc_id, print)."""
-    lowest = settle(rows.groupBy("print").agg(F.min("doc_id").alias("low")))
-    roots = components(fingerprint_links(lowest, threshold, block)).toDF("print", "root")
-    rooted = lowest.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
+def component_ids(rows: DataFrame, rule: Bits) -> DataFrame:
+    """node, root, component_id: a name of the node's component and its smallest doc_id (rows: doc_id, node, print and the rule's columns)."""
+    lowest = settle(rows.groupBy("node", "print", *rule.columns).agg(F.min("doc_id").alias("low")))
+    roots = components(covering_links(lowest, rule)).toDF("node", "root")
+    rooted = lowest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return settle(rooted.join(ids, "root").select("print", "component_id"))
+    return settle(rooted.join(ids, "root").select("node", "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, threshold: int = 2, block: int = 5) -> DataFrame:
@@ -200,7 +253,67 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, threshold: int = 2, bl
     rows are returned as often as they occur.
     """
     prints = settle(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("print")))
-    ids = component_ids(prints, threshold, block)
-    return prints.join(ids, "print").select(
+    ids = component_ids(prints.withColumn("node", F.col("print")), Bits(threshold, block))
+    return prints.join(ids, prints["print"] == ids["node"]).select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def _sketch_factors() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    return rng.integers(1, 1 << 63, SKETCH_BITS, dtype=np.uint64) | np.uint64(1), rng.integers(1, 1 << 63, SKETCH_BITS, dtype=np.uint64)
+
+
+def sketch(hashes: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
+    """One bit of each of SKETCH_BITS minima of a set; two sets of similarity s agree in (1 + s) / 2 of them."""
+    a, b = factors
+    low = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashes), 2_048):
+            mixed = hashes[at : at + 2_048, None] * a + b
+            low = np.minimum(low, (mixed ^ (mixed >> np.uint64(31))).min(axis=0))
+        # A bit that does not depend on the minima being small.
+        bits = np.packbits(((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(bool))
+    return int.from_bytes(bits[:8].tobytes(), "big", signed=True), int.from_bytes(bits[8:].tobytes(), "big", signed=True)
+
+
+def _marks(text: Column) -> Column:
+    """print of a text's words and the sketch of its word shingles."""
+    factors = _sketch_factors()
+
+    @F.pandas_udf("struct<print:long,sketch_0:long,sketch_1:long>")
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for value in texts:
+            value = value or b""
+            words = np.array([xxhash.xxh64_intdigest(w, SEED) for w in value.lower().split()], dtype=np.uint64)
+            out.append((majority_bits(words), *sketch(np.unique(shingle_hashes(value, SHINGLE)), factors)))
+        return pd.DataFrame(out, columns=["print", "sketch_0", "sketch_1"], dtype="int64")
+
+    return marks.asNondeterministic()(text.cast("binary"))
+
+
+def one_of_each(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` but for near duplicates: of each group the row of smallest doc_id stays.
+
+    Texts are near duplicates if their sets of five-word shingles have a similarity of
+    ``similarity``, as estimated by sketches, and groups are what such links join.
+    Candidates are texts whose word fingerprints differ in at most WORD_BITS bits.  Texts without
+    words are one group.  Of rows equal in doc_id and text one stays; a null doc_id goes first.
+    """
+    mark, count, here_mark = (free_name(docs, x) for x in ("_mark", "_copies", "_here"))
+    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), _marks(F.col("text")).alias("m")).select("doc_id", "mark", "m.*")
+    rows = settle(marked.withColumn("node", F.xxhash64("print", "sketch_0", "sketch_1")))
+    # Half the disagreement that the similarity leaves, and one deviation of the estimate.
+    agree = (1 + similarity) / 2 - math.sqrt((1 - similarity**2) / 4 / SKETCH_BITS)
+    ids = component_ids(rows, PartBits(WORD_BITS, agree))
+    copies = rows.groupBy("node", "doc_id", "mark").agg(F.count("*").alias("copies"))
+    low = copies.groupBy("node").agg(F.min(F.struct("doc_id", "mark", "copies")).alias("low"))
+    kept = settle(low.join(ids, "node").groupBy("root").agg(F.min("low").alias("low")).select("low.*"))
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("mark").alias(mark), F.col("copies").alias(count))
+    here = docs.withColumn(here_mark, F.xxhash64("text"))
+    same = here["doc_id"].eqNullSafe(kept["_kept_id"]) & (here[here_mark] == kept[mark])
+    joined = here.join(kept, same).select(*[here[c] for c in docs.columns], kept[count], kept[mark])
+    once = joined.filter(F.col(count) == 1).select(*docs.columns)
+    again = joined.filter(F.col(count) > 1).dropDuplicates(["doc_id", mark]).select(*docs.columns)
+    return once.unionByName(again)
