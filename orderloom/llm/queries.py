@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, licenses, mix, personal, shard, simhash, toxicity, wrapper
+from . import ann, decontaminate, licenses, mix, personal, separators, shard, simhash, toxicity, wrapper
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -48,7 +52,7 @@ def op10_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wrapper_induction, op3_multi_index_hashing, op4_golden_mix, op5_semi_markov_pii, op6_license_join, op7_simhash_anchors, op8_decontaminate, op9_shard_shuffle, op10_toxicity_gru)}
+    return {f.__name__: f for f in (op1_wrapper_induction, op2_separator_scan, op3_multi_index_hashing, op4_golden_mix, op5_semi_markov_pii, op6_license_join, op7_simhash_anchors, op8_decontaminate, op9_shard_shuffle, op10_toxicity_gru)}
 
 
 def statements() -> dict[str, str]:
