@@ -26,10 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: Pages that must agree on a node's text before it counts as template.
 LEAST_PAGES = 3
 #: Share of the smaller tree that must match for a shape to join a cluster.
 LEAST_MATCH = 0.5
+#: Wrappers up to this size are sent to all tasks; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 #: Elements of the HTML standard by their part in the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -458,15 +462,20 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return stats.groupBy("host").applyInPandas(induce, "host string, shape string, content array<int>")
 
 
-@F.pandas_udf("struct<shape:string,blocks:array<struct<slot:int,text:string>>>")
-def _blocks(pages: pd.Series) -> pd.DataFrame:
-    shapes, blocks = [], []
-    for page in pages:
-        tree = fold(parse(page or ""))
-        shapes.append(tree.shape())
-        placed = sorted((b[0], number, b[1]) for number, node in enumerate(slots(tree)) for b in node.blocks)
-        blocks.append([{"slot": number, "text": text} for _, number, text in placed])
-    return pd.DataFrame({"shape": shapes, "blocks": blocks})
+def page_blocks(page: Column) -> Column:
+    """shape of a page and its blocks in page order: slot, text."""
+
+    @F.pandas_udf("struct<shape:string,blocks:array<struct<slot:int,text:string>>>")
+    def read(pages: pd.Series) -> pd.DataFrame:
+        shapes, blocks = [], []
+        for value in pages:
+            tree = fold(parse(value or ""))
+            shapes.append(tree.shape())
+            placed = sorted((b[0], number, b[1]) for number, node in enumerate(slots(tree)) for b in node.blocks)
+            blocks.append([{"slot": number, "text": text} for _, number, text in placed])
+        return pd.DataFrame({"shape": shapes, "blocks": blocks})
+
+    return read.asNondeterministic()(page)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -475,9 +484,12 @@ def extract(pages: DataFrame) -> DataFrame:
     Null and empty pages and pages without content have an empty text; a null or odd URL is
     the empty host.  Repeated rows are returned as often as they occur.
     """
-    read = pages.select("page_id", "url", page_host(F.col("url")).alias("host"), _blocks.asNondeterministic()(F.col("html")).alias("page"))
+    read = pages.select("page_id", "url", page_host(F.col("url")).alias("host"), page_blocks(F.col("html")).alias("page"))
     read = read.select("page_id", "url", "host", "page.shape", "page.blocks")
-    wrapper = wrappers(pages)
+    wrapper = settle(wrappers(pages))
+    held = wrapper.agg(F.sum(F.octet_length("host") + F.octet_length("shape") + 4 * F.size("content") + 64)).first()[0] or 0
+    if held <= BROADCAST_BYTES:
+        wrapper = F.broadcast(wrapper)
     chosen = F.filter("blocks", lambda b: F.array_contains("content", b["slot"]))
     return (
         read.join(wrapper, ["host", "shape"], "left")
