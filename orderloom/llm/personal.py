@@ -371,8 +371,11 @@ def tagged_spans(docs: DataFrame, **options) -> DataFrame:
 def tag_documents(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row; repeated rows are tagged alike."""
     rows = docs.select("doc_id", tag(F.col("text"), fit(docs, **options)).alias("t"))
-    counts = [F.size(F.filter("t.base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return rows.select("doc_id", *counts, F.sha2("t.base_text", 256).alias("base_sha256"), F.col("t.spans_text").alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("t.base", lambda span: span["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return rows.select("doc_id", *map(count, KINDS), F.sha2("t.base_text", 256).alias("base_sha256"), F.col("t.spans_text").alias("spans"))
 
 
 def digest(spans: list[Span]) -> str:
