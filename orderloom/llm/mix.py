@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, words_in
+from .common import free_name, settle, words_in
 
 #: Words a block holds, rows a bucket of a source holds on average, slots a chunk holds.
 BLOCK_WORDS = 2_048
@@ -87,7 +87,7 @@ class Mix:
         offsets = totals.withColumn("words", F.coalesce(F.sum("words").over(before), F.lit(0)))
         targets = source_targets(totals.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total_share, repeats)
         #: One row per source: source, source_size, target, take (whole words to take).
-        self.sources = targets.withColumn("take", F.round("target").cast("long"))
+        self.sources = settle(targets.withColumn("take", F.round("target").cast("long")))
         held = self.sources.select(
             F.col("source").alias("_source"), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]), F.col("take").alias(names["take"])
         )
@@ -176,7 +176,8 @@ class Mix:
 
 def words_taken(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of ``docs``; a document without words has taken 0."""
-    rows = docs.select("doc_id", "source", words_in(F.col("text")).alias("size"))
+    # Four numbers a document, read several times; the texts are read once.
+    rows = settle(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")))
     mix = Mix(rows, size=F.col("size"), **options)
     columns = ["doc_id", "source", "size", "source_size", "target", "start"]
     named = mix.documents.withColumnsRenamed({mix.names[x]: x for x in ("source_size", "target", "start") if mix.names[x] != x})
