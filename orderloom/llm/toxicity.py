@@ -6,13 +6,14 @@ A forward and a backward gated recurrent layer read windows of words, attention
 window's states, and a text's score is that of its worst window.  All windows of the whole
 text are scored; neighbouring windows overlap by ``WINDOW - STRIDE`` words.
 
-The network is trained in numpy on a bounded sample of labelled texts: up to
+The network is trained in numpy by one task on a bounded sample of labelled texts: up to
 ``SAMPLE_PER_CLASS`` of the two classes, those of smallest hash.  Weights of evidence are
 cross-fitted while it trains, so it learns how far to trust them on new texts.
 """
 
 from __future__ import annotations
 
+import io
 import re
 import zlib
 from dataclasses import dataclass
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample, settle
+
 WINDOW = 64
 STRIDE = 48
 HIDDEN = 8
@@ -237,6 +240,23 @@ class Scorer:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1, 6 * HIDDEN), dtype=np.float32)
 
+    def dump(self) -> bytes:
+        arrays = {"shift": np.array(self.shift)}
+        if self.network is not None:
+            arrays |= {"words": self.evidence.words, "grams": self.evidence.grams, **{f"p_{k}": v for k, v in self.network.p.items()}}
+        file = io.BytesIO()
+        np.savez(file, **arrays)
+        return file.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> "Scorer":
+        held = np.load(io.BytesIO(data))
+        if "words" not in held:
+            return cls(None, None, float(held["shift"]))
+        network = Network()
+        network.p = {k[2:]: held[k] for k in held if k.startswith("p_")}
+        return cls(Evidence(held["words"], held["grams"]), network, float(held["shift"]))
+
     def _numbers(self, words: list[str]) -> np.ndarray:
         if len(self.known) > CACHE_WORDS:
             self.known, self.rows = {}, self.rows[:1]
@@ -343,23 +363,31 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: tuple[int, int] = SAMPLE_PER_CLASS, seed: int = 0) -> Scorer:
     """Trains on up to ``per_class`` labelled texts (clean, toxic), those of smallest hash.
 
-    Null ids and labels are left out; an id with several labels is toxic if one of them is.
+    One task trains on the sample; the driver gets the model.  Null ids and labels are left
+    out; an id with several labels is toxic if one of them is.
     """
     marks = (
         labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
+    marks = settle(marks)
     counted = {int(k): n for k, n in marks.groupBy(F.least("toxic", F.lit(1)).alias("toxic")).count().collect()}
-    order = F.xxhash64(F.lit(seed), "doc_id")
     sample = None
     for label in (0, 1):
-        part = marks.filter(F.col("toxic") == label).orderBy(order, "doc_id").limit(per_class[label])
+        part = hash_sample(marks.filter(F.least("toxic", F.lit(1)) == label), per_class[label], "doc_id", seed=seed)
         sample = part if sample is None else sample.union(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").collect()
     total = sum(counted.values())
     share = (counted.get(1, 0) + 0.5) / (total + 1)
-    return train([split_words(r["text"]) for r in rows], np.array([int(r["toxic"] > 0) for r in rows], dtype=int), share, seed)
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "text"])
+        words = [split_words(text) for text in rows["text"]]
+        return pd.DataFrame({"model": [train(words, (rows["toxic"] > 0).to_numpy(dtype=int), share, seed).dump()]})
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    model = rows.groupBy().applyInPandas(learn, "model binary").first()
+    return Scorer.load(model["model"]) if model else train([], np.empty(0), share)
 
 
 def toxicity(text: Column, scorer: Scorer) -> Column:
