@@ -2,7 +2,7 @@
 
 A document's fingerprint is the bitwise majority of the hashes of its word shingles.
 Anchors are the code words of a covering code: the fingerprint's leading bits are cut
-into blocks of odd length and each block is covered by the repetition code, so the
+into blocks of odd length (3 at least) and each block is covered by the repetition code, so the
 nearest anchor is one majority bit per block.  A fingerprint's home is its nearest
 anchor.  A partner within the threshold has a home that can be reached by flipping that
 many bits; so each fingerprint is replicated to those anchors, all of them within covering
