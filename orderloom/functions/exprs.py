@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Decimal places kept when money and quantities are summed.
-MICRO = 1_000_000
+# Sums of doubles: units of a limb, and numbers from which on a double has no fraction.
+LIMB = float(1 << 30)
+WHOLE_LIMIT = float(1 << 53)
 
 
 def round_half_up(value: Column, digits: int = 0) -> Column:
@@ -32,18 +33,26 @@ def parse_double(text: Column) -> Column:
 
 
 def exact_sum(value: Column) -> Column:
-    """SUM of a double column to six decimals; NULL when nothing was summed.
+    """SUM of a double column that does not depend on row order; NULL when nothing was summed.
 
-    A sum of doubles depends on the order rows arrive in, which a shuffle does not
-    fix.  Whole units and millionths are summed as two BIGINTs instead: exact, an
-    error on overflow, and about ten times faster than summing decimals.  NaN
-    counts as missing.
+    Each number is cut into whole units and three limbs of 30 bits after the point, which
+    are summed as BIGINTs and added smallest first.  Cutting at powers of two is exact, so
+    nothing is rounded before the end and one row gives back its own value (below 2**-37 to
+    90 bits after the point).  NaN counts as missing.  Where a number is infinite or
+    beyond 2**53, or a limb's sum leaves BIGINT, the plain sum of doubles is taken.
     """
     number = F.nanvl(value, F.lit(None).cast("double"))
-    whole = number.cast("bigint")
-    millionths = F.floor((number - whole) * F.lit(float(MICRO)) + F.lit(0.5))
-    units, rest = F.sum(whole).cast("decimal(20,0)"), F.sum(millionths).cast("decimal(20,0)")
-    return (units + rest / F.lit(MICRO).cast("decimal(7,0)")).cast("double")
+    small = F.abs(number) < F.lit(WHOLE_LIMIT)
+    rest = F.when(small, number)
+    limbs = []
+    for digits in range(4):
+        limb = rest.cast("bigint") if digits < 3 else F.rint(rest).cast("bigint")
+        limbs.append(F.try_sum(limb))
+        rest = (rest - limb.cast("double")) * F.lit(LIMB)
+    total = limbs[3].cast("double")
+    for limb in reversed(limbs[:3]):
+        total = total / F.lit(LIMB) + limb.cast("double")
+    return F.when(F.count_if(~small) == 0, F.coalesce(total, F.sum(number))).otherwise(F.sum(number))
 
 
 def money_sum(value: Column) -> Column:

@@ -199,47 +199,81 @@ def spend_check(summary: DataFrame) -> DataFrame:
 # Report -----------------------------------------------------------------------
 
 
-def _as_report(df: DataFrame, section: str, label: str | None = None) -> DataFrame:
-    """Long form: one row per measure, prefixed with the row's label."""
-    measures = [c for c in df.columns if c != label]
-    prefix = F.concat(F.coalesce(F.col(label).cast("string"), F.lit("?")), F.lit(".")) if label else F.lit("")
-    cells = [
-        F.struct(F.concat(prefix, F.lit(c)).alias("metric"), F.col(c).cast("string").alias("value")) for c in measures
-    ]
+def _as_report(df: DataFrame, section: str, *labels: str) -> DataFrame:
+    """Long form: one row per measure, its name after the row's labels; numbers and texts in columns of their own."""
+    kinds = dict(df.dtypes)
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in labels]
+    cells = []
+    for c in (c for c in df.columns if c not in labels):
+        text = kinds[c] == "string"
+        cells.append(
+            F.struct(
+                F.concat_ws(".", *named, F.lit(c)).alias("metric"),
+                (F.lit(None) if text else F.col(c)).cast("double").alias("number"),
+                (F.col(c) if text else F.lit(None)).cast("string").alias("value"),
+            )
+        )
     return df.select(F.lit(section).alias("section"), F.inline(F.array(*cells)))
 
 
+def _sampled(sample: DataFrame) -> DataFrame:
+    """The sample's different lines and how often each is in it."""
+    return sample.groupBy(*sample.columns).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def audit_report(inputs: Mapping[str, DataFrame], find_hot: bool = True) -> DataFrame:
-    """All checks as (section, metric, value); a check without its columns leaves a note."""
-    header, items, summary = inputs["raw_po_header"], inputs["raw_po_item"], inputs["pr_po_summary"]
-    receipts, notices = inputs["raw_gr"], inputs["raw_asn"]
-    requisitions, suppliers = inputs["raw_pr"], inputs["raw_supplier"]
-    dated = {"raw_po_header": header, "raw_po_item": items, "pr_po_summary": summary, "raw_supplier": suppliers}
-    parts = [
-        _as_report(row_counts(inputs), "row_counts", "input"),
-        _as_report(duplicates(header, items, summary), "duplicates", "key"),
-        _as_report(null_rate(dated), "creation_date_nulls", "input"),
-        _as_report(top_requisitions_per_order(requisitions), "top_requisitions_per_order", "PurchaseOrder"),
-        _as_report(join_explosion(items, requisitions), "join_explosion"),
-        _as_report(worst_multipliers(items, requisitions), "worst_multipliers", "PurchaseOrder"),
-    ]
-    notes = []
-    if all(find_column(df, [c]) for df in (summary, receipts, notices) for c in LINE_KEYS) and find_column(
-        summary, ["CurrentStatus"]
-    ):
-        parts.append(_as_report(status_mismatch(summary, receipts, notices, find_hot), "status_validation"))
-    else:
-        notes.append("status validation skipped: columns missing")
-    if find_column(summary, ["SupplierID"]):
-        parts.append(_as_report(missing_suppliers(summary, suppliers), "missing_suppliers", "SupplierID"))
-        parts.append(_as_report(missing_supplier_count(summary, suppliers), "missing_suppliers"))
-    else:
-        notes.append("supplier coverage skipped: SupplierID missing")
-    if {"OrderQuantity", "NetPriceAmount", "TotalEstimatedSpend"} <= set(summary.columns):
-        parts.append(_as_report(spend_check(summary), "spend_validation"))
+    """All checks as (section, metric, number, value); a check without its input or columns leaves a note."""
+    spark = next(iter(inputs.values())).sparkSession
+    parts, notes = [], []
+
+    def check(title: str, needs: Mapping[str, Sequence[str]], build) -> None:
+        lacks = [
+            n if n not in inputs else f"{n} without {', '.join(c for c in columns if find_column(inputs[n], [c]) is None)}"
+            for n, columns in needs.items()
+            if n not in inputs or any(find_column(inputs[n], [c]) is None for c in columns)
+        ]
+        if lacks:
+            notes.append(f"{title} skipped: {'; '.join(lacks)}")
+        else:
+            parts.extend(build(*[inputs[n] for n in needs]))
+
+    order, line, supplier = LINE_KEYS[:1], LINE_KEYS, "Supplier"
+    evidence = {"pr_po_summary": [*line, "CurrentStatus"], "raw_gr": line, "raw_asn": line}
+    spend = ["OrderQuantity", "NetPriceAmount", "TotalEstimatedSpend"]
+    dated = {n: inputs[n] for n in ("raw_po_header", "raw_po_item", "pr_po_summary", "raw_supplier") if n in inputs}
+    parts.append(_as_report(row_counts(inputs), "row_counts", "input"))
+    for name, table, keys in (("po_header", "raw_po_header", order), ("po_item", "raw_po_item", line), ("pr_po_summary", "pr_po_summary", line)):
+        check(f"duplicates of {name}", {table: keys}, lambda df, k=keys, n=name: [_as_report(duplicate_counts(df, k, n), "duplicates", "key")])
+    if dated:
+        parts.append(_as_report(null_rate(dated), "creation_date_nulls", "input"))
+    check("requisitions per order", {"raw_pr": order}, lambda pr: [_as_report(top_requisitions_per_order(pr), "top_requisitions_per_order", *order)])
+    check(
+        "join explosion",
+        {"raw_po_item": order, "raw_pr": order},
+        lambda items, pr: [
+            _as_report(join_explosion(items, pr), "join_explosion"),
+            _as_report(worst_multipliers(items, pr), "worst_multipliers", *order),
+        ],
+    )
+    check(
+        "status validation",
+        evidence,
+        lambda *tables: [
+            _as_report(status_mismatch(*tables, find_hot), "status_validation"),
+            _as_report(_sampled(status_sample(*tables)), "status_sample", *line),
+        ],
+    )
+    check(
+        "supplier coverage",
+        {"pr_po_summary": ["SupplierID"], "raw_supplier": [supplier]},
+        lambda summary, known: [
+            _as_report(missing_suppliers(summary, known), "missing_suppliers", "SupplierID"),
+            _as_report(missing_supplier_count(summary, known), "missing_suppliers"),
+        ],
+    )
+    check("spend validation", {"pr_po_summary": spend}, lambda summary: [_as_report(spend_check(summary), "spend_validation")])
     report = _union(parts)
     if notes:
-        spark = header.sparkSession
-        rows = [("notes", f"note_{i}", text) for i, text in enumerate(notes, 1)]
+        rows = [("notes", f"note_{i}", None, text) for i, text in enumerate(notes, 1)]
         report = report.unionByName(spark.createDataFrame(rows, report.schema))
     return report

@@ -74,12 +74,15 @@ def spend_timeline(mart: DataFrame, n: int = 18, latest: bool = False, by_month:
     return top_rows(points, ["-label"] if latest else ["label"], n)
 
 
-def top_suppliers(mart: DataFrame, n: int = 10) -> DataFrame:
+def labelled_suppliers(mart: DataFrame) -> DataFrame:
     extras = ["supplier", "spend_share_pct", "delivered_lines", "open_lines", "avg_days_to_asn"]
-    labelled = spend_by_supplier(mart).select(
+    return spend_by_supplier(mart).select(
         F.coalesce("supplier_name", "supplier").alias("label"), F.col("total_spend").alias("value"), *extras
     )
-    return top_rows(labelled, ["-value"], n)
+
+
+def top_suppliers(mart: DataFrame, n: int = 10) -> DataFrame:
+    return top_rows(labelled_suppliers(mart), ["-value"], n)
 
 
 def top_material_groups(mart: DataFrame, n: int = 10) -> DataFrame:

@@ -47,7 +47,7 @@ def upsert_overrides(overrides: DataFrame, changes: DataFrame) -> DataFrame:
 
     Value columns absent from ``changes`` become NULL and an absent ``updated_at``
     becomes the present time.  The newest change is an aggregate, so many changes
-    to one line combine before the shuffle.  Rows without both keys are dropped.
+    to one line combine before the shuffle.  A row without both keys is an error.
     """
     _check_keys(changes)
     present = set(changes.columns)
@@ -60,9 +60,9 @@ def upsert_overrides(overrides: DataFrame, changes: DataFrame) -> DataFrame:
             for c in OVERRIDE_VALUES
         ],
     )
-    keyed = filled.filter(
-        (F.coalesce(F.col(PO), F.lit("")) != "") & (F.coalesce(F.col(ITEM), F.lit("")) != "")
-    )
+    named = (F.coalesce(F.col(PO), F.lit("")) != "") & (F.coalesce(F.col(ITEM), F.lit("")) != "")
+    absent = F.raise_error(F.lit("override changes need purchase_order and purchase_order_item in every row"))
+    keyed = filled.filter(F.when(named, F.lit(True)).otherwise(absent.cast("boolean")))
     order = ["updated_at", *[c for c in OVERRIDE_VALUES if c != "updated_at"]]
     newest = keyed.groupBy(*OVERRIDE_KEYS).agg(F.max(F.struct(*order)).alias("last"))
     latest = newest.select(*OVERRIDE_KEYS, *[F.col(f"last.{c}").alias(c) for c in OVERRIDE_VALUES])

@@ -23,7 +23,7 @@ ADAPTER: dict[str, str] = {
     "raw_po_header": """
         SELECT CAST(o.o_orderkey AS VARCHAR(20)) AS PurchaseOrder,
                CAST(o.o_custkey % (SELECT COUNT(*) FROM {supplier}) AS VARCHAR(20)) AS Supplier,
-               CAST(o.o_orderdate AS DATE) AS CreationDate,
+               CASE WHEN o.o_orderkey % 211 <> 9 THEN CAST(o.o_orderdate AS DATE) END AS CreationDate,
                'USD' AS DocumentCurrency,
                CASE WHEN o.o_orderkey % 3 <> 0
                     THEN CONCAT('45', LPAD(CAST(o.o_orderkey AS VARCHAR(20)), 8, '0')) END AS CorrespncExternalReference,
@@ -50,7 +50,7 @@ ADAPTER: dict[str, str] = {
                CONCAT('P', CAST(s_nationkey AS VARCHAR(20))) AS Plant,
                CAST(NULL AS VARCHAR(20)) AS StorageLocation,
                CASE WHEN l_partkey % 5 <> 0 THEN p_name END AS PurchaseOrderItemText,
-               l_quantity AS OrderQuantity,
+               CASE WHEN l_partkey % 101 = 0 THEN NULL WHEN l_linenumber = 3 THEN l_quantity / 3.0 ELSE l_quantity END AS OrderQuantity,
                'EA' AS PurchaseOrderQuantityUnit,
                p_retailprice AS NetPriceAmount,
                l_extendedprice AS NetAmount,
@@ -74,7 +74,9 @@ ADAPTER: dict[str, str] = {
     "raw_gr": """
         SELECT CAST(l_orderkey AS VARCHAR(20)) AS PurchaseOrder,
                CAST(l_linenumber * 10 AS VARCHAR(20)) AS PurchaseOrderItem,
-               l_quantity * CASE WHEN l_tax > 0.04 THEN 0.5 ELSE 1.0 END AS QuantityInBaseUnit,
+               CASE WHEN l_linenumber = 3 THEN l_quantity / 3.0
+                    WHEN l_linenumber = 2 AND l_tax < 0.01 THEN 0.0000003
+                    ELSE l_quantity * CASE WHEN l_tax > 0.04 THEN 0.5 ELSE 1.0 END END AS QuantityInBaseUnit,
                CAST(l_shipdate AS DATE) AS PostingDate,
                CASE WHEN l_returnflag = 'R' THEN '102' WHEN l_linenumber = 6 THEN NULL ELSE '101' END AS GoodsMovementType,
                CASE WHEN l_linenumber = 5 THEN NULL ELSE (l_discount > 0.085) END AS GoodsMovementIsCancelled
@@ -84,7 +86,8 @@ ADAPTER: dict[str, str] = {
     "raw_asn": """
         SELECT CAST(l.l_orderkey AS VARCHAR(20)) AS PurchaseOrder,
                CAST(l.l_linenumber * 10 AS VARCHAR(20)) AS PurchaseOrderItem,
-               l.l_quantity * CASE WHEN l.l_discount < 0.03 THEN 0.5 ELSE 1.0 END AS ConfirmedQuantity,
+               l.l_quantity * CASE WHEN l.l_discount < 0.03 THEN 0.5 ELSE 1.0 END
+                   / CASE WHEN l.l_linenumber = 3 THEN 3.0 ELSE 1.0 END AS ConfirmedQuantity,
                CAST(CAST(o.o_orderdate AS DATE)
                     + CAST(((o.o_custkey % (SELECT COUNT(*) FROM {supplier})) % 10) * 20 + l.l_linenumber AS INTEGER)
                     AS DATE) AS DeliveryDate
@@ -107,6 +110,12 @@ ADAPTER: dict[str, str] = {
                s_name AS OrganizationBPName1
         FROM {supplier}
         WHERE s_suppkey % 11 <> 7
+        UNION ALL
+        SELECT CAST(s_suppkey AS VARCHAR(20)) AS Supplier,
+               CONCAT(s_name, ' Ltd') AS SupplierName,
+               CONCAT(s_name, ' Ltd') AS OrganizationBPName1
+        FROM {supplier}
+        WHERE s_suppkey % 10 = 3
     """,
     "raw_material": """
         SELECT CAST(p_partkey AS VARCHAR(20)) AS Material, p_name AS MaterialName FROM {part} WHERE p_partkey % 9 <> 4
@@ -127,7 +136,7 @@ ADAPTER: dict[str, str] = {
     "pr_po_summary": """
         SELECT CAST(l_orderkey AS VARCHAR(20)) AS PurchaseOrder,
                CAST(l_linenumber * 10 AS VARCHAR(20)) AS PurchaseOrderItem,
-               CASE WHEN l_linestatus = 'F' THEN 'Fulfilled' WHEN l_returnflag = 'N' THEN 'Shipped' ELSE 'PO Created' END AS CurrentStatus,
+               CASE WHEN l_linestatus = 'F' OR l_orderkey % 97 = 5 THEN 'Fulfilled' WHEN l_returnflag = 'N' THEN 'Shipped' ELSE 'PO Created' END AS CurrentStatus,
                CAST(l_suppkey AS VARCHAR(20)) AS SupplierID,
                CASE WHEN l_linenumber = 7 THEN 'n/a' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR(20)) END AS OrderQuantity,
                p_retailprice AS NetPriceAmount,
@@ -158,7 +167,7 @@ def land_pages(header: DataFrame, path: str, page_size: int = 5000) -> None:
     group exceeds the page size.
     """
     days = F.datediff("CreationDate", F.lit("1970-01-01").cast("date")).cast("bigint")
-    dated = header.withColumn("CreationDate", F.format_string("/Date(%d)/", days * F.lit(86_400_000)))
+    dated = header.withColumn("CreationDate", F.when(days.isNotNull(), F.format_string("/Date(%d)/", days * F.lit(86_400_000))))
     page = F.floor(F.monotonically_increasing_id() / F.lit(page_size))
     rows = dated.select(page.alias("page"), F.struct(*dated.columns).alias("row"))
     pages = rows.groupBy("page").agg(F.collect_list("row").alias("results"))

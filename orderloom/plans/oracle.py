@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..operators.fact import FACT_COLUMNS, HEADER_COLUMNS, ITEM_COLUMNS
 from ..operators.mart import MART_COLUMNS
-from ..operators.profile import FILL_COLUMNS
+from ..operators.profile import FILL_COLUMNS, TRACKED
 from ..operators.rules import HIDDEN, SEVERITY
 from ..operators.search import DATASET_RESULT, REFERENCE_FIELDS, SEARCH_RESULT, SEARCHED
 from ..operators.views import OVERDUE_COLUMNS, REFERENCE_COLUMNS
@@ -22,7 +22,15 @@ def _cols(names) -> str:
 
 
 def _exact(column: str) -> str:
-    return f"CAST(SUM(CAST({column} AS DECIMAL(28,6))) AS DOUBLE)"
+    """Sum in whole units and three limbs of 30 bits after the point, as HUGEINT: exact, whatever the row order."""
+    rest, limbs = f"CAST({column} AS DOUBLE)", []
+    for _ in range(3):
+        limbs.append(f"SUM(CAST(trunc({rest}) AS BIGINT))::DOUBLE")
+        rest = f"(({rest} - trunc({rest})) * 1073741824::DOUBLE)"
+    total = f"SUM(CAST(round_even({rest}, 0) AS BIGINT))::DOUBLE"
+    for limb in reversed(limbs):
+        total = f"({total} / 1073741824::DOUBLE + {limb})"
+    return total
 
 
 def _money(column: str) -> str:
@@ -64,6 +72,7 @@ def _renamed(columns: dict, table: str) -> str:
     return ", ".join(f"{table}.{names[0]} AS {c}" for c, (names, _) in columns.items() if names[0] != "PurchaseOrderItemCategory")
 
 
+# Columns of the views.
 BY_SUPPLIER = (
     "supplier supplier_name purchasing_org pos lines total_spend spend_share_pct delivered_lines open_lines"
     " avg_days_to_asn"
@@ -95,22 +104,24 @@ SHARED: dict[str, str] = {
                MIN(DeliveryDate) AS day, MIN(MaterialGroup_Text) AS txt
         FROM raw_pr GROUP BY ALL""",
     "described": "SELECT Material AS material, MIN(MaterialName) AS material_name FROM raw_material GROUP BY ALL",
-    "wide": f"""
+    "plain": f"""
         SELECT i.PurchaseOrder AS purchase_order, i.PurchaseOrderItem AS purchase_order_item,
                {_renamed(HEADER_COLUMNS, "h")}, {_renamed(ITEM_COLUMNS, "i")},
                CAST(NULL AS VARCHAR) AS item_category,
                i.PlannedDeliveryDurationInDays AS planned_delivery_days,
-               s.SupplierName AS supplier_name, d.material_name AS master_name,
+               d.material_name AS master_name,
                w.day AS pr_requested_delivery_date, w.txt AS material_group_text,
                COALESCE(m.qty, 0) AS gr_qty, m.last_day AS last_gr_date,
                COALESCE(a.qty, 0) AS asn_qty, a.first_day AS earliest_asn_delivery_date
         FROM raw_po_item i
         LEFT JOIN raw_po_header h USING (PurchaseOrder)
-        LEFT JOIN raw_supplier s ON s.Supplier = h.Supplier
         LEFT JOIN described d ON d.material = i.Material
         LEFT JOIN moved_in m ON (m.po, m.item) = (i.PurchaseOrder, i.PurchaseOrderItem)
         LEFT JOIN announced a ON (a.po, a.item) = (i.PurchaseOrder, i.PurchaseOrderItem)
         LEFT JOIN wanted w ON (w.po, w.pr, w.pri) = (i.PurchaseOrder, i.PurchaseRequisition, i.PurchaseRequisitionItem)""",
+    "wide": """
+        SELECT p.*, s.SupplierName AS supplier_name
+        FROM plain p LEFT JOIN raw_supplier s ON s.Supplier = p.supplier""",
     "judged": """
         SELECT *, purchase_requisition AS customer_pr, purchase_requisition_item AS customer_pr_item,
                COALESCE(master_name, item_text) AS material_name,
@@ -145,10 +156,10 @@ SHARED: dict[str, str] = {
                avg_days_to_asn, {_share("delivered_lines", "lines")} AS delivery_rate_pct,
                ROUND(open_lines * COALESCE(avg_days_to_asn, 0), 0) AS risk_score,
                CASE WHEN (avg_days_to_asn > 120) IS TRUE
-                      OR (open_lines > 100 AND avg_days_to_asn > 60) IS TRUE THEN 'High'
-                    WHEN (avg_days_to_asn >= 45 AND avg_days_to_asn <= 120) IS TRUE OR open_lines > 30 THEN 'Medium'
-                    ELSE 'Low' END || ' Risk' AS risk_tier
-        FROM by_supplier WHERE lines > 4""",
+                      OR (open_lines > 100 AND avg_days_to_asn > 60) IS TRUE THEN 'High Risk'
+                    WHEN (avg_days_to_asn >= 45 AND avg_days_to_asn <= 120) IS TRUE OR open_lines > 30 THEN 'Medium Risk'
+                    ELSE 'Low Risk' END AS risk_tier
+        FROM by_supplier WHERE lines >= 5""",
     "by_month": f"""
         SELECT strftime(creation_date, '%Y-%m') AS year_month, purchasing_org,
                {_distinct("purchase_order")} AS pos, COUNT(*) AS lines, ROUND({_money("spend")}, 2) AS spend,
@@ -167,7 +178,7 @@ SHARED: dict[str, str] = {
                      {_n("Fully Delivered")} AS delivered_lines, {_n("PO Created")} AS pending_lines,
                      AVG(days_po_to_asn) AS raw_days, AVG(planned_delivery_days) AS raw_planned
               FROM live GROUP BY ALL)
-        WHERE total_lines > 4""",
+        WHERE total_lines >= 5""",
     "overdue": f"""
         SELECT {_cols(OVERDUE_COLUMNS)}
         FROM (SELECT *, date_diff('day', creation_date, DATE '{reg.AS_OF}') AS age_days FROM live)
@@ -255,7 +266,7 @@ def _charts() -> dict[str, str]:
         "top_suppliers": _top(TOP_SUPPLIERS, supplier_columns, ["-value"], 10),
         "top_material_groups": _top(TOP_GROUPS, ["label", "value", "lines", "supplier_count"], ["-value"], 10),
         "top_supplier_risk": _top(TOP_RISK, ["label", "value", *RISK_EXTRAS], ["-value"], 15),
-        "chart_series": f"SELECT {filled} FROM ({_top(TOP_SUPPLIERS, supplier_columns, ['-value'], 1000)})",
+        "chart_series": f"SELECT {filled} FROM {TOP_SUPPLIERS}",
     }
 
 
@@ -363,12 +374,13 @@ def _facts() -> dict[str, str]:
                         FROM (SELECT *, CAST(epoch_ms(CAST(CreationDate AS TIMESTAMP)) + 3600000 AS VARCHAR) AS t
                               FROM raw_po_header)))""",
         "ingest_header": "SELECT * FROM raw_po_header",
-        "fact_item_header": f"SELECT {line}, {_cols(HEADER_COLUMNS)} FROM wide",
-        "gr_per_item": f"SELECT {line}, gr_qty, last_gr_date FROM wide",
-        "asn_per_item": f"SELECT {line}, asn_qty, earliest_asn_delivery_date FROM wide",
+        "fact_item_header": f"SELECT {line}, {_cols(HEADER_COLUMNS)} FROM plain",
+        "gr_per_item": f"SELECT {line}, gr_qty, last_gr_date FROM plain",
+        "asn_per_item": f"SELECT {line}, asn_qty, earliest_asn_delivery_date FROM plain",
         "pr_per_item": f"""
-            SELECT {line}, customer_pr, customer_pr_item, pr_requested_delivery_date, material_group_text
-            FROM judged""",
+            SELECT {line}, purchase_requisition AS customer_pr, purchase_requisition_item AS customer_pr_item,
+                   pr_requested_delivery_date, material_group_text
+            FROM plain""",
         "supplier_lookup": """
             SELECT h.PurchaseOrder AS purchase_order, h.Supplier AS supplier, s.SupplierName AS supplier_name
             FROM raw_po_header h LEFT JOIN raw_supplier s USING (Supplier)""",
@@ -443,7 +455,7 @@ def _audits() -> dict[str, str]:
             ]
         ),
         "audit_null_rate": """
-            SELECT 'raw_po_header' AS input, 1.0 - COUNT(CreationDate) / COUNT(*) AS null_rate FROM raw_po_header
+            SELECT 'raw_po_header' AS input, count_if(CreationDate IS NULL) / COUNT(*) AS null_rate FROM raw_po_header
             UNION ALL SELECT 'raw_po_item', NULL
             UNION ALL SELECT 'pr_po_summary', count_if(CreationDate IS NULL) / COUNT(*) FROM pr_po_summary
             UNION ALL SELECT 'raw_supplier', NULL""",
@@ -480,6 +492,42 @@ def _audits() -> dict[str, str]:
     }
 
 
+def _report(audits: dict[str, str]) -> str:
+    """The other audit statements in long form."""
+
+    def long(section, key, labels, numbers, texts=()):
+        label = " || '.' || ".join([*(f"COALESCE({c}, '?')" for c in labels), "'{}'"])
+        return [
+            f"SELECT '{section}' AS section, {label.format(c)} AS metric, {n} AS number, {v} AS value FROM ({audits[key]})"
+            for c, n, v in [
+                *((c, f"CAST({c} AS DOUBLE)", "CAST(NULL AS VARCHAR)") for c in numbers),
+                *((c, "CAST(NULL AS DOUBLE)", c) for c in texts),
+            ]
+        ]
+
+    counted = f"""
+        SELECT PurchaseOrder, PurchaseOrderItem, CurrentStatus, expected_item, COUNT(*) AS rows
+        FROM ({audits["audit_status_sample"]}) GROUP BY ALL"""
+    audits = audits | {"counted": counted}
+    mismatches = ["mismatch_vs_po_level", "mismatch_vs_item_level", "fulfilled_without_item_receipt"]
+    line = ["PurchaseOrder", "PurchaseOrderItem"]
+    return " UNION ALL ".join(
+        [
+            *long("row_counts", "audit_row_counts", ["input"], ["rows"]),
+            *long("duplicates", "audit_duplicates", ["key"], ["duplicates", "unique_keys"]),
+            *long("creation_date_nulls", "audit_null_rate", ["input"], ["null_rate"]),
+            *long("top_requisitions_per_order", "audit_top_pr_per_po", line[:1], ["pr_items"]),
+            *long("join_explosion", "audit_join_explosion", [], ["estimated_rows"]),
+            *long("worst_multipliers", "audit_worst_multipliers", line[:1], ["items_per_po", "pr_items_per_po", "multiplier"]),
+            *long("status_validation", "audit_status_mismatch", [], mismatches),
+            *long("status_sample", "counted", line, ["rows"], ["CurrentStatus", "expected_item"]),
+            *long("missing_suppliers", "audit_missing_suppliers", ["SupplierID"], ["lines"]),
+            *long("missing_suppliers", "audit_missing_supplier_count", [], ["missing_suppliers"]),
+            *long("spend_validation", "audit_spend", [], ["exact_match_share", "rows_diff_gt_0_01", "rows_with_missing"]),
+        ]
+    )
+
+
 def _profiles() -> dict[str, str]:
     def probe(table, field, order):
         return f"""
@@ -491,13 +539,14 @@ def _profiles() -> dict[str, str]:
                        AS samples
             FROM {table}"""
 
-    tables = {t: t for t in reg.AUDITED} | {"fact_po_item": "fact", "mart_po_item": "mart"}
+    tables = {t: t for t in reg.STORED} | {"fact_po_item": "fact", "mart_po_item": "mart"}
     inventory = " UNION ALL ".join(
         f"""SELECT '{name}' AS table_name, (SELECT COUNT(*) FROM {t}) AS rows, COUNT(*)::INTEGER AS columns
             FROM (SELECT unnest(map_keys(cells)) FROM (
                 SELECT from_json(to_json(r), '"map(varchar, varchar)"') AS cells FROM {t} r LIMIT 1))"""
         for name, t in tables.items()
     )
+    kinds = "WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp'"
     overdue_sample = (
         "purchase_order supplier material_name creation_date age_days planned_delivery_days dashboard_status"
     ).split()
@@ -507,6 +556,12 @@ def _profiles() -> dict[str, str]:
             f"SELECT '{c}' AS column_name, {_share(f'count_if({c} IS NULL)', 'COUNT(*)')} AS null_pct FROM mart"
             for c in MART_COLUMNS
         ),
+        "schema_profile": " UNION ALL ".join(
+            f"""SELECT '{c}' AS column_name, {_share(f'count_if({c} IS NULL)', 'COUNT(*)')} AS null_pct,
+                       CASE typeof(MIN({c})) {kinds} ELSE lower(typeof(MIN({c}))) END AS data_type,
+                       '{'tracked' if c in TRACKED else ''}' AS note FROM mart"""
+            for c in MART_COLUMNS
+        ),
         "sample_rows": _top("mart", MART_COLUMNS, [], 3),
         "field_probe": " UNION ALL ".join(
             [
@@ -553,9 +608,10 @@ def _rules() -> dict[str, str]:
             FROM (SELECT purchase_order, MIN(list_position({ranks}, dashboard_status)) AS place FROM mart GROUP BY 1)""",
         "ageing_business_days": f"""
             SELECT purchase_order, purchase_order_item, creation_date, dashboard_status,
+                   CASE WHEN creation_date IS NOT NULL THEN
                    (SELECT COUNT(*) FROM (SELECT CAST(x AS DATE) AS day FROM generate_series(
                         TIMESTAMP '1995-01-01', TIMESTAMP '{reg.AS_OF}', INTERVAL 1 DAY) t(x))
-                    WHERE day > creation_date AND isodow(day) NOT IN (5, 6) AND day NOT IN ({holidays}))
+                    WHERE day > creation_date AND isodow(day) NOT IN (5, 6) AND day NOT IN ({holidays})) END
                        AS ageing_business_days
             FROM mart""",
         "restricted_projection": f"""
@@ -569,4 +625,5 @@ def statements() -> dict[str, str]:
     bodies = (
         _facts() | _views() | _charts() | _lists() | _searches() | _audits() | _profiles() | _rules()
     )
+    bodies["audit_report"] = _report(_audits())
     return {key: prefix + body for key, body in bodies.items()}

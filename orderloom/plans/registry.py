@@ -171,7 +171,7 @@ _on_mart("spend_timeline_latest", lists.spend_timeline, latest=True, by_month=Tr
 _on_mart("top_suppliers", lists.top_suppliers)
 _on_mart("top_material_groups", lists.top_material_groups)
 _on_mart("top_supplier_risk", lists.top_supplier_risk)
-_on_mart("chart_series", lambda m: lists.chart_series(lists.top_suppliers(m, 1000)))
+_on_mart("chart_series", lambda m: lists.chart_series(lists.labelled_suppliers(m)))
 _on_mart("list_suppliers", lists.list_suppliers)
 _on_mart("list_supplier_risk", lists.list_supplier_risk)
 _on_mart("trend", lists.trend)
@@ -218,6 +218,7 @@ _on_mart("order_detail", search.order_detail, DETAIL_PO)
 # Audit ------------------------------------------------------------------------
 
 AUDITED = ("raw_po_header", "raw_po_item", "raw_gr", "raw_asn", "raw_pr", "raw_supplier", "pr_po_summary")
+STORED = (*AUDITED, "raw_material", "po_item_overrides")
 DATED = ("raw_po_header", "raw_po_item", "pr_po_summary", "raw_supplier")
 
 
@@ -253,7 +254,7 @@ _register("audit_report", lambda w: audit.audit_report(_tables(w, AUDITED), w.fi
 
 PROBED = ("raw_pr", "raw_po_item", "raw_po_header", "fact_po_item", "mart_po_item")
 
-_register("table_inventory", lambda w: profile.table_inventory(_tables(w, (*AUDITED, "fact_po_item", "mart_po_item"))))
+_register("table_inventory", lambda w: profile.table_inventory(_tables(w, (*STORED, "fact_po_item", "mart_po_item"))))
 _on_mart("null_profile", profile.null_profile)
 _on_mart("schema_profile", profile.schema_profile)
 _on_mart("sample_rows", profile.sample_rows)

@@ -10,7 +10,9 @@ import time
 
 import duckdb
 
-TABLES = "region nation customer supplier part orders lineitem".split()
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:

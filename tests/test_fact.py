@@ -169,8 +169,6 @@ def test_upsert_and_delete(spark, overrides):
             ("1", "10", "old", None, None, None, NOON),
             ("1", "10", "new", None, None, None, later),
             ("7", "10", "x", "y", None, None, NOON),
-            (None, "10", "bad", None, None, None, NOON),
-            ("7", "", "bad", None, None, None, NOON),
         ],
         CHANGE,
     )
@@ -183,6 +181,10 @@ def test_upsert_and_delete(spark, overrides):
     assert key_rows(delete_overrides(added, changes.filter("purchase_order = '7'"))) == key_rows(overrides)
     with pytest.raises(ValueError):
         upsert_overrides(overrides, changes.drop("purchase_order"))
+    for keys in ((None, "10"), ("7", "")):
+        keyless = spark.createDataFrame([(*keys, "bad", None, None, None, NOON)], CHANGE)
+        with pytest.raises(Exception, match="in every row"):
+            upsert_overrides(overrides, changes.union(keyless)).collect()
 
 
 def test_change_without_time_gets_the_present(spark, overrides):

@@ -5,9 +5,10 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from orderloom.plans import oracle, registry
 from tests.compare import duck, oracle_rows, spark_rows
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.registered(), oracle.statements()
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +17,8 @@ def con(sf_dir):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) == set(QUERIES)
+    assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_returns_the_headline_row(spark, sf_dir):

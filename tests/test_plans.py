@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from orderloom.plans import registry
 from orderloom.operators.fact import build_fact
 from orderloom.plans.workspace import workspace
 
@@ -18,7 +19,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(set(entry.queries()) - {"audit_report"}))
+@pytest.mark.parametrize("key", sorted(set(registry.registered()) - {"audit_report"}))
 def test_no_python_and_no_cartesian(spark, sf_dir, key):
     text = plan(entry.queries()[key](spark, sf_dir))
     assert not re.search(r"Python|CartesianProduct|BroadcastNestedLoopJoin|Window", text)

@@ -55,6 +55,11 @@ def test_rounding_and_exact_sum(spark):
     assert [r[0] for r in df.select(round_half_up(F.col("x"))).collect()] == [1.0, 3.0, -3.0, None]
     tricky = spark.createDataFrame([(0.1,), (0.2,), (-0.3,), (1e9 + 0.123456,), (float("nan"),), (None,)], "x double")
     assert tricky.agg(exact_sum(F.col("x"))).first()[0] == 1000000000.123456
+    for alone in (1 / 3, -1 / 3, 3e-7, 1e-9, 2.0**52 + 0.5, 1e300, float("inf"), 12345.678901234567):
+        one = spark.createDataFrame([(alone,), (None,)], "x double")
+        assert one.agg(exact_sum(F.col("x"))).first()[0] == alone
+    many = spark.createDataFrame([(1e16,), (1.0,), (1e19,), (-1e16,)], "x double")
+    assert many.agg(exact_sum(F.col("x"))).first()[0] == pytest.approx(1e19)
     assert tricky.filter("x is null").agg(exact_sum(F.col("x"))).first()[0] is None
     assert find_column(df, ["y", "X"], ignore_case=True) == "x" and find_column(df, ["X"]) is None
 
