@@ -53,6 +53,9 @@ class Workspace:
         self.store = TableStore(spark, f"{folder.rstrip('/')}/orderloom/{uuid.uuid4().hex}")
         extra = {"pr_po_summary": self.frames["pr_po_summary"]}
         self.run_id = refresh(self.store, inputs, overrides=self.frames["po_item_overrides"], extra=extra).run_id
+        # The copy is this application's own and goes with it.
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.store.root)
+        root.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(root)
 
     def table(self, name: str) -> DataFrame:
         if self.store is None or name == "fx_item_src":
