@@ -160,6 +160,14 @@ def adapter_ctes() -> dict[str, str]:
     return {name: sql.format(**{t: t for t in (*BASE_TABLES, *ADAPTER)}) for name, sql in ADAPTER.items()}
 
 
+def land_arrays(rows: DataFrame, path: str, page_size: int = 5000) -> None:
+    """Write rows as files that each hold one JSON array of at most ``page_size`` rows."""
+    page = F.floor(F.monotonically_increasing_id() / F.lit(page_size))
+    pages = rows.select(page.alias("page"), F.struct(*rows.columns).alias("row"))
+    arrays = pages.groupBy("page").agg(F.to_json(F.collect_list("row")).alias("value"))
+    arrays.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def land_pages(header: DataFrame, path: str, page_size: int = 5000) -> None:
     """Write the header as the source lands it: one page of at most ``page_size`` rows per JSON file.
 

@@ -255,7 +255,15 @@ def _charts() -> dict[str, str]:
     filled = ", ".join(
         c if c in ("label", "supplier") else f"COALESCE({c}, 0) AS {c}" for c in supplier_columns
     )
-    return {
+    zero = "COALESCE(COLUMNS(* EXCLUDE ({})), 0), {}"
+    shown = {
+        "status_distribution": ("status_distribution", "label"),
+        "spend_timeline": ("spend_timeline", "label"),
+        "top_suppliers": ("top_suppliers", "label, supplier"),
+        "spend_by_material_group": ("top_material_groups", "label"),
+        "supplier_risk": ("top_supplier_risk", "label, risk_tier"),
+    }
+    charts = {
         "status_distribution": "SELECT dashboard_status AS label, COUNT(*) AS value FROM mart GROUP BY 1",
         "spend_timeline": _top(
             "(SELECT year_month AS label, spend AS value, pos FROM by_month)", ["label", "value", "pos"], ["label"], 18
@@ -268,6 +276,7 @@ def _charts() -> dict[str, str]:
         "top_supplier_risk": _top(TOP_RISK, ["label", "value", *RISK_EXTRAS], ["-value"], 15),
         "chart_series": f"SELECT {filled} FROM {TOP_SUPPLIERS}",
     }
+    return charts | {f"dashboard_{k}": f"SELECT {zero.format(texts, texts)} FROM ({charts[c]})" for k, (c, texts) in shown.items()}
 
 
 def _lists() -> dict[str, str]:
@@ -374,6 +383,9 @@ def _facts() -> dict[str, str]:
                         FROM (SELECT *, CAST(epoch_ms(CAST(CreationDate AS TIMESTAMP)) + 3600000 AS VARCHAR) AS t
                               FROM raw_po_header)))""",
         "ingest_header": "SELECT * FROM raw_po_header",
+        "json_array_suppliers": "SELECT * FROM raw_supplier",
+        "csv_round_trip": f"""
+            SELECT {line}, status_override, '"a", ' || chr(10) || owner AS owner, note FROM po_item_overrides""",
         "fact_item_header": f"SELECT {line}, {_cols(HEADER_COLUMNS)} FROM plain",
         "gr_per_item": f"SELECT {line}, gr_qty, last_gr_date FROM plain",
         "asn_per_item": f"SELECT {line}, asn_qty, earliest_asn_delivery_date FROM plain",
@@ -625,5 +637,6 @@ def statements() -> dict[str, str]:
     bodies = (
         _facts() | _views() | _charts() | _lists() | _searches() | _audits() | _profiles() | _rules()
     )
+    bodies["json_report_round_trip"] = bodies["audit_null_rate"]
     bodies["audit_report"] = _report(_audits())
     return {key: prefix + body for key, body in bodies.items()}

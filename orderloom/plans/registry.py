@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, fact, lists, mart, profile, rules, search, views
-from ..sources.landing import read_odata_pages
+from ..sources.landing import read_json_array, read_odata_pages
 from ..sources.normalize import normalize, odata_dates
 from ..sources.schemas import conform, text_schema
+from ..sources.sinks import export_csv, write_report
+from .fixtures import land_arrays
 from .workspace import Workspace, workspace
 
 # The test data ends in 2001; the date stands for "today".
@@ -84,6 +86,37 @@ def _ingested_header(w: Workspace) -> DataFrame:
 
 _register("ingest_header", _ingested_header)
 
+
+
+def _supplier_arrays(w: Workspace) -> DataFrame:
+    """Suppliers landed as JSON arrays, found in the second folder that is tried."""
+    rows, path = w.table("raw_supplier"), w.output("arrays")
+    land_arrays(rows, f"{path}/supplier.json")
+    return read_json_array(SparkSession.active(), "supplier.json", [f"{path}/absent", path], rows.schema)
+
+
+def _exported_overrides(w: Workspace) -> DataFrame:
+    """Overrides with quotes, commas and line ends in a text, exported as CSV and read back."""
+    path = w.output("overrides_csv")
+    quoted = w.table("po_item_overrides").select(
+        fact.PO, fact.ITEM, "status_override", F.concat(F.lit('"a", \n'), "owner").alias("owner"), "note"
+    )
+    export_csv(quoted, path)
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+    return SparkSession.active().read.schema(quoted.schema).options(**options).csv(path)
+
+
+def _written_report(w: Workspace) -> DataFrame:
+    """Missing shares written as a JSON report and read back."""
+    report, path = audit.null_rate(_tables(w, DATED)), w.output("report")
+    write_report(report, path)
+    return SparkSession.active().read.schema(report.schema).json(path)
+
+
+_register("json_array_suppliers", _supplier_arrays)
+_register("csv_round_trip", _exported_overrides)
+_register("json_report_round_trip", _written_report)
+
 # Fact steps -------------------------------------------------------------------
 
 _LINE = [fact.PO, fact.ITEM]
@@ -172,6 +205,8 @@ _on_mart("top_suppliers", lists.top_suppliers)
 _on_mart("top_material_groups", lists.top_material_groups)
 _on_mart("top_supplier_risk", lists.top_supplier_risk)
 _on_mart("chart_series", lambda m: lists.chart_series(lists.labelled_suppliers(m)))
+for _name in ("status_distribution", "spend_timeline", "top_suppliers", "spend_by_material_group", "supplier_risk"):
+    _on_mart(f"dashboard_{_name}", lambda m, name=_name: lists.dashboard(m)[name])
 _on_mart("list_suppliers", lists.list_suppliers)
 _on_mart("list_supplier_risk", lists.list_supplier_risk)
 _on_mart("trend", lists.trend)

@@ -72,6 +72,12 @@ class Workspace:
             self._landed = True
         return path
 
+    def output(self, name: str) -> str:
+        """Folder for files that a query writes and reads back."""
+        if self.store is None:
+            raise RuntimeError("writing files needs a shared folder: set spark.checkpoint.dir")
+        return f"{self.store.root}/output/{name}"
+
     def raw_inputs(self) -> RawInputs:
         return RawInputs(**{slot: self.table(table) for slot, table in RAW_TABLES.items()})
 
