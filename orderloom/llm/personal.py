@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 KINDS = ("email", "ip", "card", "phone")
 #: Texts with digits or "@" that the training reads at most, and stretches it takes of them.
 SAMPLE_TEXTS = 2_000
@@ -341,8 +343,7 @@ def spans_text(spans: list[Span]) -> str:
 def fit(docs: DataFrame, *, texts: int = SAMPLE_TEXTS, seed: int = 0) -> Field:
     """Trains on up to ``texts`` texts with a digit or "@", those of smallest hash."""
     rows = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
-    sample = rows.orderBy(F.xxhash64(F.lit(seed), "doc_id", "text"), "doc_id").limit(texts).select("text").collect()
-    return train([r["text"] for r in sample], seed)
+    return train([r["text"] for r in hash_sample(rows, texts, "doc_id", "text", seed=seed).collect()], seed)
 
 
 def tag(text: Column, field: Field) -> Column:
