@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, sorted_groups
+from .common import hash_sample, settle, sorted_groups
 
 #: Vectors the fit reads at most, and queries among them that set the radius.
 SAMPLE = 4_096
@@ -192,7 +192,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, seed: int = 0)
     total, asked, longest = rows.agg(F.count("*"), F.count_if(is_query), F.max(norm)).first()
     index_rows = min(INDEX_ROWS[1], max(INDEX_ROWS[0], total // 16))
     blocks, query_blocks = max(1, math.ceil(total / index_rows)), max(1, math.ceil(asked / QUERY_ROWS))
-    sample = [r["vector"] for r in rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id", "key").limit(SAMPLE).select("vector").collect()]
+    sample = [r["vector"] for r in hash_sample(rows.select("vec_id", "key", "vector"), SAMPLE, "vec_id", "key", seed=seed).collect()]
     hasher = train(np.array(sample, dtype=np.float64), longest, k, seed) if sample else Hasher(np.empty(0), 0.0)
 
     def spread(frame: DataFrame, asks: bool) -> DataFrame:
