@@ -1,10 +1,13 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination by word-pair anchors and Smith-Waterman alignment.
 
-The n-grams of the test items are counted over all documents.  In each window of
-neighbouring n-grams of an item the rarest is a seed, so any run of ``SEED_WORDS +
-WINDOW - 1`` words copied from an item holds a seed whatever the counts are.  Seeds found
-in a document anchor the item on it; around each anchor the item is aligned with the
-document's words, which scores copies with words changed, left out or put in.
+An alignment of m matched words and e edits scores 2m - e.  If that is ``threshold`` of the
+best score 2n of an item of n words, at most m - threshold * n of the steps from one matched
+word to the next hold two edits or more, so ``threshold * n - 1`` steps at least hold one or
+none: two item words at distance 1 or 2 stand in the document at distance 1 or 2.  An item
+is anchored by the words that start such pairs, without the commonest ones as long as each
+alignment keeps half of its pairs as anchors.  Passages with too few pairs for the threshold
+are left out, all others aligned in full, so every copy that meets the threshold is found,
+with words changed, left out or put in anywhere.
 
 The test items are the stated query set: they meet the documents in blocks of at most
 ``BLOCK_WORDS`` words, so what a task holds of them is bounded.
@@ -12,13 +15,13 @@ The test items are the stated query set: they meet the documents in blocks of at
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +56,29 @@ class Items:
         self.offset = np.concatenate([np.arange(len(g)) for g in grams] or [np.empty(0, dtype=np.int64)])
         self.gram = np.concatenate(grams or [np.empty(0, dtype=np.uint64)])
         self.distinct = np.unique(self.gram)
+        pairs = [self.pairs(ws) for ws in self.words]
+        keys = np.unique(np.concatenate([x for pair in pairs for x in pair] or [np.empty(0, dtype=np.int64)]))
+        self.pair_keys = keys[keys >= 0]
+        #: For each item the indexes in ``pair_keys`` of the pairs that start at each of its words, at distance 1 and 2; the last index is no pair.
+        self.starts = [tuple(self.index(x) for x in pair) for pair in pairs]
+
+    def index(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key in ``pair_keys``, or their number if it is not there."""
+        if not len(self.pair_keys):
+            return np.zeros(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, at, len(self.pair_keys))
+
+    def pairs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact keys of each word with the next and with the one after it; negative where there is none or a word is no item's."""
+        size = len(self.numbers)
+        keys = []
+        for apart in (1, 2):
+            key = np.full(len(numbers), -1, dtype=np.int64)
+            one, other = numbers[:-apart], numbers[apart:]
+            key[:-apart] = np.where((one >= 0) & (other >= 0), one * size + other, -1)
+            keys.append(key)
+        return keys[0], keys[1]
 
     def keys(self, numbers: np.ndarray) -> np.ndarray:
         """Key of the n-gram at each place; exact while the items have under two million different words."""
@@ -64,30 +90,13 @@ class Items:
             key = (key << np.uint64(21)) | numbers[k : k + n].astype(np.uint64)
         return key
 
-    def find(self, numbers: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, index in the sorted ``keys``) of the n-grams of a document among ``keys``; -1 is no item's word."""
-        n = len(numbers) - SEED_WORDS + 1
-        if n <= 0 or not len(keys):
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        known = numbers >= 0
-        whole = known[:n].copy()
-        for k in range(1, SEED_WORDS):
-            whole &= known[k : k + n]
-        places = whole.nonzero()[0]
-        key = np.zeros(len(places), dtype=np.uint64)
-        for k in range(SEED_WORDS):
-            key = (key << np.uint64(21)) | numbers[places + k].astype(np.uint64)
-        index = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = keys[index] == key
-        return places[hit], index[hit]
-
     def number(self, words: list[str]) -> np.ndarray:
         get = self.numbers.get
         return np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
 
 
 def rarest_in_windows(items: Items, counts: np.ndarray) -> np.ndarray:
-    """Which of the items' n-grams are seeds: in each window the one in fewest documents, ties to the first."""
+    """In each window of the items' n-grams the one in fewest documents, ties to the first; matching does not use it."""
     chosen = np.zeros(len(items.gram), dtype=bool)
     counts = counts[np.searchsorted(items.distinct, items.gram)] if len(items.gram) else counts
     for i in range(len(items.ids)):
@@ -130,38 +139,104 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, best_start, best_end
 
 
-def matches(words: np.ndarray, items: Items, seeds: np.ndarray, first: np.ndarray, owner: np.ndarray, offset: np.ndarray, threshold: float) -> list[tuple]:
-    """(item, score, first word, last word) of each item aligned to a document's word numbers.
-
-    ``seeds``: sorted keys; the places ``first[i]:first[i + 1]`` of ``owner`` and ``offset`` say where in which item seed i stands.
-    """
-    place, index = items.find(words, seeds)
-    if not len(place):
-        return []
-    n = first[index + 1] - first[index]
-    place, rows = np.repeat(place, n), np.concatenate([np.arange(first[i], first[i + 1]) for i in index])
-    item, begin = owner[rows], place - offset[rows]
-    order = np.lexsort((begin, item))
-    item, begin = item[order], begin[order]
-    found = []
-    a = 0
-    while a < len(item):
-        # Anchors of one item that lie close are one passage.
-        length = len(items.words[item[a]])
-        slack = length // 2 + 1
-        b = a + 1
-        while b < len(item) and item[b] == item[a] and begin[b] - begin[b - 1] <= slack:
-            b += 1
-        low, high = max(0, int(begin[a]) - slack), min(len(words), int(begin[b - 1]) + length + slack)
-        score, start, end = align(items.words[item[a]], words[low:high])
-        if score >= threshold * MATCH * length:
-            found.append((items.ids[item[a]], score / (MATCH * length), low + start, low + end))
-        a = b
-    best: dict = {}
-    for item_id, score, start, end in found:
-        if item_id not in best or score > best[item_id][1]:
-            best[item_id] = (item_id, score, start, end)
-    return [best[k] for k in sorted(best)]
+class Anchors:
+    """The anchors of a block of items at a threshold, by pair."""
+
+    def __init__(self, items: Items, threshold: float):
+        self.items, self.threshold = items, threshold
+        none = len(items.pair_keys)
+        held = np.concatenate([x for pair in items.starts for x in pair] or [np.empty(0, dtype=np.int64)])
+        common = np.bincount(held, minlength=none + 1)
+        common[none] = 0
+        #: Pairs that an alignment at the threshold holds at least; below 1, one matched word makes an alignment.
+        self.need = [math.ceil(threshold * len(ws) - 1 - 1e-9) for ws in items.words]
+        #: Of these, pairs at least that are anchors.
+        self.least = np.array([max(1, n // 2) for n in self.need], dtype=np.int64)
+        self.slack = [max(0, math.floor(2 * len(ws) * (1 - threshold) + 1e-9)) for ws in items.words]
+        key, owner, offset = [], [], []
+        self.lone: list[int] = []
+        for i, (near, far) in enumerate(items.starts):
+            if self.need[i] < 1:
+                self.lone.append(i)
+                continue
+            # The last word starts no pair.
+            weight = (common[near] + common[far])[:-1]
+            chosen = np.argsort(weight, kind="stable")[: len(weight) - self.need[i] + int(self.least[i])]
+            for pair in (near, far):
+                at = chosen[pair[chosen] < none]
+                key.append(pair[at])
+                owner.append(np.full(len(at), i))
+                offset.append(at)
+        key, owner, offset = (np.concatenate(x or [np.empty(0, dtype=np.int64)]).astype(np.int64) for x in (key, owner, offset))
+        order = np.argsort(key, kind="stable")
+        self.owner, self.offset = owner[order], offset[order]
+        #: Numbers the starts of all items.
+        self.start = np.cumsum([0, *map(len, items.words)])[self.owner] + self.offset
+        #: Anchors ``first[k]`` to ``first[k + 1]`` are those of pair k.
+        self.first = np.searchsorted(key[order], np.arange(none + 1))
+
+    def matches(self, words: np.ndarray) -> list[tuple]:
+        """(item, score, first word, last word) of each item aligned to a document's word numbers."""
+        items, none = self.items, len(self.items.pair_keys)
+        best: dict = {}
+
+        def settle(i: int, low: int, high: int) -> None:
+            length = len(items.words[i])
+            score, start, end = align(items.words[i], words[low:high])
+            share = score / (MATCH * length)
+            if score and score >= self.threshold * MATCH * length and (items.ids[i] not in best or share > best[items.ids[i]][1]):
+                best[items.ids[i]] = (items.ids[i], share, low + start, low + end)
+
+        for i in self.lone:
+            settle(i, 0, len(words))
+        if len(words) > 1 and none:
+            near, far = (items.index(x) for x in items.pairs(words))
+            place = np.concatenate([(near < none).nonzero()[0], (far < none).nonzero()[0]])
+            pair = np.concatenate([near[near < none], far[far < none]])
+            for i, low, high in self.passages(place, pair, len(words)):
+                settle(i, low, high)
+        return [best[k] for k in sorted(best)]
+
+    def passages(self, place: np.ndarray, pair: np.ndarray, n_words: int) -> Iterator[tuple[int, int, int]]:
+        """(item, first word, word after the last) of the passages that can hold an alignment, of the pairs at ``place``."""
+        n = self.first[pair + 1] - self.first[pair]
+        rows = np.repeat(self.first[pair] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item, begin = self.owner[rows], np.repeat(place, n) - self.offset[rows]
+        _, once = np.unique(self.start[rows], return_index=True)
+        enough = (np.bincount(item[once], minlength=len(self.least)) >= self.least)[item]
+        item, begin = item[enough], begin[enough]
+        order = np.lexsort((begin, item))
+        item, begin = item[order], begin[order]
+        order = np.argsort(place, kind="stable")
+        place, pair = place[order], pair[order]
+        cuts = [0, *((item[1:] != item[:-1]).nonzero()[0] + 1).tolist(), len(item)] if len(item) else [0]
+        own = np.zeros(len(self.items.pair_keys) + 1, dtype=bool)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            i = int(item[a])
+            near, far = self.items.starts[i]
+            length, slack, need = len(self.items.words[i]), self.slack[i], self.need[i]
+            own[near] = own[far] = True
+            own[-1] = False
+            mine = own[pair]
+            own[near] = own[far] = False
+            at, held = place[mine], pair[mine]
+            starts = at[np.concatenate([[True], at[1:] != at[:-1]])]
+            low, high = begin[a:b] - slack, begin[a:b] + length + slack
+            full = np.searchsorted(starts, high) - np.searchsorted(starts, low) >= need
+            low, high = low[full], high[full]
+            k = 0
+            while k < len(low):
+                # Anchors of one item that lie close are one passage.
+                j = k + 1
+                while j < len(low) and low[j] - low[j - 1] <= slack:
+                    j += 1
+                x, y = np.searchsorted(at, [low[k], high[j - 1]])
+                own[held[x:y]] = True
+                found = int((own[near] | own[far]).sum())
+                own[held[x:y]] = False
+                if found >= need:
+                    yield i, max(0, int(low[k])), min(n_words, int(high[j - 1]))
+                k = j
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -182,41 +257,15 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def _gram_counts(docs: DataFrame, text: str, items: Items) -> np.ndarray:
-    """In how many documents each of the items' n-grams stands."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.distinct), dtype=np.int64)
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                if value:
-                    _, index = items.find(items.number(split_words(value)), items.distinct)
-                    total[np.unique(index)] += 1
-        some = total.nonzero()[0]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
-
-    counts = np.zeros(len(items.distinct), dtype=np.int64)
-    partial = docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n"))
-    for gram, n in partial.toLocalIterator():
-        counts[gram] = n
-    return counts
-
-
-def _matcher(items: Items, counts: np.ndarray, threshold: float):
-    chosen = rarest_in_windows(items, counts)
-    order = np.argsort(items.gram[chosen], kind="stable")
-    gram, owner, offset = (x[chosen][order] for x in (items.gram, items.item, items.offset))
-    seeds, first = np.unique(gram, return_index=True)
-    first = np.append(first, len(gram))
-
+def _matcher(anchors: Anchors):
     @F.pandas_udf("array<struct<item_id:long,score:double,first_word:int,last_word:int>>")
     def match(texts: pd.Series) -> pd.Series:
         out = []
         for text in texts:
-            words = items.number(split_words(text))
+            words = anchors.items.number(split_words(text))
             out.append([
                 {"item_id": int(i), "score": float(s), "first_word": int(a), "last_word": int(b)}
-                for i, s, a, b in matches(words, items, seeds, first, owner, offset, threshold)
+                for i, s, a, b in anchors.matches(words)
             ])
         return pd.Series(out)
 
@@ -232,8 +281,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     """
     columns = []
     for block in _blocks(benchmark):
-        items = Items(block)
-        columns.append(_matcher(items, _gram_counts(docs, text, items), threshold)(F.col(text)))
+        columns.append(_matcher(Anchors(Items(block), threshold))(F.col(text)))
     return columns
 
 

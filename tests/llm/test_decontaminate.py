@@ -106,3 +106,38 @@ def test_empty_tables(spark, case):
     assert D.decontaminate(docs, empty(spark, ITEMS)).count() == docs.count()
     repeated = docs.filter("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long"))
     assert [r["doc_id"] for r in D.contaminated_pairs(repeated.union(repeated), benchmark).collect()] == [None, None]
+
+
+def edited_copies(rng, item, step):
+    """Copies with every ``step``-th word changed, left out or followed by another, from each first place."""
+    for first in range(step):
+        at = range(first, len(item), step)
+        yield [f"z{k}" if k in at else w for k, w in enumerate(item)]
+        yield [w for k, w in enumerate(item) if k not in at]
+        yield [x for k, w in enumerate(item) for x in ([w, f"z{k}"] if k in at else [w])]
+
+
+def test_evenly_edited_copies_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(11)
+    items = [words(rng, n).split() for n in (3, 5, 10, 16, 40)] + [words(rng, 24, vocabulary=9).split()]
+    texts = []
+    for item in items:
+        for step in (1, 2, 3, 4, 5, 6):
+            for copy in edited_copies(rng, item, step):
+                texts.append(" ".join([words(rng, 20, vocabulary=30), *copy, words(rng, 20, vocabulary=30)]))
+    texts.append(" ".join([*items[3][:5], "zz", *items[3][6:10], "zz", *items[3][11:]]))
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], ITEMS)
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            score = plain_align(item, D.split_words(text)) / (2 * len(item))
+            if score >= D.THRESHOLD:
+                want[d, i] = score
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in D.contaminated_pairs(documents(spark, texts), benchmark).collect()}
+    assert got == pytest.approx(want) and len(want) > 100 and want[len(texts) - 1, 3] == 26 / 32
+
+
+def test_low_threshold_takes_single_words(spark):
+    docs = documents(spark, ["a q r", "q r s"])
+    benchmark = spark.createDataFrame([(0, "a b c")], ITEMS)
+    assert [r["doc_id"] for r in D.contaminated_pairs(docs, benchmark, threshold=1 / 3).collect()] == [0]
