@@ -5,7 +5,7 @@ blocks, in which neighbouring alike siblings are one repeated node; pages of the
 shape fall together.  The shapes of a host are aligned by simple tree matching: the most
 frequent ones found clusters, the others are matched node by node to the cluster they fit
 best.  Aligned nodes share their statistics over all of the host's pages: nodes whose text
-is the same on every page are template, nodes whose text varies are slots.  The content
+is the same on pages that differ elsewhere are template, all others slots.  The content
 region is the aligned node that holds the most varying text outside of menus, notices and
 the like; its slots are the content.
 
@@ -23,12 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
 
-#: Pages that must agree on a node's text before it counts as template.
+#: Different pages that must agree on a node's text before it counts as template; copies of a page are one.
 LEAST_PAGES = 3
 #: Share of the smaller tree that must match for a shape to join a cluster.
 LEAST_MATCH = 0.5
@@ -338,7 +339,7 @@ def tree_match(a: Shape, b: Shape) -> tuple[int, list[tuple[int, int]]]:
 
 
 def _content(template: Shape, stats: dict[int, list], parents: dict[int, int]) -> set[int]:
-    """Numbers of the template's content slots.  stats: number -> pages, lowest and highest text hash, characters, linked characters."""
+    """Numbers of the template's content slots.  stats: number -> marks of different pages, lowest and highest text hash, characters, linked characters."""
     nodes = {n.number: n for n in template.nodes()}
     hidden, mass = set(), {}
     for number in sorted(nodes):
@@ -346,13 +347,13 @@ def _content(template: Shape, stats: dict[int, list], parents: dict[int, int]) -
             hidden.add(number)
 
     def constant(number: int) -> bool:
-        pages, low, high, _, _ = stats[number]
-        return pages >= LEAST_PAGES and low == high
+        marks, low, high, _, _ = stats[number]
+        return len(marks) >= LEAST_PAGES and low == high
 
     def text_mass(number: int) -> float:
         if number in hidden or number not in stats:
             return 0.0
-        pages, low, high, chars, linked = stats[number]
+        _, _, _, chars, linked = stats[number]
         return max(0.0, chars - 2.0 * linked) / (20 if constant(number) else 1)
 
     for number in sorted(nodes, reverse=True):
@@ -379,7 +380,7 @@ def _content(template: Shape, stats: dict[int, list], parents: dict[int, int]) -
 
 
 def induce(shapes: pd.DataFrame) -> pd.DataFrame:
-    """Content slots of each of a host's shapes (columns host, shape, slot, pages, low, high, chars, linked)."""
+    """Content slots of each of a host's shapes (columns host, shape, slot, pages, low, high, chars, linked, marks)."""
     by_shape = []
     for shape, rows in shapes.groupby("shape", sort=True):
         by_shape.append((int(rows["pages"].max()), shape, Shape.read(shape), rows))
@@ -400,8 +401,8 @@ def induce(shapes: pd.DataFrame) -> pd.DataFrame:
         for row in rows.itertuples():
             at = to_template.get(row.slot)
             if at is not None:
-                have = best_cluster[1].setdefault(at, [0, row.low, row.high, 0, 0])
-                have[0] += row.pages
+                have = best_cluster[1].setdefault(at, [set(), row.low, row.high, 0, 0])
+                have[0].update(row.marks)
                 have[1], have[2] = min(have[1], row.low), max(have[2], row.high)
                 have[3] += row.chars
                 have[4] += row.linked
@@ -411,22 +412,41 @@ def induce(shapes: pd.DataFrame) -> pd.DataFrame:
         content = _content(template, stats, parents)
         for shape, tree, to_template, rows in members:
             own_parents = {c.number: n.number for n in tree.nodes() for c in n.children}
-            own = _content(tree, {r.slot: [r.pages, r.low, r.high, r.chars, r.linked] for r in rows.itertuples()}, own_parents)
+            own = _content(tree, {r.slot: [set(r.marks), r.low, r.high, r.chars, r.linked] for r in rows.itertuples()}, own_parents)
             # Nodes that the template lacks are judged on their shape's pages alone.
             chosen = sorted(n.number for n in tree.nodes() if (to_template[n.number] in content if n.number in to_template else n.number in own))
             out.append((shapes["host"].iloc[0], shape, chosen))
     return pd.DataFrame(out, columns=["host", "shape", "content"])
 
 
+def page_mark(tree: Tree) -> int:
+    """Hash of a page's text outside of side parts, of all its text if there is none: copies have the same."""
+    texts: list[tuple[int, str]] = []
+
+    def visit(node: Tree, all_parts: bool) -> None:
+        if all_parts or not node.side:
+            texts.extend((b[0], b[1]) for b in node.blocks)
+            for child in node.children:
+                visit(child, all_parts)
+
+    visit(tree, False)
+    if not texts:
+        visit(tree, True)
+    mark = xxhash.xxh64_intdigest("\n".join(t for _, t in sorted(texts)).encode())
+    return mark - (1 << 64) if mark >> 63 else mark
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Statistics of the nodes of a task's pages per host and shape."""
     for batch in batches:
         found: dict[tuple, list] = {}
+        marks: dict[tuple, set] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not page:
                 continue
             tree = fold(parse(page))
             shape = tree.shape()
+            whole = page_mark(tree)
             for number, node in enumerate(slots(tree)):
                 if node.blocks:
                     mark = zlib.crc32("\n".join(b[1] for b in node.blocks).encode())
@@ -435,11 +455,17 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     row[1], row[2] = min(row[1], mark), max(row[2], mark)
                     row[3] += sum(len(b[1]) for b in node.blocks)
                     row[4] += sum(b[2] for b in node.blocks)
+                    some = marks.setdefault((host, shape, number), set())
+                    if len(some) < LEAST_PAGES:
+                        some.add(whole)
         keys, rows = list(found), np.array(list(found.values()), dtype=np.int64).reshape(-1, 5)
         columns = [[k[0] for k in keys], [k[1] for k in keys], [k[2] for k in keys], *rows.T]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 5))],
-            ["host", "shape", "slot", "pages", "low", "high", "chars", "linked"],
+            [
+                *[pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 5))],
+                pa.array([sorted(marks[k]) for k in keys], pa.list_(pa.int64())),
+            ],
+            ["host", "shape", "slot", "pages", "low", "high", "chars", "linked", "marks"],
         )
 
 
@@ -455,9 +481,12 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """
     stats = (
         pages.select(page_host(F.col("url")).alias("host"), "html")
-        .mapInArrow(_summaries, "host string, shape string, slot int, pages long, low long, high long, chars long, linked long")
+        .mapInArrow(_summaries, "host string, shape string, slot int, pages long, low long, high long, chars long, linked long, marks array<long>")
         .groupBy("host", "shape", "slot")
-        .agg(*[f(c).alias(c) for f, c in ((F.sum, "pages"), (F.min, "low"), (F.max, "high"), (F.sum, "chars"), (F.sum, "linked"))])
+        .agg(
+            *[f(c).alias(c) for f, c in ((F.sum, "pages"), (F.min, "low"), (F.max, "high"), (F.sum, "chars"), (F.sum, "linked"))],
+            F.slice(F.array_distinct(F.flatten(F.collect_list("marks"))), 1, LEAST_PAGES).alias("marks"),
+        )
     )
     return stats.groupBy("host").applyInPandas(induce, "host string, shape string, content array<int>")
 

@@ -113,3 +113,13 @@ def test_a_large_wrapper_is_joined_alike(spark, monkeypatch):
     want = sorted(map(tuple, W.extract(pages).collect()))
     monkeypatch.setattr(W, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, W.extract(pages).collect())) == want
+
+
+def test_copies_do_not_agree_with_each_other(spark):
+    copy = "<body><nav>{k}</nav><article><h1>Title</h1><p>First part.</p><ul><li>an item</ul><p>Second part.</p></article></body>"
+    other = "<body><nav>{k}</nav><article><h1>Head {k}</h1><p>Text of page {k}.</p></article></body>"
+    rows = [(k, f"http://d.example/{k}", copy.format(k=k)) for k in range(40)]
+    rows += [(k, f"http://d.example/{k}", other.format(k=k)) for k in range(40, 60)]
+    got = {r["page_id"]: r["text"] for r in W.extract(spark.createDataFrame(rows, PAGES).repartition(5)).collect()}
+    assert {got[k] for k in range(40)} == {"Title\n\nFirst part.\n\nan item\n\nSecond part."}
+    assert all(got[k] == f"Head {k}\n\nText of page {k}." for k in range(40, 60))
