@@ -6,8 +6,8 @@ shape fall together.  The shapes of a host are aligned by simple tree matching:
 frequent ones found clusters, the others are matched node by node to the cluster they fit
 best.  Aligned nodes share their statistics over all of the host's pages: nodes whose text
 is the same on pages that differ elsewhere are template, all others slots.  The content
-region is the aligned node that holds the most varying text outside of menus, notices and
-the like; its slots are the content.
+is the slots of all elements named as article, else of the node that holds nearly all varying
+text and of what varies beside it, without menus, notices and the like.
 
 Statistics are sums, minima and maxima per host, shape and node, combined before they are
 shuffled, so a host of many pages costs one row for each of its nodes and tasks.
@@ -64,13 +64,16 @@ SIBLINGS = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
 }
-#: Words in class, id and role that name parts which are no article.
+#: Words in class, id and role that name parts which are no article, unless they hold most of a cluster's varying text.
 SIDE_PARTS = frozenset(
     "ad ads advert advertisement advertisements adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo"
     " cookie cookies disqus footer form header menu menubar modal nav navbar navigation newsletter notice notices popup promo promoted"
     " related search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 
+#: In the label of an element that is not shown.
+UNSEEN = "~"
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 #: A tag with an unpaired quote ends at the next ">".
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -98,7 +101,9 @@ def _names(tag: str, attributes: str) -> tuple[str, bool]:
             name = match[1].lower()
             value = (match[2] or match[3] or match[4] or "").lower()
             if name == "hidden" or name == "aria-hidden":
-                side |= name == "hidden" or value == "true"
+                if name == "hidden" or value == "true":
+                    side = True
+                    label += UNSEEN
                 continue
             parts = [p for p in SPLIT_NAME.split(value) if p]
             if name != "id":
@@ -341,10 +346,15 @@ def tree_match(a: Shape, b: Shape) -> tuple[int, list[tuple[int, int]]]:
 def _content(template: Shape, stats: dict[int, list], parents: dict[int, int]) -> set[int]:
     """Numbers of the template's content slots.  stats: number -> marks of different pages, lowest and highest text hash, characters, linked characters."""
     nodes = {n.number: n for n in template.nodes()}
-    hidden, mass = set(), {}
-    for number in sorted(nodes):
-        if nodes[number].side or parents.get(number) in hidden:
-            hidden.add(number)
+    hidden: set[int] = set()
+
+    def tag(number: int) -> str:
+        return nodes[number].label.split(".")[0].rstrip(UNSEEN)
+
+    def hide(sides: set[int]) -> None:
+        for number in sorted(nodes):
+            if number in sides or parents.get(number) in hidden:
+                hidden.add(number)
 
     def constant(number: int) -> bool:
         marks, low, high, _, _ = stats[number]
@@ -356,20 +366,48 @@ def _content(template: Shape, stats: dict[int, list], parents: dict[int, int]) -
         _, _, _, chars, linked = stats[number]
         return max(0.0, chars - 2.0 * linked) / (20 if constant(number) else 1)
 
-    for number in sorted(nodes, reverse=True):
-        mass[number] = text_mass(number) + sum(mass[c.number] for c in nodes[number].children)
-    # Down from the root while one child holds nearly all; elements named as the article are preferred.
-    named = [n for n in nodes if n not in hidden and nodes[n].label.split(".")[0] in ("article", "main") and mass[n] > 0]
-    region = max(named, key=lambda n: (mass[n], -n)) if named else template.number
-    while not named:
-        inner = [c.number for c in nodes[region].children if mass[c.number] >= 0.9 * mass[region] > 0]
-        if not inner or nodes[inner[0]].label.split(".")[0] in ("p", "h1", "h2", "h3", "li", "td", "pre", "blockquote"):
-            break
-        region = inner[0]
-    inside, todo = set(), [nodes[region]]
+    def masses() -> dict[int, float]:
+        mass: dict[int, float] = {}
+        for number in sorted(nodes, reverse=True):
+            mass[number] = text_mass(number) + sum(mass[c.number] for c in nodes[number].children)
+        return mass
+
+    # Elements that are no article by their kind are hidden; those so named, and forms, unless they hold most of the rest.
+    sides = {n for n in nodes if nodes[n].side}
+    hide({n for n in sides if UNSEEN in nodes[n].label or (tag(n) in DROPPED and tag(n) != "form")})
+    mass = masses()
+    hide({n for n in sides if mass[n] <= 0.5 * mass[template.number]})
+    mass = masses()
+    # Elements named as the article are preferred, those outside of side parts before those in them.
+    named = [n for n in nodes if n not in hidden and tag(n) in ("article", "main") and mass[n] > 0]
+    in_side: set[int] = set()
+    for number in sorted(nodes):
+        if number in sides or parents.get(number) in in_side:
+            in_side.add(number)
+    regions = [n for n in named if n not in in_side] or named
+    inside: set[int] = set()
+    if not regions:
+        # Down from the root while one child holds nearly all; what varies beside it on the way is kept if it is more than links.
+        region, beside = template.number, []
+        while True:
+            inner = [c.number for c in nodes[region].children if mass[c.number] >= 0.9 * mass[region] > 0]
+            if not inner or tag(inner[0]) in ("p", "h1", "h2", "h3", "li", "td", "pre", "blockquote"):
+                break
+            if text_mass(region) > 0:
+                inside.add(region)
+            beside += [c for c in nodes[region].children if c.number != inner[0]]
+            region = inner[0]
+        regions = [region]
+        while beside:
+            node = beside.pop()
+            if node.number not in hidden and mass[node.number] > 0:
+                if text_mass(node.number) > 0:
+                    inside.add(node.number)
+                beside.extend(node.children)
+    todo = [nodes[n] for n in regions]
     while todo:
         node = todo.pop()
-        if node.number not in hidden:
+        if node.number not in hidden and node.number not in inside:
             inside.add(node.number)
             todo.extend(node.children)
     filled = [n for n in inside if n in stats]

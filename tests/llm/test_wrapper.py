@@ -123,3 +123,24 @@ def test_copies_do_not_agree_with_each_other(spark):
     got = {r["page_id"]: r["text"] for r in W.extract(spark.createDataFrame(rows, PAGES).repartition(5)).collect()}
     assert {got[k] for k in range(40)} == {"Title\n\nFirst part.\n\nan item\n\nSecond part."}
     assert all(got[k] == f"Head {k}\n\nText of page {k}." for k in range(40, 60))
+
+
+WORDY = " ".join(f"word{k}" for k in range(40))
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<div class='content with-sidebar'><h1>T{k}</h1><p>{k} {t}</p></div>", "T{k}\n\n{k} {t}"),
+        ("<div class='has-header'><nav>{k}</nav><article><p>{k} {t}</p></article></div>", "{k} {t}"),
+        ("<form id=page><div class=comments-enabled><p>{k} {t}</p><select><option>{k}</select></div></form>", "{k} {t}"),
+        ("<article><div class=no-sidebar><p>{k} {t}</p></div></article><div class=related><article>see {k}</article></div>", "{k} {t}"),
+        ("<h1>T{k}</h1><p>Lead {k}</p><div><p>{k} {t} {t}</p></div><div>Site name</div><ul><li><a href=/>next {k}</a></ul>", "T{k}\n\nLead {k}\n\n{k} {t} {t}"),
+        ("<article><p>{k} {t}</p></article><div>Between</div><main><p>More {k}</p></main>", "{k} {t}\n\nMore {k}"),
+        ("<p>{k} one two three</p><div class=comments>c {k}</div><div hidden>{k} {t}</div><footer>{k} {t}</footer>", "{k} one two three"),
+    ],
+)
+def test_content_is_not_cut_by_names_or_sizes(spark, html, want):
+    rows = [(k, "http://e.example/", f"<body>{html.format(k=k, t=WORDY)}</body>") for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in W.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {k: want.format(k=k, t=WORDY) for k in range(5)}
