@@ -1,8 +1,10 @@
 """License notices by an exact set-similarity join of text blocks with templates.
 
-Blocks are lines; lines over ``BLOCK_WORDS`` words are cut into windows of that length
-that overlap by half, so a notice of up to half a window lies whole in one of them.  A
-block meets a template if it contains ``THRESHOLD`` of the template's distinct words.
+Blocks are lines, and windows of ``BLOCK_WORDS`` words that overlap by half over lines of
+more words and over the whole text, regardless of line ends, so a notice of up to half a
+window lies whole in one of them however it is wrapped.  A block meets a template if it
+contains ``THRESHOLD`` of the template's distinct words.  A window over several lines that meets
+several templates has all their labels, but for those that the words of a better one explain.
 
 All words are put in one order, rarest first, by the number of blocks in the whole corpus
 that have them.  A block that shares o words with a template of n shares one of the
@@ -14,6 +16,7 @@ What passes is counted exactly, so every block that meets the threshold is found
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain
 
@@ -78,6 +81,21 @@ def text_blocks(text: bytes) -> Iterator[tuple[int, list[bytes]]]:
         at += len(words)
 
 
+def text_windows(text: bytes) -> Iterator[tuple[int, list[bytes]]]:
+    """(first word, words) of the windows over the whole text that take words of several lines."""
+    lines = [line.split() for line in text.lower().translate(_LINE_BYTES).split(b"\n")]
+    starts, n = [], 0
+    for line in lines:
+        if line:
+            starts.append(n)
+        n += len(line)
+    words = list(chain.from_iterable(lines))
+    step = BLOCK_WORDS // 2
+    for a in range(0, max(1, n - step), step):
+        if bisect_right(starts, a) < bisect_right(starts, min(n, a + BLOCK_WORDS) - 1):
+            yield a, words[a : a + BLOCK_WORDS]
+
+
 def phrase_places(words: list[bytes], joined: bytes) -> list[tuple[int, str]]:
     """(first word, label) of every place of a phrase; ``joined``: the words with a blank before and after each."""
     found = []
@@ -108,6 +126,14 @@ class Templates:
         self.members = [frozenset(words) for words in self.sets]
         self.seeds = frozenset(vocabulary[w] for w in self.prefix)
 
+    def unexplained(self, found: list[tuple[int, int, float]]) -> set[int]:
+        """The templates in ``found`` whose threshold is not met by the words of one there that shares more, or as many and a larger part."""
+        return {
+            t
+            for t, shared, share in found
+            if not any((more, part) > (shared, share) and len(self.members[t] & self.members[u]) >= self.need[t] for u, more, part in found)
+        }
+
     def meet(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """(template, shared words, containment) of the templates that a block meets."""
         order = self.order
@@ -147,28 +173,35 @@ def word_counts(docs: DataFrame, templates: tuple[tuple[str, str], ...]) -> dict
 
 SCAN_TYPE = (
     "struct<n_words:long,places:array<struct<word:long,label:string>>,"
-    "blocks:array<struct<first_word:long,words:int,shared:int,template:int,label:string,containment:double>>>"
+    "blocks:array<struct<first_word:long,words:int,shared:int,template:int,label:string,containment:double>>,"
+    "windows:array<struct<first_word:long,words:int,shared:int,template:int,label:string,containment:double,kept:boolean>>>"
 )
 
 
 def scan(text: Column, templates: Templates) -> Column:
-    """n_words, the places of phrases, and the blocks that meet templates (one row per block and template)."""
+    """n_words, the places of phrases, and the line blocks and windows that meet templates (one row per block and template)."""
 
     @F.pandas_udf(SCAN_TYPE)
     def read(texts: pd.Series) -> pd.DataFrame:
-        out = {"n_words": [], "places": [], "blocks": []}
+        out = {"n_words": [], "places": [], "blocks": [], "windows": []}
         for value in texts:
             value = value or b""
             words = split_words(value)
-            blocks = []
+            blocks, windows = [], []
             if not templates.seeds.isdisjoint(words):
                 for first, block in text_blocks(value):
                     for t, shared, share in templates.meet(block):
                         blocks.append({"first_word": first, "words": len(block), "shared": shared, "template": t, "label": templates.labels[t], "containment": share})
+                for first, block in text_windows(value):
+                    found = templates.meet(block)
+                    kept = templates.unexplained(found)
+                    for t, shared, share in found:
+                        windows.append({"first_word": first, "words": len(block), "shared": shared, "template": t, "label": templates.labels[t], "containment": share, "kept": t in kept})
             places = phrase_places(words, b" " + b" ".join(words) + b" ") if b"license" in value.lower() else []
             out["n_words"].append(len(words))
             out["places"].append([{"word": w, "label": label} for w, label in places])
             out["blocks"].append(blocks)
+            out["windows"].append(windows)
         return pd.DataFrame(out).astype({"n_words": np.int64})
 
     return read.asNondeterministic()(text.cast("binary"))
@@ -180,19 +213,27 @@ def _scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...], threshold:
 
 
 def license_blocks(docs: DataFrame, *, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, first_word, words, shared, template, label, containment of every block and template that meet the threshold.
+    """doc_id, first_word, words, shared, template, label, containment of every line block and template that meet the threshold.
 
     Null and empty texts have no blocks; repeated rows give repeated results.
     """
     return _scanned(docs, templates, threshold).select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
 
 
+def license_windows(docs: DataFrame, *, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """The columns of ``license_blocks`` and ``kept`` of every window over several lines and template that meet the threshold.
+
+    A window is not kept for a template that the words of a better one explain.
+    """
+    return _scanned(docs, templates, threshold).select("doc_id", F.explode("windows").alias("b")).select("doc_id", "b.*")
+
+
 def scan_documents(docs: DataFrame, *, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
-    A block's labels are those of the templates it shares most words with, and of these
-    contains most of.  The score is the largest
-    containment found; a phrase counts as contained in full.
+    A line block's labels are those of the templates it shares most words with, and of these
+    contains most of; a window over several lines has those of all templates that no better one
+    explains.  The score is the largest containment found; a phrase counts as contained in full.
     """
     rows = _scanned(docs, templates, threshold)
 
@@ -202,7 +243,8 @@ def scan_documents(docs: DataFrame, *, templates: tuple[tuple[str, str], ...] =
 
     best = F.filter("blocks", lambda b: ~F.exists("blocks", lambda c: beaten(b, c)))
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
-    added = F.array_distinct(F.transform(best, lambda b: b["label"]))
+    wrapped = F.filter("windows", lambda b: b["kept"])
+    added = F.array_distinct(F.concat(F.transform(best, lambda b: b["label"]), F.transform(wrapped, lambda b: b["label"])))
     starts = F.transform("places", lambda p: p["word"])
     return rows.select(
         "doc_id",
@@ -213,6 +255,6 @@ def scan_documents(docs: DataFrame, *, templates: tuple[tuple[str, str], ...] =
         F.array_join(base, ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base, added)), ",").alias("labels"),
         F.when(F.size("places") > 0, 1.0)
-        .otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0)))
+        .otherwise(F.coalesce(F.greatest(*[F.array_max(F.transform(c, lambda b: b["containment"])) for c in ("blocks", "windows")]), F.lit(0.0)))
         .alias("score"),
     )

@@ -97,3 +97,53 @@ def test_other_thresholds_and_empty_tables(spark):
     assert strict == {1.0}
     assert L.scan_documents(empty(spark)).collect() == []
     assert L.license_blocks(empty(spark)).collect() == []
+
+
+def plain_windows(text):
+    """(first word, template, containment) of the windows over several lines by comparing each with every template."""
+    lines = [(n, w) for n, line in enumerate((text or "").split("\n")) for w in plain_words(line)]
+    out, step = [], L.BLOCK_WORDS // 2
+    for a in range(0, max(1, len(lines) - step), step):
+        part = lines[a : a + L.BLOCK_WORDS]
+        block = {w for _, w in part}
+        for t, (_, notice) in enumerate(L.TEMPLATES):
+            need = set(plain_words(notice))
+            if len({n for n, _ in part}) > 1 and len(need & block) >= L.THRESHOLD * len(need) - 1e-9:
+                out.append((a, t, len(need & block) / len(need)))
+    return sorted(out)
+
+
+def wrapped(text, width, leader):
+    lines = [""]
+    for word in text.split():
+        if len(lines[-1]) + len(word) > width:
+            lines.append("")
+        lines[-1] += " " + word
+    return "\n".join(leader + line for line in lines)
+
+
+def test_wrapped_notices_have_their_label(spark):
+    rng = np.random.default_rng(3)
+    texts, labels = [], []
+    for label, notice in L.TEMPLATES:
+        for width, leader in ((25, " *"), (40, "#"), (70, "//")):
+            texts.append(words(rng, rng.integers(0, 90)) + "\n" + wrapped(notice, width, leader) + "\n" + words(rng, rng.integers(0, 90)))
+            labels.append(label)
+    docs = documents(spark, texts)
+    got = {r["doc_id"]: r for r in L.scan_documents(docs).collect()}
+    for d, label in enumerate(labels):
+        assert label in got[d]["labels"].split(","), texts[d]
+        assert got[d]["score"] == 1.0
+    found: dict = {}
+    for r in L.license_windows(docs).collect():
+        found.setdefault(r["doc_id"], []).append((r["first_word"], r["template"], r["containment"]))
+    assert {d: sorted(v) for d, v in found.items()} == {d: b for d, t in enumerate(texts) if (b := plain_windows(t))}
+
+
+def test_wrapped_notices_side_by_side(spark):
+    notices = dict((label, notice) for label, notice in reversed(L.TEMPLATES))
+    mpl = notices["mpl"]
+    bsd = next(n for label, n in L.TEMPLATES if n.startswith("Redistribution"))
+    text = wrapped(bsd, 30, "#") + "\n" + wrapped(mpl, 30, "#")
+    rows = L.scan_documents(documents(spark, [text, "one line only: " + mpl, wrapped("Licensed under CC BY-NC 4.0.", 9, "#")])).collect()
+    assert {r["doc_id"]: r["labels"] for r in rows} == {0: "bsd,mpl", 1: "mpl", 2: "cc-by-nc"}
