@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import find_column, pct
@@ -67,6 +67,23 @@ def sample_rows(df: DataFrame, n: int = 3) -> DataFrame:
     return top_rows(df, [], n)
 
 
+def each_table(op: Callable[[DataFrame], DataFrame], tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The rows of ``op`` over every table, by table_name."""
+    result = None
+    for name, df in tables.items():
+        part = op(df).select(F.lit(name).alias("table_name"), "*")
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
+def sample_cells(df: DataFrame, n: int = 3) -> DataFrame:
+    """The sample rows as texts, one row per cell, so that tables of different columns fit together."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns])
+    order = Window.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in df.columns])
+    numbered = sample_rows(df, n).select(F.row_number().over(order).alias("sample"), cells.alias("_cells"))
+    return numbered.select("sample", F.inline("_cells"))
+
+
 def field_probe(tables: Mapping[str, DataFrame], candidates: Sequence[str], samples: int = 8) -> DataFrame:
     """Coverage of the first candidate column found in each table, with sample values.
 

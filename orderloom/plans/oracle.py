@@ -13,6 +13,7 @@ from ..operators.rules import HIDDEN, SEVERITY
 from ..operators.search import DATASET_RESULT, REFERENCE_FIELDS, SEARCH_RESULT, SEARCHED
 from ..operators.views import OVERDUE_COLUMNS, REFERENCE_COLUMNS
 from ..sources.normalize import LAST_MILLISECOND
+from ..sources.schemas import ENTITIES
 from . import registry as reg
 from .fixtures import adapter_ctes
 
@@ -559,6 +560,7 @@ def _profiles() -> dict[str, str]:
         for name, t in tables.items()
     )
     kinds = "WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp'"
+    core = {t: (tables[t], {"fact_po_item": FACT_COLUMNS, "mart_po_item": MART_COLUMNS}.get(t) or tuple(ENTITIES[t])) for t in reg.CORE}
     overdue_sample = (
         "purchase_order supplier material_name creation_date age_days planned_delivery_days dashboard_status"
     ).split()
@@ -575,6 +577,25 @@ def _profiles() -> dict[str, str]:
             for c in MART_COLUMNS
         ),
         "sample_rows": _top("mart", MART_COLUMNS, [], 3),
+        "core_null_profile": " UNION ALL ".join(
+            f"SELECT '{name}' AS table_name, '{c}' AS column_name, {_share(f'count_if({c} IS NULL)', 'COUNT(*)')} AS null_pct FROM {t}"
+            for name, (t, columns) in core.items()
+            for c in columns
+        ),
+        "core_schema_profile": " UNION ALL ".join(
+            f"""SELECT '{name}' AS table_name, '{c}' AS column_name, {_share(f'count_if({c} IS NULL)', 'COUNT(*)')} AS null_pct,
+                       CASE typeof(MIN({c})) {kinds} ELSE lower(typeof(MIN({c}))) END AS data_type,
+                       '{'tracked' if c.lower() in TRACKED else ''}' AS note FROM {t}"""
+            for name, (t, columns) in core.items()
+            for c in columns
+        ),
+        "core_sample_rows": " UNION ALL ".join(
+            f"""SELECT '{name}' AS table_name, sample::INTEGER AS sample, '{c}' AS column_name, {c}::VARCHAR AS value
+                FROM (SELECT *, row_number() OVER (ORDER BY {', '.join(f'{x} NULLS LAST' for x in columns)}) AS sample FROM {t})
+                WHERE sample <= 3"""
+            for name, (t, columns) in core.items()
+            for c in columns
+        ),
         "field_probe": " UNION ALL ".join(
             [
                 probe("raw_pr", "PurchaseRequisition", "PurchaseOrder"),

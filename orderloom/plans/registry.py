@@ -293,6 +293,11 @@ _register("table_inventory", lambda w: profile.table_inventory(_tables(w, (*STOR
 _on_mart("null_profile", profile.null_profile)
 _on_mart("schema_profile", profile.schema_profile)
 _on_mart("sample_rows", profile.sample_rows)
+# The reference profiles seven tables; the three queries above keep the mart's columns and statements.
+CORE = ("raw_po_header", "raw_po_item", "raw_gr", "raw_asn", "raw_pr", "fact_po_item", "mart_po_item")
+_register("core_null_profile", lambda w: profile.each_table(profile.null_profile, _tables(w, CORE)))
+_register("core_schema_profile", lambda w: profile.each_table(profile.schema_profile, _tables(w, CORE)))
+_register("core_sample_rows", lambda w: profile.each_table(profile.sample_cells, _tables(w, CORE)))
 _register(
     "field_probe",
     lambda w: profile.field_probe(_tables(w, PROBED), ["customer_pr", "PurchaseRequisition"]),

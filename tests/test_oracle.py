@@ -34,3 +34,9 @@ def test_query(spark, sf_dir, con, key):
     want_columns, want = oracle_rows(con, ORACLES[key])
     assert columns == want_columns
     assert rows == want
+
+
+@pytest.mark.parametrize("key", ["core_null_profile", "core_schema_profile", "core_sample_rows"])
+def test_profiles_cover_the_core_tables(spark, sf_dir, key):
+    rows = QUERIES[key](spark, sf_dir).select("table_name").distinct().collect()
+    assert {r[0] for r in rows} == set(registry.CORE)
