@@ -10,7 +10,7 @@ from tests.compare import duck, oracle_rows, spark_rows
 
 from .helpers import documents, empty, words
 
-TABLES = {"op1": "pages", "op3": None, "op8": None}
+TABLES = {"op1": "pages", "op3": None, "op8": None, "op12": None}
 
 
 @pytest.mark.parametrize("key", sorted(queries.registered()))
