@@ -30,6 +30,8 @@ STRIDE = 48
 HIDDEN = 8
 #: Labelled texts that the training takes at most: clean ones, toxic ones.
 SAMPLE_PER_CLASS = (2_500, 1_500)
+#: UTF-8 bytes of a text that the training takes at most; longer ones are scored but not learned from.
+SAMPLE_BYTES = 1 << 18
 #: Lengths in bytes of the character n-grams, with "<" and ">" around the word.
 GRAMS = (3, 4, 5, 6)
 SLOTS = 1 << 18
@@ -65,7 +67,8 @@ def gram_slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         for n in range(1, max(GRAMS) + 1):
             shifted = np.zeros(len(buffer), dtype=np.uint64)
-            shifted[: len(buffer) - n + 1] = buffer[n - 1 :]
+            rest = buffer[n - 1 :]
+            shifted[: len(rest)] = rest
             rolling = rolling * np.uint64(0x9E3779B97F4A7C15) + shifted + np.uint64(1)
             if n in GRAMS:
                 inside = at + n <= end
@@ -311,6 +314,8 @@ def train(texts: list[list[str]], toxic: np.ndarray, toxic_share: float, seed: i
     folds = []
     for k in (0, 1):
         mine = np.flatnonzero(half == k)
+        if not len(mine):
+            continue
         flat = [w for i in mine for w in texts[i]]
         number = {w: n for n, w in enumerate(dict.fromkeys(flat), 1)}
         features = np.zeros((len(number) + 1, FEATURES), dtype=np.float32)
@@ -363,8 +368,9 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: tuple[int, int] = SAMPLE_PER_CLASS, seed: int = 0) -> Scorer:
     """Trains on up to ``per_class`` labelled texts (clean, toxic), those of smallest hash.
 
-    One task trains on the sample; the driver gets the model.  Null ids and labels are left
-    out; an id with several labels is toxic if one of them is.
+    One task trains on the sample, which is at most that many texts of SAMPLE_BYTES; the driver
+    gets the model.  Null ids and labels are left out; an id with several labels is toxic if one
+    of them is, and one with several texts is learned from by the least of them.
     """
     marks = (
         labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -385,7 +391,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: tuple[int, int] = SAMP
         words = [split_words(text) for text in rows["text"]]
         return pd.DataFrame({"model": [train(words, (rows["toxic"] > 0).to_numpy(dtype=int), share, seed).dump()]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    short = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    rows = short.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     model = rows.groupBy().applyInPandas(learn, "model binary").first()
     return Scorer.load(model["model"]) if model else train([], np.empty(0), share)
 

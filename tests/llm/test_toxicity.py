@@ -116,3 +116,25 @@ def test_one_class_no_labels_and_empty_tables(spark, case):
     assert T.score_documents(empty(spark), labels).collect() == []
     nameless = some.withColumn("doc_id", F.lit(None).cast("long"))
     assert {r["held_out"] for r in T.score_documents(nameless, labels).collect()} == {False}
+
+
+@pytest.mark.parametrize("word", ["a", "ab", "é", "hi"])
+def test_texts_of_one_short_word(word):
+    """Training on, and scoring of, nothing but words of one or two bytes."""
+    scorer = T.train([[word], [word]], np.array([0, 1]), 0.5)
+    assert 0 <= scorer.scores([word])[0] <= 1
+    texts, toxic = corpus(np.random.default_rng(7), 60)
+    scorer = T.train([T.split_words(t) for t in texts] + [[word]], np.array([*toxic, 0]), 0.2)
+    assert 0 <= scorer.scores([word])[0] <= 1
+    owner, slot = T.gram_slots([word.encode()])
+    assert len(owner) == len(slot) >= 1
+
+
+def test_repeated_ids_are_learned_from_once(spark, case):
+    docs, labels, _ = case
+    some = docs.filter("doc_id < 60")
+    again = some.union(some).union(some.withColumn("text", F.concat("text", F.lit("~ more"))))
+    one, many = (T.score_documents(some, labels.filter("doc_id < 60")), T.score_documents(again, labels.filter("doc_id < 60")))
+    scores = {r["doc_id"]: r["score"] for r in one.collect()}
+    assert many.count() == 180
+    assert all(any(r["score"] == scores[r["doc_id"]] for r in rows) for rows in [[r] for r in many.limit(60).collect()])
