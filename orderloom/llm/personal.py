@@ -8,6 +8,9 @@ likelihood on the base spans of a bounded sample of texts; stretches that look l
 span but fail its check are left out there, since they may or may not be one.  Its own
 finds are the spans of that look which the patterns' checks drop, such as card numbers with a
 wrong digit; they are named ``card_like`` and so on, and never replace a base span.
+
+A long text costs time in proportion to its characters; of its longest stretch the program
+keeps about a hundred bytes a token.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -29,6 +33,8 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_TEXTS = 2_000
 SAMPLE_STRETCHES = 1_000
 MOST_TOKENS = 16
+#: Spans' signatures whose scores a worker remembers.
+MOST_KNOWN = 100_000
 SLOTS = 1 << 12
 EPOCHS = 6
 
@@ -55,6 +61,13 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _check_sums(digits: str) -> tuple[int, int]:
+    """Luhn sums of a run of digits: with its last digit single, and with it doubled."""
+    once = sum(map(int, digits))
+    twice = [sum(2 * n - 9 * (n > 4) - n for n in map(int, digits[start::-2])) for start in (len(digits) - 2, len(digits) - 1)]
+    return once + (twice[0] if len(digits) > 1 else 0), once + twice[1]
+
+
 def only_digits(text: str) -> str:
     return "".join(DIGIT.findall(text))
 
@@ -122,56 +135,70 @@ def _bucket(n: int) -> int:
     return n if n <= 20 else 20 + n.bit_length()
 
 
-def span_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> np.ndarray:
-    """Slots of the features of the span of tokens i to j, both included."""
-    begin, end = tokens[i][0], tokens[j][1]
-    part = text[begin:end]
-    shape = []
-    runs = []
-    for k in range(i, j + 1):
-        a, b = tokens[k]
-        first = text[a]
-        if k > i and a > tokens[k - 1][1]:
-            shape.append("_")
-        if "0" <= first <= "9":
-            shape.append("9")
-            runs.append(b - a)
-        else:
-            shape.append("a" if first.isalpha() else first)
-    digits = only_digits(part)
-    parts = part.split(".")
-    before, after = text[begin - 1 : begin], text[end : end + 1]
+def _side(char: str) -> str:
+    return "space" if not char or char.isspace() else "word" if char.isalnum() else char
+
+
+def signature_slots(signature: tuple) -> np.ndarray:
+    """Slots of the features of a span."""
+    shape, runs, digits, size, quad, checked, left, right = signature
     names = [
-        "shape" + "".join(shape),
+        "shape" + shape,
         f"first{shape[0]}last{shape[-1]}",
-        f"digits{_bucket(len(digits))}",
-        f"runs{runs[:6]}",
-        f"tokens{_bucket(j - i + 1)}",
-        f"at{part.count('@')}dots{min(part.count('.'), 5)}",
-        f"plus{part.startswith('+')}{_bucket(len(digits))}",
-        f"quad{len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)}",
-        f"luhn{len(digits) >= 12 and len(digits) == len(part.replace(' ', '').replace('-', '')) and luhn(digits)}",
-        f"card{len(digits)}{set(shape) <= {'9', '_', '-'}}",
-        f"left{'space' if before.isspace() or not before else 'word' if before.isalnum() else before}",
-        f"right{'space' if after.isspace() or not after else 'word' if after.isalnum() else after}",
+        f"digits{_bucket(digits)}",
+        f"runs{list(runs)}",
+        f"tokens{_bucket(size)}",
+        f"at{shape.count('@')}dots{min(shape.count('.'), 5)}",
+        f"plus{shape[0] == '+'}{_bucket(digits)}",
+        f"quad{quad}",
+        f"luhn{checked}",
+        f"card{digits}{set(shape) <= {'9', '_', '-'}}",
+        f"left{left}",
+        f"right{right}",
         "any",
     ]
     return np.array([zlib.crc32(n.encode()) % SLOTS for n in names])
 
 
-class Stretch:
-    """A stretch as tokens with the features of all its candidate spans."""
+class Streamed:
+    """A stretch as tokens; its candidate spans are read one last token at a time."""
 
     def __init__(self, text: str, begin: int, end: int):
-        self.tokens = [m.span() for m in TOKEN.finditer(text, begin, end)]
-        n = len(self.tokens)
-        self.starts, self.ends, slots = [], [], []
-        for j in range(n):
-            for i in range(max(0, j - MOST_TOKENS + 1), j + 1):
-                self.starts.append(i)
-                self.ends.append(j)
-                slots.append(span_features(text, self.tokens, i, j))
-        self.slots = np.array(slots).reshape(len(slots), -1)
+        self.text, self.tokens = text, [m.span() for m in TOKEN.finditer(text, begin, end)]
+        #: Check sum of each run of digits, if an even or an odd number of digits follow it.
+        self.sums = [_check_sums(text[a:b]) if "0" <= text[a] <= "9" else (0, 0) for a, b in self.tokens]
+
+    def ending(self, j: int) -> Iterator[tuple[int, tuple]]:
+        """(first token, signature) of the spans that end at token j, shortest first; the signature has all that the features ask for.
+
+        Digits and check sums are carried from span to span, so a span costs one token.
+        """
+        text, tokens = self.text, self.tokens
+        end = tokens[j][1]
+        right = _side(text[end : end + 1])
+        shape, runs, digits, total, card = "", (), 0, 0, True
+        for i in range(j, max(-1, j - MOST_TOKENS), -1):
+            a, b = tokens[i]
+            first = text[a]
+            if i < j and b < tokens[i + 1][0]:
+                shape = "_" + shape
+                card = card and text[b : tokens[i + 1][0]].strip(" ") == ""
+            if "0" <= first <= "9":
+                shape = "9" + shape
+                runs = (b - a, *runs[:5])
+                total += self.sums[i][digits % 2]
+                digits += b - a
+            else:
+                shape = ("a" if first.isalpha() else first) + shape
+                card = card and first == "-" and b - a == 1
+            quad = shape == "9.9.9.9" and all(y - x <= 3 and int(text[x:y]) <= 255 for x, y in (tokens[k] for k in (i, i + 2, i + 4, i + 6)))
+            checked = card and digits >= 12 and total % 10 == 0
+            yield i, (shape, runs, digits, j - i + 1, quad, checked, _side(text[a - 1 : a] if a else ""), right)
+
+    def spans(self, j: int, field: "Field") -> tuple[list[int], list[np.ndarray]]:
+        """First tokens, in order, and scores of the spans that end at token j."""
+        read = list(self.ending(j))[::-1]
+        return [i for i, _ in read], [field.score(signature) for _, signature in read]
 
     def gold(self, spans: list[Span]) -> list[tuple[int, int, int]] | None:
         """Token spans (first, last, kind) of ``spans``; None if one does not fit the tokens or they overlap."""
@@ -186,6 +213,24 @@ class Stretch:
         return None if any(y[0] <= x[1] for x, y in pairwise(out)) else out
 
 
+class Stretch(Streamed):
+    """A stretch with the features of all its candidate spans, as the training asks for them."""
+
+    def __init__(self, text: str, begin: int, end: int):
+        super().__init__(text, begin, end)
+        self.starts, self.ends, slots = [], [], []
+        for j in range(len(self.tokens)):
+            for i, signature in reversed(list(self.ending(j))):
+                self.starts.append(i)
+                self.ends.append(j)
+                slots.append(signature_slots(signature))
+        self.slots = np.array(slots).reshape(len(slots), -1)
+
+    def spans(self, j: int, field: "Field") -> tuple[list[int], list[np.ndarray]]:
+        here = [s for s, end in enumerate(self.ends) if end == j]
+        return [self.starts[s] for s in here], [field.weights[:, self.slots[s]].sum(axis=1) for s in here]
+
+
 class Field:
     """Weights of the random field: per kind and feature slot, and for each pair of neighbouring segments' labels.
 
@@ -194,36 +239,49 @@ class Field:
 
     def __init__(self):
         self.weights = np.zeros((len(KINDS), SLOTS))
+        #: Scores of the spans' signatures met so far, once the weights are fixed.
+        self.known: dict[tuple, np.ndarray] = {}
         self.follows = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
 
     def scores(self, stretch: Stretch) -> np.ndarray:
         """(span, kind) scores; a token that is no entity scores 0."""
         return self.weights[:, stretch.slots].sum(axis=2).T if len(stretch.slots) else np.zeros((0, len(KINDS)))
 
-    def best(self, stretch: Stretch) -> list[tuple[int, int, int]]:
-        """The most likely segmentation's entities: (first token, last token, kind)."""
+    def score(self, signature: tuple) -> np.ndarray:
+        """Score of each kind for a span, once the weights are fixed."""
+        score = self.known.get(signature)
+        if score is None:
+            if len(self.known) >= MOST_KNOWN:
+                self.known.clear()
+            score = self.known[signature] = self.weights[:, signature_slots(signature)].sum(axis=1)
+        return score
+
+    def best(self, stretch: Streamed) -> list[tuple[int, int, int]]:
+        """The most likely segmentation's entities: (first token, last token, kind).
+
+        Spans are read as the program reaches their last token; a token leaves its scores and
+        where they came from, however long the stretch.
+        """
         n, labels = len(stretch.tokens), len(KINDS) + 1
-        spans, at = self.scores(stretch), 0
         best = np.full((n + 1, labels), -np.inf)
         best[0, 0] = 0.0
-        back: dict[tuple[int, int], tuple[int, int]] = {}
+        came_from, came_label = np.zeros((n + 1, labels), dtype=np.int32), np.zeros((n + 1, labels), dtype=np.int8)
+        follows = self.follows[:, 1:]
+        kinds = np.arange(labels - 1)
         for j in range(n):
             prior = best[j] + self.follows[:, 0]
             p = int(prior.argmax())
             best[j + 1, 0] = prior[p]
-            back[j + 1, 0] = (j, p)
-            while at < len(stretch.ends) and stretch.ends[at] == j:
-                i = stretch.starts[at]
-                value = best[i][:, None] + self.follows[:, 1:] + spans[at][None, :]
-                top = value.argmax(axis=0)
-                for k in range(labels - 1):
-                    if value[top[k], k] > best[j + 1, k + 1]:
-                        best[j + 1, k + 1] = value[top[k], k]
-                        back[j + 1, k + 1] = (i, int(top[k]))
-                at += 1
+            came_from[j + 1, 0], came_label[j + 1, 0] = j, p
+            starts, scores = stretch.spans(j, self)
+            value = best[starts[0] : j + 1, :, None] + follows + np.array(scores)[:, None, :]
+            over = value.max(axis=1)
+            first = over.argmax(axis=0)
+            best[j + 1, 1:] = over[first, kinds]
+            came_from[j + 1, 1:], came_label[j + 1, 1:] = starts[0] + first, value.argmax(axis=1)[first, kinds]
         out, j, label = [], n, int(best[n].argmax())
         while j:
-            i, p = back[j, label]
+            i, p = int(came_from[j, label]), int(came_label[j, label])
             if label:
                 out.append((i, j - 1, label - 1))
             j, label = i, p
@@ -287,12 +345,15 @@ def train(texts: list[str], seed: int = 0) -> Field:
         for begin, end in stretches(text):
             if any(a < end and b > begin for a, b in dropped):
                 continue
-            stretch = Stretch(text, begin, end)
+            stretch = Streamed(text, begin, end)
             gold = stretch.gold([s for s in spans if s[0] < end and s[1] > begin])
             if gold is not None and len(stretch.tokens) <= 60:
                 examples.append((stretch, gold))
     rng = np.random.default_rng(seed)
-    chosen = [examples[k] for k in rng.permutation(len(examples))[:SAMPLE_STRETCHES]]
+    chosen = []
+    for k in rng.permutation(len(examples))[:SAMPLE_STRETCHES]:
+        stretch, gold = examples[k]
+        chosen.append((Stretch(stretch.text, stretch.tokens[0][0], stretch.tokens[-1][1]), gold))
     field = Field()
     seen = {kind for _, gold in chosen for _, _, kind in gold}
     squares = np.full(field.weights.shape, 1e-6)
@@ -327,7 +388,7 @@ def find(text: str, field: Field) -> tuple[list[Span], list[Span]]:
         # A stretch that is one base span has no room for more.
         if len(near) == 1 and near[0][0] <= begin and near[0][1] >= end:
             continue
-        stretch = Stretch(text, begin, end)
+        stretch = Streamed(text, begin, end)
         for i, j, kind in field.best(stretch):
             a, b = stretch.tokens[i][0], stretch.tokens[j][1]
             if not any(s[0] < b and s[1] > a for s in near):

@@ -169,3 +169,35 @@ def test_documents(spark):
 def test_empty_tables(spark):
     assert P.tag_documents(empty(spark)).collect() == []
     assert [r["spans"] for r in P.tag_documents(documents(spark, [None, "", "no data"])).collect()] == ["", "", ""]
+
+
+@pytest.mark.parametrize("text", ["see 1.2.3.²", "10.0.0.①", "٣.٣.٣.٣ 1.2.3.٤", "+² 12345678901234", "²"])
+def test_digits_of_other_scripts(field, text):
+    base, more = P.find(text, field)
+    assert base == plain_spans(text)
+    assert all(text[a:b].strip() for a, b, _ in more)
+
+
+def test_check_sums_are_carried(field):
+    """The signatures of a stretch's spans against the text of each span."""
+    text = "4111 1111-1111 1111 9.8.7.6 1.2.300.4 12 345-678 9012  34 5\t6789012345678 +1 (2) 3"
+    stretch = P.Streamed(text, 0, len(text))
+    for j in range(len(stretch.tokens)):
+        for i, (shape, runs, digits, size, quad, checked, left, right) in stretch.ending(j):
+            part = text[stretch.tokens[i][0] : stretch.tokens[j][1]]
+            found = P.only_digits(part)
+            assert digits == len(found) and size == j - i + 1
+            assert checked == (digits >= 12 and digits == len(part.replace(" ", "").replace("-", "")) and P.luhn(found))
+            numbers = part.split(".")
+            assert quad == (len(numbers) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in numbers))
+
+
+def test_a_text_of_many_numbers(field):
+    rng = np.random.default_rng(2)
+    parts = [str(n) for n in rng.integers(0, 100_000, 5_000)]
+    parts[2500:2500] = ["a@b.example.com", "10.1.2.3"]
+    text = " ".join(parts)
+    base, more = P.find(text, field)
+    assert base == plain_spans(text) and {"email", "ip"} <= {k for _, _, k in base}
+    streamed, whole = P.Streamed(text, 0, 3_000), P.Stretch(text, 0, 3_000)
+    assert field.best(streamed) == field.best(whole)
