@@ -74,9 +74,9 @@ SIDE_PARTS = frozenset(
 #: In the label of an element that is not shown.
 UNSEEN = "~"
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 #: A tag with an unpaired quote ends at the next ">".
-LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 SPLIT_NAME = re.compile(r"[^a-z]+")
 SPACE = re.compile(r"\s+")
@@ -117,27 +117,40 @@ def parse(page: str) -> Node:
     """The tree of a page's blocks; text nodes are (False, text) or, inside a link, (True, text)."""
     root = Node("", "", False)
     stack, links, at, end = [root], 0, 0, len(page)
+    #: Places in the stack of the open elements of each tag.
+    places: dict[str, list[int]] = {}
+    last_close, last_section = page.rfind(">"), page.rfind("]]>")
 
     def text(until: int) -> None:
         if until > at:
             stack[-1].children.append((links > 0, page[at:until]))
 
+    def innermost(kinds: set | frozenset) -> int:
+        some = kinds if len(kinds) < len(places) else places
+        return max((places[k][-1] for k in some if k in kinds and places.get(k)), default=0)
+
     def close(kinds: set | frozenset, stop: set | frozenset) -> None:
         nonlocal links
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in kinds:
-                for node in stack[k:]:
-                    links -= node.tag == "a"
-                del stack[k:]
-                return
-            if stack[k].tag in stop:
-                return
+        k = innermost(kinds)
+        if k and k > innermost(stop):
+            for node in stack[k:]:
+                links -= node.tag == "a"
+                places[node.tag].pop()
+            del stack[k:]
 
     while at < end:
         begin = page.find("<", at)
         if begin < 0:
             break
-        match = TAG.match(page, begin) or LOOSE_TAG.match(page, begin)
+        if page.startswith("<![CDATA[", begin) and begin < last_section:
+            stop = page.index("]]>", begin)
+            text(begin)
+            stack[-1].children.append((links > 0, page[begin + 9 : stop]))
+            at = stop + 3
+            continue
+        match = None
+        if begin < last_close or page.startswith("<!--", begin):
+            match = TAG.match(page, begin) or LOOSE_TAG.match(page, begin)
         if match is None:
             # A "<" that opens no tag is text.
             following = page.find("<", begin + 1)
@@ -148,12 +161,10 @@ def parse(page: str) -> Node:
         text(begin)
         at = match.end()
         if match.lastindex is None or match[2] is None:
-            if match[0].startswith("<![CDATA["):
-                stack[-1].children.append((links > 0, match[0][9:-3]))
             continue
         tag = match[2].lower()
         if match[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not places.get("p"):
                 stack[-1].children.append(Node("p", "p", False))
             elif tag != "br":
                 close({tag}, frozenset() if tag not in INLINE else CLOSED_BY_BLOCK)
@@ -183,6 +194,7 @@ def parse(page: str) -> Node:
         stack[-1].children.append(node)
         if not match[3].endswith("/") or tag not in ("svg", "math"):
             links += tag == "a"
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
     text(end)
     return root
@@ -202,8 +214,16 @@ class Tree:
         self.blocks: list[tuple[int, str, int]] = []
 
     def shape(self) -> str:
-        inner = "".join(c.shape() for c in self.children)
-        return f"({self.label}{'!' if self.side else ''}{'*' if self.blocks else ''}{inner})"
+        out, todo = [], [self]
+        while todo:
+            node = todo.pop()
+            if node is None:
+                out.append(")")
+                continue
+            out.append(f"({node.label}{'!' if node.side else ''}{'*' if node.blocks else ''}")
+            todo.append(None)
+            todo.extend(reversed(node.children))
+        return "".join(out)
 
 
 def fold(root: Node) -> Tree:
@@ -213,51 +233,44 @@ def fold(root: Node) -> Tree:
     unless they are side parts or hold blocks.
     """
     place = 0
-
-    def holds_blocks(node: Node) -> bool:
-        return any(isinstance(c, Node) and (c.tag not in INLINE or c.side or holds_blocks(c)) for c in node.children)
-
-    def visit(node: Node, tree: Tree) -> None:
-        nonlocal place
-        run: list[tuple[bool, str]] = []
-
-        def flush() -> None:
-            nonlocal place
-            if run:
-                words = SPACE.sub(" ", html.unescape("".join(t for _, t in run))).strip()
-                if words:
-                    linked = sum(len(t.strip()) for inside, t in run if inside)
-                    tree.blocks.append((place, words, min(linked, len(words))))
-                    place += 1
-                run.clear()
-
-        def inline(children: list) -> None:
-            for child in children:
-                if isinstance(child, tuple):
-                    run.append(child)
-                elif child.tag in INLINE and not child.side and not holds_blocks(child):
-                    inline(child.children)
-                elif child.tag in INLINE and not child.side:
-                    inline(child.children)
-                else:
-                    flush()
-                    last = tree.children[-1] if tree.children else None
-                    if last is None or last.label != child.label or last.side != child.side:
-                        last = Tree(child.label, child.side)
-                        tree.children.append(last)
-                    visit(child, last)
-
-        inline(node.children)
-        flush()
-
     tree = Tree("", False)
-    visit(root, tree)
+    #: Open elements: the tree's node, the run of text so far, the children still to read (those of inline elements on top).
+    frames: list[tuple[Tree, list[tuple[bool, str]], list[Iterator]]] = [(tree, [], [iter(root.children)])]
 
-    def prune(t: Tree) -> None:
-        for c in t.children:
-            prune(c)
+    def flush(at: Tree, run: list[tuple[bool, str]]) -> None:
+        nonlocal place
+        if run:
+            words = SPACE.sub(" ", html.unescape("".join(t for _, t in run))).strip()
+            if words:
+                linked = sum(len(t.strip()) for inside, t in run if inside)
+                at.blocks.append((place, words, min(linked, len(words))))
+                place += 1
+            run.clear()
+
+    while frames:
+        at, run, left = frames[-1]
+        child = next(left[-1], None)
+        if child is None:
+            left.pop()
+            if not left:
+                flush(at, run)
+                frames.pop()
+        elif isinstance(child, tuple):
+            run.append(child)
+        elif child.tag in INLINE and not child.side:
+            left.append(iter(child.children))
+        else:
+            flush(at, run)
+            last = at.children[-1] if at.children else None
+            if last is None or last.label != child.label or last.side != child.side:
+                last = Tree(child.label, child.side)
+                at.children.append(last)
+            frames.append((last, [], [iter(child.children)]))
+
+    # Children come after their parents in document order.
+    for node in reversed(slots(tree)):
         merged: list[Tree] = []
-        for c in t.children:
+        for c in node.children:
             if not c.blocks and not c.children:
                 continue
             if merged and merged[-1].label == c.label and merged[-1].side == c.side:
@@ -265,9 +278,7 @@ def fold(root: Node) -> Tree:
                 merged[-1].blocks += c.blocks
             else:
                 merged.append(c)
-        t.children = merged
-
-    prune(tree)
+        node.children = merged
     return tree
 
 
@@ -319,28 +330,63 @@ class Shape:
         return out
 
 
+class _Match:
+    """Two nodes under way: the table over their children, filled row by row, and each pair of children's match."""
+
+    __slots__ = ("a", "b", "best", "pair", "place", "inner")
+
+    def __init__(self, a: Shape, b: Shape):
+        self.a, self.b, self.place = a, b, 0
+        same = a.label == b.label and a.side == b.side
+        m, n = (len(a.children), len(b.children)) if same else (-1, 0)
+        self.best = [[0] * (n + 1) for _ in range(m + 1)]
+        self.pair: list[list[_Match | None]] = [[None] * n for _ in range(m)]
+        #: Matches of children that the best alignment takes.
+        self.inner: list[_Match] = []
+
+    def size(self) -> int:
+        return self.best[-1][-1] + 1 if self.best else 0
+
+    def step(self) -> "_Match | None":
+        """The next pair of children to match; None when the table is full and the alignment chosen."""
+        m, n = len(self.pair), len(self.best[0]) - 1 if self.best else 0
+        if self.place:
+            i, j = divmod(self.place - 1, n)
+            self.best[i + 1][j + 1] = max(self.best[i][j + 1], self.best[i + 1][j], self.best[i][j] + self.pair[i][j].size())
+        if self.place < m * n:
+            i, j = divmod(self.place, n)
+            self.place += 1
+            self.pair[i][j] = _Match(self.a.children[i], self.b.children[j])
+            return self.pair[i][j]
+        i, j = m, n
+        while i and j:
+            if self.best[i][j] == self.best[i - 1][j]:
+                i -= 1
+            elif self.best[i][j] == self.best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                self.inner.append(self.pair[i][j])
+        self.pair = []
+        return None
+
+
 def tree_match(a: Shape, b: Shape) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching: the most nodes that two trees share in order, level by level, and their numbers."""
-    if a.label != b.label or a.side != b.side:
-        return 0, []
-    m, n = len(a.children), len(b.children)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    pair = [[None] * n for _ in range(m)]
-    for i in range(m):
-        for j in range(n):
-            pair[i][j] = tree_match(a.children[i], b.children[j])
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + pair[i][j][0])
-    matched = [(a.number, b.number)]
-    i, j = m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
+    whole = _Match(a, b)
+    open_matches = [whole]
+    while open_matches:
+        below = open_matches[-1].step()
+        if below is None:
+            open_matches.pop()
         else:
-            i, j = i - 1, j - 1
-            matched += pair[i][j][1]
-    return best[m][n] + 1, matched
+            open_matches.append(below)
+    matched, todo = [], [whole] if whole.size() else []
+    while todo:
+        match = todo.pop()
+        matched.append((match.a.number, match.b.number))
+        todo.extend(match.inner)
+    return whole.size(), matched
 
 
 def _content(template: Shape, stats: dict[int, list], parents: dict[int, int]) -> set[int]:
@@ -459,17 +505,16 @@ def induce(shapes: pd.DataFrame) -> pd.DataFrame:
 
 def page_mark(tree: Tree) -> int:
     """Hash of a page's text outside of side parts, of all its text if there is none: copies have the same."""
-    texts: list[tuple[int, str]] = []
-
-    def visit(node: Tree, all_parts: bool) -> None:
-        if all_parts or not node.side:
-            texts.extend((b[0], b[1]) for b in node.blocks)
-            for child in node.children:
-                visit(child, all_parts)
-
-    visit(tree, False)
-    if not texts:
-        visit(tree, True)
+    for all_parts in (False, True):
+        texts: list[tuple[int, str]] = []
+        todo = [tree]
+        while todo:
+            node = todo.pop()
+            if all_parts or not node.side:
+                texts.extend((b[0], b[1]) for b in node.blocks)
+                todo.extend(node.children)
+        if texts:
+            break
     mark = xxhash.xxh64_intdigest("\n".join(t for _, t in sorted(texts)).encode())
     return mark - (1 << 64) if mark >> 63 else mark
 
@@ -549,7 +594,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row: the blocks in content slots, in page order, two newlines between.
 
     Null and empty pages and pages without content have an empty text; a null or odd URL is
-    the empty host.  Repeated rows are returned as often as they occur.
+    the empty host.  Repeated rows are returned as often as they occur.  Elements may be nested
+    and tags left open to any depth and number: a page is read in time that grows with its length.
     """
     read = pages.select("page_id", "url", page_host(F.col("url")).alias("host"), page_blocks(F.col("html")).alias("page"))
     read = read.select("page_id", "url", "host", "page.shape", "page.blocks")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +146,27 @@ def test_content_is_not_cut_by_names_or_sizes(spark, html, want):
     rows = [(k, "http://e.example/", f"<body>{html.format(k=k, t=WORDY)}</body>") for k in range(5)]
     got = {r["page_id"]: r["text"] for r in W.extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert got == {k: want.format(k=k, t=WORDY) for k in range(5)}
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "font", "span", "li", "td", "p", "a", "x-y"])
+def test_elements_nested_to_any_depth(tag):
+    for page in (f"<{tag}>" * 30_000 + "text", f"<{tag}>" * 30_000 + "text" + f"</{tag}>" * 30_000):
+        tree = W.fold(W.parse(page))
+        assert [b[1] for n in W.slots(tree) for b in n.blocks] == ["text"]
+        shape = W.Shape.read(tree.shape())
+        assert W.tree_match(shape, W.Shape.read(tree.shape()))[0] == len(shape.nodes())
+        assert W.page_mark(tree)
+
+
+@pytest.mark.parametrize("page", ["<a " * 50_000, "<a '" * 50_001 + ">", "<![CDATA[" * 50_000 + ">", "<" * 50_000, "<!" * 50_000, "<!--" * 50_000])
+def test_tags_left_open(page):
+    start = time.monotonic()
+    W.fold(W.parse(page))
+    assert time.monotonic() - start < 5
+
+
+def test_an_odd_page_leaves_the_others(spark):
+    rows = [(i, "http://h.example/", f"<body><article><p>text {i}</p></article></body>") for i in range(5)]
+    rows += [(5, "http://h.example/", "<div>" * 5_000 + "deep"), (6, "http://h.example/", "<a " * 5_000), (7, None, "<b>" * 5_000)]
+    found = {r["page_id"]: r["text"] for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(found) == 8 and found[3] == "text 3"
