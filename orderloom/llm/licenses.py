@@ -101,9 +101,11 @@ def phrase_places(words: list[bytes], joined: bytes) -> list[tuple[int, str]]:
     found = []
     for phrase, label in PHRASES:
         key = b" " + phrase.encode() + b" "
-        at = joined.find(key)
+        at, before, number = joined.find(key), 0, 0
         while at >= 0:
-            found.append((joined.count(b" ", 0, at), label))
+            number += joined.count(b" ", before, at)
+            before = at
+            found.append((number, label))
             at = joined.find(key, at + 1)
     return sorted(found)
 
@@ -173,7 +175,7 @@ def word_counts(docs: DataFrame, templates: tuple[tuple[str, str], ...]) -> dict
 
 SCAN_TYPE = (
     "struct<n_words:long,places:array<struct<word:long,label:string>>,"
-    "blocks:array<struct<first_word:long,words:int,shared:int,template:int,label:string,containment:double>>,"
+    "blocks:array<struct<first_word:long,words:int,shared:int,template:int,label:string,containment:double,best:boolean>>,"
     "windows:array<struct<first_word:long,words:int,shared:int,template:int,label:string,containment:double,kept:boolean>>>"
 )
 
@@ -190,8 +192,10 @@ def scan(text: Column, templates: Templates) -> Column:
             blocks, windows = [], []
             if not templates.seeds.isdisjoint(words):
                 for first, block in text_blocks(value):
-                    for t, shared, share in templates.meet(block):
-                        blocks.append({"first_word": first, "words": len(block), "shared": shared, "template": t, "label": templates.labels[t], "containment": share})
+                    found = templates.meet(block)
+                    top = max((f[1:] for f in found), default=None)
+                    for t, shared, share in found:
+                        blocks.append({"first_word": first, "words": len(block), "shared": shared, "template": t, "label": templates.labels[t], "containment": share, "best": (shared, share) == top})
                 for first, block in text_windows(value):
                     found = templates.meet(block)
                     kept = templates.unexplained(found)
@@ -215,9 +219,10 @@ def _scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...], threshold:
 def license_blocks(docs: DataFrame, *, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, first_word, words, shared, template, label, containment of every line block and template that meet the threshold.
 
-    Null and empty texts have no blocks; repeated rows give repeated results.
+    Null and empty texts have no blocks; repeated rows give repeated results.  A text costs time
+    and memory in proportion to its words and its notices.
     """
-    return _scanned(docs, templates, threshold).select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
+    return _scanned(docs, templates, threshold).select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*").drop("best")
 
 
 def license_windows(docs: DataFrame, *, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -236,12 +241,7 @@ def scan_documents(docs: DataFrame, *, templates: tuple[tuple[str, str], ...] =
     explains.  The score is the largest containment found; a phrase counts as contained in full.
     """
     rows = _scanned(docs, templates, threshold)
-
-    def beaten(b: Column, c: Column) -> Column:
-        more = (c["shared"] > b["shared"]) | ((c["shared"] == b["shared"]) & (c["containment"] > b["containment"]))
-        return (b["first_word"] == c["first_word"]) & more
-
-    best = F.filter("blocks", lambda b: ~F.exists("blocks", lambda c: beaten(b, c)))
+    best = F.filter("blocks", lambda b: b["best"])
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
     wrapped = F.filter("windows", lambda b: b["kept"])
     added = F.array_distinct(F.concat(F.transform(best, lambda b: b["label"]), F.transform(wrapped, lambda b: b["label"])))

@@ -147,3 +147,11 @@ def test_wrapped_notices_side_by_side(spark):
     text = wrapped(bsd, 30, "#") + "\n" + wrapped(mpl, 30, "#")
     rows = L.scan_documents(documents(spark, [text, "one line only: " + mpl, wrapped("Licensed under CC BY-NC 4.0.", 9, "#")])).collect()
     assert {r["doc_id"]: r["labels"] for r in rows} == {0: "bsd,mpl", 1: "mpl", 2: "cc-by-nc"}
+
+
+def test_a_text_of_very_many_notices(spark):
+    line = "Licensed under the Apache License, Version 2.0. See the MIT license.\n"
+    n = 20_000
+    row = L.scan_documents(documents(spark, [line * n])).first()
+    assert row["n_base"] == 2 * n and row["first_word"] == 3 and row["last_word"] == 12 * (n - 1) + 10
+    assert row["base_labels"] == "apache,mit" and row["score"] == 1.0
