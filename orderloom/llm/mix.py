@@ -73,7 +73,7 @@ class Mix:
     ):
         self.block_words, self.repeats = block_words, repeats
         self.kept = docs.columns
-        names = {x: free_name(docs, x) for x in ("size", "source_size", "target", "start", "take", "key", "bucket", "at", "block")}
+        names = {x: free_name(docs, x) for x in ("size", "source_size", "target", "start", "take", "key", "bucket", "at", "block", "of_source", "of_bucket", "offset", "of_block", "place")}
         self.names = names
         size_name, start, key, bucket = names["size"], names["start"], names["key"], names["bucket"]
         digits = max(1, math.ceil(math.log(max(1, docs.count() / bucket_rows), 16)))
@@ -88,16 +88,17 @@ class Mix:
         targets = source_targets(totals.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total_share, repeats)
         #: One row per source: source, source_size, target, take (whole words to take).
         self.sources = settle(targets.withColumn("take", F.round("target").cast("long")))
+        of_source, of_bucket, offset = names["of_source"], names["of_bucket"], names["offset"]
         held = self.sources.select(
-            F.col("source").alias("_source"), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]), F.col("take").alias(names["take"])
+            F.col("source").alias(of_source), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]), F.col("take").alias(names["take"])
         )
-        offsets = offsets.select(F.col("source").alias("_source"), F.col(bucket).alias("_bucket"), F.col("words").alias("_offset"))
+        offsets = offsets.select(F.col("source").alias(of_source), F.col(bucket).alias(of_bucket), F.col("words").alias(offset))
         inside = Window.partitionBy("source", bucket).orderBy(key, "doc_id", size_name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         placed = rows.withColumn(start, F.sum(size_name).over(inside) - F.col(size_name))
-        placed = placed.join(offsets, placed["source"].eqNullSafe(offsets["_source"]) & (placed[bucket] == offsets["_bucket"]))
-        placed = placed.withColumn(start, F.col(start) + F.col("_offset")).drop("_source", "_bucket", "_offset", key, bucket)
+        placed = placed.join(offsets, placed["source"].eqNullSafe(offsets[of_source]) & (placed[bucket] == offsets[of_bucket]))
+        placed = placed.withColumn(start, F.col(start) + F.col(offset)).drop(of_source, of_bucket, offset, key, bucket)
         #: Documents with size, start (their first word's place in their source's stream), source_size, target, take.
-        self.documents = placed.join(held, placed["source"].eqNullSafe(held["_source"])).drop("_source")
+        self.documents = placed.join(held, placed["source"].eqNullSafe(held[of_source])).drop(of_source)
 
     def schedule(self) -> DataFrame:
         """source, block, slot: the place in the mix of each block that the mix takes.
@@ -156,21 +157,23 @@ class Mix:
         at, block = F.col(self.names["at"]), F.col(self.names["block"])
         end = F.least(at + size, take)
         cut = self.appearances().withColumn(self.names["block"], F.explode(F.sequence(F.floor(at / n), F.floor((end - 1) / n))))
-        slots = self.schedule().select(F.col("source").alias("_slot_source"), F.col("block").alias("_slot_block"), F.col("slot").alias("_slot"))
+        of_source, of_block, place = (self.names[x] for x in ("of_source", "of_block", "place"))
+        slots = self.schedule().select(F.col("source").alias(of_source), F.col("block").alias(of_block), F.col("slot").alias(place))
         low = F.greatest(at, block * n)
         return cut.join(
-            slots, cut["source"].eqNullSafe(slots["_slot_source"]) & (cut[self.names["block"]] == slots["_slot_block"])
+            slots, cut["source"].eqNullSafe(slots[of_source]) & (cut[self.names["block"]] == slots[of_block])
         ).select(
             *[cut[c] for c in dict.fromkeys([*self.kept, *(self.names[x] for x in ("size", "start", "target", "source_size"))])],
-            F.col("_slot").alias("slot"), (low - at).alias("from_word"), (F.least(end, (block + 1) * n) - low).alias("words"),
+            F.col(place).alias("slot"), (low - at).alias("from_word"), (F.least(end, (block + 1) * n) - low).alias("words"),
         )
 
     def whole_documents(self) -> DataFrame:
         """The columns of ``docs``: every document once for each time the mix takes its first word."""
         block = self.names["block"]
         first = self.appearances().withColumn(block, F.floor(F.col(self.names["at"]) / self.block_words))
-        slots = self.schedule().select(F.col("source").alias("_slot_source"), F.col("block").alias("_slot_block"))
-        taken = first.join(slots, first["source"].eqNullSafe(slots["_slot_source"]) & (first[block] == slots["_slot_block"]), "left_semi")
+        of_source, of_block = self.names["of_source"], self.names["of_block"]
+        slots = self.schedule().select(F.col("source").alias(of_source), F.col("block").alias(of_block))
+        taken = first.join(slots, first["source"].eqNullSafe(slots[of_source]) & (first[block] == slots[of_block]), "left_semi")
         return taken.select(*self.kept)
 
 

@@ -107,3 +107,15 @@ def test_empty_tables(spark):
     assert mix.words_taken(empty(spark)).collect() == []
     assert [r["taken"] for r in mix.words_taken(documents(spark, [None, ""])).collect()] == [0, 0]
     assert mix.Mix(empty(spark)).whole_documents().collect() == []
+
+
+def test_columns_of_any_name(spark, table):
+    names = ["_source", "_bucket", "_offset", "_slot_source", "_slot_block", "of_source", "of_block", "start", "block", "place", "take"]
+    clashing = table
+    for name in names:
+        clashing = clashing.withColumn(name, F.lit(name))
+    whole = mix.Mix(clashing).whole_documents()
+    assert whole.columns == clashing.columns
+    assert sorted(r["doc_id"] for r in whole.collect()) == sorted(r["doc_id"] for r in mix.Mix(table).whole_documents().collect())
+    assert all(r[name] == name for r in whole.limit(3).collect() for name in names)
+    assert mix.Mix(clashing).pieces().count() == mix.Mix(table).pieces().count()
