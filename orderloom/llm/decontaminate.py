@@ -25,8 +25,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
+#: Words of an item at least.
 SEED_WORDS = 3
-WINDOW = 4
 #: Words of test items that a pass over the documents takes.
 BLOCK_WORDS = 500_000
 #: Alignment score of a pair from which the document is contaminated: the share of the best possible score of the item.
@@ -41,7 +43,7 @@ def split_words(text: str | None) -> list[str]:
 
 
 class Items:
-    """A block of test items as word numbers, and their n-grams as 64-bit keys."""
+    """A block of test items as word numbers, and the keys of their word pairs."""
 
     def __init__(self, items: list[tuple[int, str]]):
         words = [split_words(text) for _, text in items]
@@ -51,11 +53,6 @@ class Items:
         self.numbers = numbers
         self.ids = [item for item, _ in items]
         self.words = [np.array([numbers[w] for w in ws], dtype=np.int64) for ws in words]
-        grams = [self.keys(ws) for ws in self.words]
-        self.item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
-        self.offset = np.concatenate([np.arange(len(g)) for g in grams] or [np.empty(0, dtype=np.int64)])
-        self.gram = np.concatenate(grams or [np.empty(0, dtype=np.uint64)])
-        self.distinct = np.unique(self.gram)
         pairs = [self.pairs(ws) for ws in self.words]
         keys = np.unique(np.concatenate([x for pair in pairs for x in pair] or [np.empty(0, dtype=np.int64)]))
         self.pair_keys = keys[keys >= 0]
@@ -80,33 +77,11 @@ class Items:
             keys.append(key)
         return keys[0], keys[1]
 
-    def keys(self, numbers: np.ndarray) -> np.ndarray:
-        """Key of the n-gram at each place; exact while the items have under two million different words."""
-        n = len(numbers) - SEED_WORDS + 1
-        if n <= 0:
-            return np.empty(0, dtype=np.uint64)
-        key = np.zeros(n, dtype=np.uint64)
-        for k in range(SEED_WORDS):
-            key = (key << np.uint64(21)) | numbers[k : k + n].astype(np.uint64)
-        return key
-
     def number(self, words: list[str]) -> np.ndarray:
         get = self.numbers.get
         return np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
 
 
-def rarest_in_windows(items: Items, counts: np.ndarray) -> np.ndarray:
-    """In each window of the items' n-grams the one in fewest documents, ties to the first; matching does not use it."""
-    chosen = np.zeros(len(items.gram), dtype=bool)
-    counts = counts[np.searchsorted(items.distinct, items.gram)] if len(items.gram) else counts
-    for i in range(len(items.ids)):
-        a, b = np.searchsorted(items.item, [i, i + 1])
-        for at in range(a, max(a + 1, b - WINDOW + 1)):
-            if a < b:
-                chosen[at + int(np.argmin(counts[at : min(b, at + WINDOW)]))] = True
-    return chosen
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Best Smith-Waterman score of ``item`` in ``passage``, and the place of the first and last aligned word.
 
@@ -272,33 +247,34 @@ def _matcher(anchors: Anchors):
     return match.asNondeterministic()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", threshold: float = THRESHOLD) -> list[Column]:
-    """For each block of test items an array column of the items found in ``text``: item_id, score, first_word, last_word.
+def contamination(benchmark: DataFrame, *, text: str = "text", threshold: float = THRESHOLD) -> Iterator[Column]:
+    """For one block of test items after the other an array column of the items found in ``text``: item_id, score, first_word, last_word.
 
     The score is the alignment's share of the best possible, best place per item.  Null and
     empty texts have none; items that are null or shorter than a seed are found nowhere; an
-    item_id with several texts is found by any of them.
+    item_id with several texts is found by any of them.  Callers that settle what a block gives
+    before they ask for the next hold one block on the driver and in the tasks.
     """
-    columns = []
     for block in _blocks(benchmark):
-        columns.append(_matcher(Anchors(Items(block), threshold))(F.col(text)))
-    return columns
+        yield _matcher(Anchors(Items(block), threshold))(F.col(text))
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word of every document and test item that align to ``threshold``."""
-    pairs = None
-    for found in contamination(docs, benchmark, threshold=threshold):
-        part = docs.select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.*")
-        pairs = part if pairs is None else pairs.union(part)
-    if pairs is None:
+    pairs = last = None
+    for found in contamination(benchmark, threshold=threshold):
+        if last is not None:
+            pairs = settle(last) if pairs is None else settle(pairs.union(last))
+        last = docs.select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.*")
+    if last is None:
         return docs.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("item_id", "long"), ("score", "double"), ("first_word", "int"), ("last_word", "int"))]).limit(0)
-    return pairs
+    return last if pairs is None else pairs.union(last)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The documents in which no test item is found."""
-    kept = docs
-    for found in contamination(docs, benchmark, threshold=threshold):
-        kept = kept.filter(F.size(found) == 0)
+    kept, more = docs, False
+    for found in contamination(benchmark, threshold=threshold):
+        kept = (settle(kept) if more else kept).filter(F.size(found) == 0)
+        more = True
     return kept

@@ -32,19 +32,6 @@ def test_alignment_is_smith_waterman():
             assert plain_align(item.tolist(), passage[start : end + 1].tolist()) == score
 
 
-def test_seeds_cover_every_window():
-    items = D.Items([(1, " ".join(f"a{i}" for i in range(30))), (2, "x y z"), (3, "q " * 20)])
-    counts = np.random.default_rng(2).integers(0, 9, len(items.distinct))
-    chosen = D.rarest_in_windows(items, counts)
-    for i in range(3):
-        own = np.flatnonzero(items.item == i)
-        for a in range(0, max(1, len(own) - D.WINDOW + 1)):
-            window = own[a : a + D.WINDOW]
-            assert chosen[window].any()
-            least = counts[np.searchsorted(items.distinct, items.gram[window])]
-            assert chosen[window[least.argmin()]]
-
-
 @pytest.fixture(scope="module")
 def case(spark):
     rng = np.random.default_rng(5)
