@@ -42,6 +42,21 @@ def check_limit(n: int, low: int, high: int) -> int:
     return n
 
 
+def leading_rows(df: DataFrame, lead: str, n: int) -> DataFrame:
+    """The rows of ``df`` that can be among the first ``n`` by the column ``lead`` ("-name" descends), NULL last.
+
+    A first read of that column, and of what ``df`` filters on, finds the value of the n-th
+    row; the limit enters the second read as a filter, which the Parquet scan takes.  So wide
+    rows are read only as far as the limit.  All ties of the n-th row are among the result.
+    """
+    column = F.col(lead.lstrip("-"))
+    if lead.startswith("-"):
+        last = df.select(column.alias("lead")).orderBy(F.col("lead").desc_nulls_last()).limit(n).agg(F.min("lead"))
+        return df.filter((column >= last.scalar()) | column.isNull())
+    last = df.select(column.alias("lead")).orderBy(F.col("lead").asc_nulls_last()).limit(n).agg(F.max("lead"))
+    return df.filter((column <= last.scalar()) | column.isNull())
+
+
 def top_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """First ``n`` rows by ``order`` ("-name" descends), NULL last, other columns as tie-breakers."""
     named = [o.lstrip("-") for o in order]
@@ -149,7 +164,9 @@ def list_material_groups(mart: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def list_overdue(mart: DataFrame, as_of=None, limit: int = 500) -> DataFrame:
-    return top_rows(overdue_lines(mart, as_of), ["-age_days"], check_limit(limit, 1, 2000))
+    """Oldest lines first; the oldest are those of the earliest dates."""
+    overdue = leading_rows(overdue_lines(mart, as_of), "creation_date", check_limit(limit, 1, 2000))
+    return top_rows(overdue, ["-age_days"], limit)
 
 
 def list_delivery(mart: DataFrame, limit: int = 100) -> DataFrame:

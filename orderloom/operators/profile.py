@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import find_column, pct
-from .lists import top_rows
+from .lists import leading_rows, top_rows
 from .search import field_samples, field_stats
 from .views import dashboard_kpis, lines_count, monthly_trend, overdue_lines, rounded_sum
 
@@ -63,8 +63,8 @@ def schema_profile(df: DataFrame) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int = 3) -> DataFrame:
-    """First rows in column order, so repeated calls agree."""
-    return top_rows(df, [], n)
+    """First rows in column order, so repeated calls agree; a first read finds them by the first column."""
+    return top_rows(leading_rows(df, df.columns[0], n), [], n)
 
 
 def each_table(op: Callable[[DataFrame], DataFrame], tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -78,10 +78,13 @@ def each_table(op: Callable[[DataFrame], DataFrame], tables: Mapping[str, DataFr
 
 def sample_cells(df: DataFrame, n: int = 3) -> DataFrame:
     """The sample rows as texts, one row per cell, so that tables of different columns fit together."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns])
-    order = Window.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in df.columns])
-    numbered = sample_rows(df, n).select(F.row_number().over(order).alias("sample"), cells.alias("_cells"))
-    return numbered.select("sample", F.inline("_cells"))
+    named = [(c, F.col(f"`{c}`")) for c in df.columns]
+    # Sorting puts NULL first, so a flag before each value puts it last.
+    order = F.struct(*[x for c, value in named for x in (value.isNull(), value)])
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), value.cast("string").alias("value")) for c, value in named])
+    rows = sample_rows(df, n).agg(F.sort_array(F.collect_list(F.struct(order.alias("order"), cells.alias("cells")))).alias("rows"))
+    numbered = rows.select(F.posexplode("rows").alias("place", "row"))
+    return numbered.select((F.col("place") + 1).alias("sample"), F.inline("row.cells"))
 
 
 def field_probe(tables: Mapping[str, DataFrame], candidates: Sequence[str], samples: int = 8) -> DataFrame:

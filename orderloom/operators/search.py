@@ -2,7 +2,8 @@
 
 Only the predicates a caller asks for enter the plan.  Equality, prefix and date
 range predicates reach the Parquet scan; a contains search cannot, so it reads
-the searched columns and keeps only the best rows of each partition.
+the searched columns and keeps only the best rows of each partition.  The columns to
+show are read for the newest rows only (``leading_rows``).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fill_pct, ilike_contains, literal_contains, not_blank
-from .lists import check_limit, top_rows
+from .lists import check_limit, leading_rows, top_rows
 
 # Number ranges of the two customer references, searched columns
 # and returned columns.
@@ -60,7 +61,7 @@ def search(mart: DataFrame, q: str, limit: int = 100) -> DataFrame:
     else:
         columns = SEARCHED
     columns = [c for c in columns if c in mart.columns]
-    matched = mart.filter(_any_contains(columns, q) if q else F.lit(False))
+    matched = leading_rows(mart.filter(_any_contains(columns, q)), "-creation_date", limit) if q else mart.filter(F.lit(False))
     return top_rows(matched.select(*[c for c in SEARCH_RESULT if c in mart.columns]), ["-creation_date"], limit)
 
 
@@ -103,7 +104,7 @@ def dataset(
         tests.append(F.col("creation_date") <= F.lit(str(date_to)).cast("date"))
     tests += [_any_contains(columns, text) for text, columns in contains if text]
     kept = mart.filter(reduce(and_, tests)) if tests else mart
-    rows = kept.withColumnRenamed("spend", "estimated_spend").select(*DATASET_RESULT)
+    rows = leading_rows(kept, "-creation_date", limit).withColumnRenamed("spend", "estimated_spend").select(*DATASET_RESULT)
     return top_rows(rows, ["-creation_date", "-purchase_order", "purchase_order_item"], limit)
 
 
@@ -133,8 +134,9 @@ def list_filter(df: DataFrame, columns: Sequence[str], q: str = "", risk_tier: s
 
 
 def order_detail(mart: DataFrame, purchase_order: str) -> DataFrame:
-    """First dataset row of an order."""
-    return dataset(mart.filter(F.col("purchase_order") == purchase_order), limit=1)
+    """First dataset row of an order; the scan reads the pages that hold it, so there is no first read."""
+    rows = mart.filter(F.col("purchase_order") == purchase_order).withColumnRenamed("spend", "estimated_spend")
+    return top_rows(rows.select(*DATASET_RESULT), ["-creation_date", "-purchase_order", "purchase_order_item"], 1)
 
 
 # Reference coverage -----------------------------------------------------------

@@ -225,11 +225,11 @@ _on_mart("dataset_all", search.dataset)
 _on_mart("dataset_filtered", search.dataset, **DATASET_FILTERS)
 _register(
     "prefix_lookup",
-    lambda w: search.prefix_lookup(w.table("raw_po_header"), w.table("raw_po_item"), FIND_PO),
+    lambda w: search.prefix_lookup(w.index("raw_po_header"), w.index("raw_po_item"), FIND_PO),
 )
 _register(
     "prefix_lookup_item",
-    lambda w: search.prefix_lookup(w.table("raw_po_header"), w.table("raw_po_item"), FIND_PR),
+    lambda w: search.prefix_lookup(w.index("raw_po_header"), w.index("raw_po_item"), FIND_PR),
 )
 _on_mart("mart_row_count", lambda m: m.agg(views.lines_count().alias("rows")))
 

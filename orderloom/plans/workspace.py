@@ -17,7 +17,7 @@ from ..operators.fact import RawInputs, build_fact
 from ..operators.mart import build_mart
 from ..sources.store import TableStore
 from .fixtures import adapter_frames, land_pages
-from .refresh import RAW_TABLES, refresh
+from .refresh import INDEXES, RAW_TABLES, refresh
 from .session import configure
 
 _open: dict[tuple[str, str], "Workspace"] = {}
@@ -62,6 +62,12 @@ class Workspace:
             return self.frames[name]
         return self.store.read(name, self.run_id)
 
+    def index(self, table: str) -> DataFrame:
+        """The covering index of a raw table, or the table where none is stored."""
+        if self.store is None:
+            return self.frames[table]
+        return self.table(next(i.name for i in INDEXES if i.table == table))
+
     def landed_header(self) -> str:
         """Folder of the header as landed page files, written on first use."""
         if self.store is None:

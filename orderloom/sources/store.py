@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .layout import Layout
 from .schemas import OVERRIDES, struct_of
 
 RUN_COLUMNS = {
@@ -42,16 +43,15 @@ class TableStore:
     def path(self, run_id: str, table: str) -> str:
         return f"{self.root}/runs/{run_id}/{table}"
 
-    def write(self, df: DataFrame, run_id: str, table: str, sort_within: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, run_id: str, table: str, layout: Layout | None = None) -> DataFrame:
         """Write a table of a run and return it as read back.
 
-        ``sort_within`` orders rows inside each file, without a shuffle, so that
-        row-group statistics let filters on those columns skip data.  An empty
-        input keeps its schema.
+        A ``layout`` places the rows, by one more shuffle, so that filters on its columns
+        read little.  An empty input keeps its schema.
         """
-        if sort_within:
-            df = df.sortWithinPartitions(*sort_within)
-        df.write.mode("overwrite").parquet(self.path(run_id, table))
+        options = layout.options() if layout else {}
+        placed = layout.place(df) if layout else df
+        placed.write.mode("overwrite").options(**options).parquet(self.path(run_id, table))
         return self.read(table, run_id)
 
     def read(self, table: str, run_id: str | None = None) -> DataFrame:
