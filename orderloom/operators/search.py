@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fill_pct, ilike_contains, literal_contains, not_blank
+from .distinct import distinct_count
 from .lists import check_limit, leading_rows, top_rows
 
 # Number ranges of the two customer references, searched columns
@@ -144,15 +145,11 @@ def order_detail(mart: DataFrame, purchase_order: str) -> DataFrame:
 
 def field_stats(df: DataFrame, fields: Sequence[str], po_column: str | None) -> DataFrame:
     """One row per field: totals, distinct values, fill percentage, orders with a non-blank value."""
-    measures = [F.count(F.lit(1)).alias("total_rows")]
+    measures, counts = [F.count(F.lit(1)).alias("total_rows")], []
     for f in fields:
-        orders = F.countDistinct(F.when(not_blank(F.col(f)), F.col(po_column))) if po_column else F.lit(None)
-        measures += [
-            F.count(f).alias(f"{f}_n"),
-            F.countDistinct(f).alias(f"{f}_d"),
-            fill_pct(F.col(f)).alias(f"{f}_p"),
-            orders.cast("bigint").alias(f"{f}_o"),
-        ]
+        measures += [F.count(f).alias(f"{f}_n"), fill_pct(F.col(f)).alias(f"{f}_p")]
+        orders = distinct_count(df.filter(not_blank(F.col(f))), po_column) if po_column else F.lit(None)
+        counts += [distinct_count(df, f).alias(f"{f}_d"), orders.cast("bigint").alias(f"{f}_o")]
     rows = [
         F.struct(
             F.lit(f).alias("field"),
@@ -164,7 +161,7 @@ def field_stats(df: DataFrame, fields: Sequence[str], po_column: str | None) ->
         )
         for f in fields
     ]
-    return df.agg(*measures).select(F.inline(F.array(*rows)))
+    return df.agg(*measures).select("*", *counts).select(F.inline(F.array(*rows)))
 
 
 def field_samples(df: DataFrame, field: str, n: int) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Grouped views pre-aggregate before their shuffle, so a supplier, plant or month
 holding a large share of the lines costs no more than a small one.  Distinct
-counts are deduplicated on (group, value), which spreads a large group.  A share
+counts are deduplicated on (group, value), which spreads a large group; where there
+are several, each is its own narrow aggregate (``distinct``).  A share
 of the grand total reads the total as a scalar subquery over two columns instead
 of a window without partitions, which would move every group to one task.
 """
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import count_where, is_live, money_sum, pct, round_half_up, safe_double
+from .distinct import distinct_count, grouped
 from .fact import (
     CANCELLED,
     FULLY_DELIVERED,
@@ -68,11 +70,10 @@ def live_lines(mart: DataFrame) -> DataFrame:
 def dashboard_kpis(mart: DataFrame) -> DataFrame:
     """One row of headline figures."""
     delivered, not_cancelled = with_status(FULLY_DELIVERED), count_where(F.col("dashboard_status") != CANCELLED)
-    return live_lines(mart).agg(
+    live = live_lines(mart)
+    distinct = [("purchase_order", "total_pos"), ("supplier", "active_suppliers"), ("plant", "active_plants")]
+    figures = live.agg(
         lines_count().alias("total_lines"),
-        F.countDistinct("purchase_order").alias("total_pos"),
-        F.countDistinct("supplier").alias("active_suppliers"),
-        F.countDistinct("plant").alias("active_plants"),
         rounded_sum("spend").alias("total_estimated_spend"),
         delivered.alias("fully_delivered_lines"),
         with_status(PARTIALLY_DELIVERED).alias("partially_delivered_lines"),
@@ -88,6 +89,8 @@ def dashboard_kpis(mart: DataFrame) -> DataFrame:
         pct(F.count("customer_po"), lines_count()).alias("customer_po_fill_pct"),
         pct(F.count("customer_pr"), lines_count()).alias("customer_pr_fill_pct"),
     )
+    counts = [distinct_count(live, column).alias(name) for column, name in distinct]
+    return figures.select("total_lines", *counts, *figures.columns[1:])
 
 
 def spend_by_supplier(mart: DataFrame) -> DataFrame:
@@ -133,17 +136,13 @@ def _year_month(day: Column) -> Column:
 
 
 def spend_by_material_group(mart: DataFrame) -> DataFrame:
-    return (
-        live_lines(mart)
-        .groupBy("material_group", "material_group_text")
-        .agg(
-            F.countDistinct("purchase_order").alias("pos"),
-            lines_count().alias("lines"),
-            rounded_sum("spend").alias("total_spend"),
-            F.countDistinct("supplier").alias("supplier_count"),
-            F.countDistinct("plant").alias("plant_count"),
-        )
+    counted = grouped(
+        live_lines(mart),
+        ["material_group", "material_group_text"],
+        [lines_count().alias("lines"), rounded_sum("spend").alias("total_spend")],
+        {"pos": "purchase_order", "supplier_count": "supplier", "plant_count": "plant"},
     )
+    return counted.select("material_group", "material_group_text", "pos", "lines", "total_spend", "supplier_count", "plant_count")
 
 
 def delivery_performance(mart: DataFrame) -> DataFrame:
@@ -184,17 +183,13 @@ def overdue_lines(mart: DataFrame, as_of: dt.date | str | None = None) -> DataFr
 
 
 def spend_by_plant(mart: DataFrame) -> DataFrame:
-    return (
-        live_lines(mart)
-        .groupBy("plant", "purchasing_org")
-        .agg(
-            F.countDistinct("purchase_order").alias("pos"),
-            lines_count().alias("lines"),
-            rounded_sum("spend").alias("total_spend"),
-            F.countDistinct("supplier").alias("supplier_count"),
-            with_status(PO_CREATED).alias("open_lines"),
-        )
+    counted = grouped(
+        live_lines(mart),
+        ["plant", "purchasing_org"],
+        [lines_count().alias("lines"), rounded_sum("spend").alias("total_spend"), with_status(PO_CREATED).alias("open_lines")],
+        {"pos": "purchase_order", "supplier_count": "supplier"},
     )
+    return counted.select("plant", "purchasing_org", "pos", "lines", "total_spend", "supplier_count", "open_lines")
 
 
 def supplier_risk_tiers(by_supplier: DataFrame) -> DataFrame:

@@ -72,3 +72,14 @@ def test_workspace_lives_in_the_shared_folder(spark, sf_dir):
     store = workspace(spark, sf_dir).store
     assert store.root.startswith(spark.conf.get("spark.checkpoint.dir"))
     assert workspace(spark, sf_dir).table("mart_po_item").select(F.count("*")).first()[0] > 0
+
+
+SEVERAL_DISTINCTS = [
+    "dashboard_kpis", "kpi_unpivot", "spend_by_material_group", "list_material_groups", "top_material_groups", "spend_by_plant", "list_plants",
+    "customer_reference_stats", "field_probe",
+]
+
+
+@pytest.mark.parametrize("key", SEVERAL_DISTINCTS)
+def test_distinct_counts_do_not_repeat_rows(spark, sf_dir, key):
+    assert "Expand" not in plan(entry.queries()[key](spark, sf_dir))
