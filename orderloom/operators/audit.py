@@ -182,18 +182,22 @@ def missing_supplier_count(summary: DataFrame, suppliers: DataFrame) -> DataFram
     return _unknown_suppliers(summary, suppliers).agg(F.count(F.lit(1)).alias("missing_suppliers"))
 
 
-def spend_check(summary: DataFrame) -> DataFrame:
-    """Agreement of stated spend with quantity x price; a missing number counts as agreement."""
+def _spend_measures(summary: DataFrame) -> dict[str, Column]:
     qty, price, stated = (
         column_or_null(summary, [c], "double") for c in ("OrderQuantity", "NetPriceAmount", "TotalEstimatedSpend")
     )
     diff = F.abs(qty * price - stated)
     agrees = F.coalesce(diff, F.lit(0.0)) < 1e-6
-    return summary.agg(
-        (count_where(agrees).cast("double") / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("exact_match_share"),
-        count_where(diff > 0.01).alias("rows_diff_gt_0_01"),
-        count_where(qty.isNull() | price.isNull() | stated.isNull()).alias("rows_with_missing"),
-    )
+    return {
+        "exact_match_share": count_where(agrees).cast("double") / F.nullif(F.count(F.lit(1)), F.lit(0)),
+        "rows_diff_gt_0_01": count_where(diff > 0.01),
+        "rows_with_missing": count_where(qty.isNull() | price.isNull() | stated.isNull()),
+    }
+
+
+def spend_check(summary: DataFrame) -> DataFrame:
+    """Agreement of stated spend with quantity x price; a missing number counts as agreement."""
+    return summary.agg(*[measure.alias(name) for name, measure in _spend_measures(summary).items()])
 
 
 # Report -----------------------------------------------------------------------
@@ -216,6 +220,29 @@ def _as_report(df: DataFrame, section: str, *labels: str) -> DataFrame:
     return df.select(F.lit(section).alias("section"), F.inline(F.array(*cells)))
 
 
+def _table_measures(inputs: Mapping[str, DataFrame], dated: Mapping[str, DataFrame], spend: str | None) -> list[DataFrame]:
+    """Row count, missing dates and, for the table ``spend``, the spend check: one aggregate and one read a table."""
+    parts = []
+    for name, df in inputs.items():
+        sections = [("row_counts", f"{name}.rows", F.count(F.lit(1)))]
+        if name in dated:
+            known = "CreationDate" in df.columns
+            rate = F.avg(F.col("CreationDate").isNull().cast("double")) if known else F.first(F.lit(None).cast("double"))
+            sections.append(("creation_date_nulls", f"{name}.null_rate", rate))
+        if name == spend:
+            sections += [("spend_validation", metric, measure) for metric, measure in _spend_measures(df).items()]
+        measured = df.agg(*[m.alias(f"_{i}") for i, (_, _, m) in enumerate(sections)])
+        cells = [
+            F.struct(
+                F.lit(section).alias("section"), F.lit(metric).alias("metric"), F.col(f"_{i}").cast("double").alias("number"),
+                F.lit(None).cast("string").alias("value"),
+            )
+            for i, (section, metric, _) in enumerate(sections)
+        ]
+        parts.append(measured.select(F.inline(F.array(*cells))))
+    return parts
+
+
 def _sampled(sample: DataFrame) -> DataFrame:
     """The sample's different lines and how often each is in it."""
     return sample.groupBy(*sample.columns).agg(F.count(F.lit(1)).alias("rows"))
@@ -241,11 +268,8 @@ def audit_report(inputs: Mapping[str, DataFrame], find_hot: bool = True) -> Data
     evidence = {"pr_po_summary": [*line, "CurrentStatus"], "raw_gr": line, "raw_asn": line}
     spend = ["OrderQuantity", "NetPriceAmount", "TotalEstimatedSpend"]
     dated = {n: inputs[n] for n in ("raw_po_header", "raw_po_item", "pr_po_summary", "raw_supplier") if n in inputs}
-    parts.append(_as_report(row_counts(inputs), "row_counts", "input"))
     for name, table, keys in (("po_header", "raw_po_header", order), ("po_item", "raw_po_item", line), ("pr_po_summary", "pr_po_summary", line)):
         check(f"duplicates of {name}", {table: keys}, lambda df, k=keys, n=name: [_as_report(duplicate_counts(df, k, n), "duplicates", "key")])
-    if dated:
-        parts.append(_as_report(null_rate(dated), "creation_date_nulls", "input"))
     check("requisitions per order", {"raw_pr": order}, lambda pr: [_as_report(top_requisitions_per_order(pr), "top_requisitions_per_order", *order)])
     check(
         "join explosion",
@@ -271,8 +295,9 @@ def audit_report(inputs: Mapping[str, DataFrame], find_hot: bool = True) -> Data
             _as_report(missing_supplier_count(summary, known), "missing_suppliers"),
         ],
     )
-    check("spend validation", {"pr_po_summary": spend}, lambda summary: [_as_report(spend_check(summary), "spend_validation")])
-    report = _union(parts)
+    noted = len(notes)
+    check("spend validation", {"pr_po_summary": spend}, lambda summary: [])
+    report = _union([*_table_measures(inputs, dated, "pr_po_summary" if len(notes) == noted else None), *parts])
     if notes:
         rows = [("notes", f"note_{i}", None, text) for i, text in enumerate(notes, 1)]
         report = report.unionByName(spark.createDataFrame(rows, report.schema))

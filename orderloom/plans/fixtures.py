@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -180,3 +181,57 @@ def land_pages(header: DataFrame, path: str, page_size: int = 5000) -> None:
     rows = dated.select(page.alias("page"), F.struct(*dated.columns).alias("row"))
     pages = rows.groupBy("page").agg(F.collect_list("row").alias("results"))
     pages.select(F.struct("results").alias("d")).write.option("maxRecordsPerFile", 1).json(path)
+
+
+def odd_item_schema() -> T.StructType:
+    """Item rows as a source may send them: metadata, names with signs, nested values, numbers as doubles."""
+    uri = T.StructType([T.StructField("uri", T.StringType())])
+    partner = T.StructType([T.StructField("Plant", T.StringType()), T.StructField("City", T.StringType())])
+    return T.StructType(
+        [
+            T.StructField("__metadata", uri),
+            T.StructField("Purchase Order", T.StringType()),
+            T.StructField("__Item-No.", T.StringType()),
+            T.StructField("to_Partner", partner),
+            T.StructField("Notes", T.ArrayType(T.StringType())),
+            T.StructField("Net  Price (USD)", T.DoubleType()),
+            T.StructField("Due", T.StringType()),
+        ]
+    )
+
+
+def land_odd_items(items: DataFrame, path: str, page_size: int = 5000) -> None:
+    """Write items as landed pages of ``odd_item_schema``: NaN for a price above 50,000, no date for the items 3."""
+    number = F.col("PurchaseOrder").cast("bigint")
+    millis = F.pmod(number, F.lit(10_000)) * F.lit(86_400_000)
+    row = F.struct(
+        F.struct(F.concat(F.lit("items/"), "PurchaseOrder").alias("uri")).alias("__metadata"),
+        F.col("PurchaseOrder").alias("Purchase Order"),
+        F.col("PurchaseOrderItem").alias("__Item-No."),
+        F.struct(F.col("Plant"), F.when(F.col("Plant") == "P7", F.lit("Köln \"x\"")).alias("City")).alias("to_Partner"),
+        F.when(F.col("PurchaseOrderItem") != "2", F.array("PurchaseOrder", F.lit("a, b"))).alias("Notes"),
+        F.when(F.col("NetAmount") > 50_000, F.lit(float("nan"))).otherwise(F.col("OrderQuantity")).alias("Net  Price (USD)"),
+        F.when(F.col("PurchaseOrderItem") != "3", F.format_string("due /Date(%d+0200)/", millis)).otherwise("none").alias("Due"),
+    )
+    page = F.floor(F.monotonically_increasing_id() / F.lit(page_size))
+    pages = items.select(page.alias("page"), row.alias("row")).groupBy("page").agg(F.collect_list("row").alias("results"))
+    writer = pages.select(F.struct("results").alias("d")).write.mode("overwrite")
+    writer.option("maxRecordsPerFile", 1).option("ignoreNullFields", False).json(path)
+
+
+def run_log(header: DataFrame) -> list[DataFrame]:
+    """Entries of a run log, starts and then outcomes: one run per order date, failed on some days of the month, running on others."""
+    dated = header.filter(F.col("CreationDate").isNotNull()).groupBy("CreationDate").agg(F.count(F.lit(1)).alias("orders"))
+    start = F.col("CreationDate").cast("timestamp")
+    day = F.dayofmonth("CreationDate")
+    run_id = F.concat(F.lit("run_"), F.date_format("CreationDate", "yyyyMMdd")).alias("run_id")
+    none = F.lit(None).cast("timestamp").alias("finished_at")
+    counts = F.concat(F.lit('{"raw_po_header": '), F.col("orders").cast("string"), F.lit(', "tables": "'), F.repeat(F.lit("ab"), 80), F.lit('"}'))
+    failed = day % 5 == 0
+    begun = dated.select(run_id, start.alias("started_at"), none, F.lit("running").alias("status"), F.lit("").alias("message"))
+    ended = dated.filter(day % 7 != 0).select(
+        run_id, start.alias("started_at"), (start + F.expr("INTERVAL 10 MINUTES")).alias("finished_at"),
+        F.when(failed, "failed").otherwise("success").alias("status"),
+        F.when(failed, F.concat(F.lit("no answer "), F.repeat(F.lit("x"), 150))).otherwise(counts).alias("message"),
+    )
+    return [begun, ended]

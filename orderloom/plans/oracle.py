@@ -18,6 +18,18 @@ from . import registry as reg
 from .fixtures import adapter_ctes
 
 
+#: One run per order date, as the run log of the registered queries has them.
+_RUNS = """WITH days AS (SELECT CreationDate AS d, count(*) AS orders FROM raw_po_header WHERE CreationDate IS NOT NULL GROUP BY 1),
+            runs AS (
+                SELECT 'run_' || strftime(d, '%Y%m%d') AS run_id, CAST(d AS TIMESTAMP) AS started_at,
+                       CASE WHEN day(d) % 7 <> 0 THEN CAST(d AS TIMESTAMP) + INTERVAL 10 MINUTE END AS finished_at,
+                       CASE WHEN day(d) % 7 = 0 THEN 'running' WHEN day(d) % 5 = 0 THEN 'failed' ELSE 'success' END AS status,
+                       CASE WHEN day(d) % 7 = 0 THEN '' WHEN day(d) % 5 = 0 THEN 'no answer ' || repeat('x', 150)
+                            ELSE '{"raw_po_header": ' || orders || ', "tables": "' || repeat('ab', 80) || '"}' END AS message
+                FROM days)
+"""
+
+
 def _cols(names) -> str:
     return ", ".join(names)
 
@@ -384,6 +396,21 @@ def _facts() -> dict[str, str]:
                         FROM (SELECT *, CAST(epoch_ms(CAST(CreationDate AS TIMESTAMP)) + 3600000 AS VARCHAR) AS t
                               FROM raw_po_header)))""",
         "ingest_header": "SELECT * FROM raw_po_header",
+        "ingest_odd_items": """
+            SELECT PurchaseOrder AS "Purchase_Order", PurchaseOrderItem AS "Item_No",
+                   '{"Plant":' || coalesce('"' || Plant || '"', 'null') || ',"City":'
+                       || CASE WHEN Plant = 'P7' THEN '"Köln \\"x\\""' ELSE 'null' END || '}' AS "to_Partner",
+                   CASE WHEN PurchaseOrderItem <> '2' THEN '["' || PurchaseOrder || '","a, b"]' END AS "Notes",
+                   CASE WHEN NetAmount > 50000 THEN NULL ELSE OrderQuantity END AS "Net_Price_USD",
+                   CASE WHEN PurchaseOrderItem <> '3'
+                        THEN CAST(DATE '1970-01-01' + CAST(CAST(PurchaseOrder AS BIGINT) % 10000 AS INTEGER) AS VARCHAR) ELSE 'none' END AS "Due"
+            FROM raw_po_item""",
+        "run_history": f"""SELECT * FROM ({_RUNS} SELECT * FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 20)""",
+        "run_summary": f"""
+            SELECT * FROM ({_RUNS}
+                SELECT run_id, started_at, finished_at, status,
+                       CASE WHEN status = 'success' THEN left(message, 120) ELSE message END AS summary
+                FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 10)""",
         "json_array_suppliers": "SELECT * FROM raw_supplier",
         "csv_round_trip": f"""
             SELECT {line}, status_override, '"a", ' || chr(10) || owner AS owner, note FROM po_item_overrides""",

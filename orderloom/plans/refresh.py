@@ -56,8 +56,14 @@ def refresh(
 
     An input that is not given is taken from the last successful run and recorded
     as stale.  ``extra`` tables are stored beside the raw ones.  ``overrides``
-    defaults to the store's own.  Any error leaves the previous run in place.
+    defaults to the store's own.  Any error leaves the previous run in place.  While
+    another refresh of the store runs, RefreshBusy is raised and nothing is written.
     """
+    with store.single_flight():
+        return _refresh(store, inputs, overrides, extra, strict_keys)
+
+
+def _refresh(store: TableStore, inputs: RawInputs, overrides: DataFrame | None, extra: dict[str, DataFrame] | None, strict_keys: bool) -> RefreshResult:
     started = time.monotonic()
     previous = store.current_run()
     result = RefreshResult(store.start_run())

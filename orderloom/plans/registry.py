@@ -13,7 +13,8 @@ from ..sources.landing import read_json_array, read_odata_pages
 from ..sources.normalize import normalize, odata_dates
 from ..sources.schemas import conform, text_schema
 from ..sources.sinks import export_csv, write_report
-from .fixtures import land_arrays
+from ..sources.store import TableStore, run_history, run_summary
+from .fixtures import land_arrays, land_odd_items, odd_item_schema, run_log
 from .workspace import Workspace, workspace
 
 # The test data ends in 2001; the date stands for "today".
@@ -87,6 +88,25 @@ def _ingested_header(w: Workspace) -> DataFrame:
 _register("ingest_header", _ingested_header)
 
 
+def _ingested_odd_items(w: Workspace) -> DataFrame:
+    """Items landed with metadata, unclean names, nested values, dated texts and NaN, read and normalised."""
+    path = w.output("odd_items")
+    land_odd_items(w.table("raw_po_item"), path)
+    return normalize(read_odata_pages(SparkSession.active(), path, odd_item_schema()))
+
+
+def _runs(w: Workspace) -> DataFrame:
+    """The run log of a store in which every order date had a run: its start and its outcome, appended one after the other."""
+    store = TableStore(SparkSession.active(), w.output("runs"))
+    for k, entries in enumerate(run_log(w.table("raw_po_header"))):
+        entries.coalesce(1).write.mode("append" if k else "overwrite").parquet(f"{store.root}/sync_runs")
+    return store.runs()
+
+
+_register("ingest_odd_items", _ingested_odd_items)
+_register("run_history", lambda w: run_history(_runs(w)))
+_register("run_summary", lambda w: run_summary(_runs(w)))
+
 
 def _supplier_arrays(w: Workspace) -> DataFrame:
     """Suppliers landed as JSON arrays, found in the second folder that is tried."""
@@ -287,6 +307,7 @@ _register("audit_report", lambda w: audit.audit_report(_tables(w, AUDITED), w.fi
 
 # Profile ----------------------------------------------------------------------
 
+# The tables probed, and the seven that are profiled.
 PROBED = ("raw_pr", "raw_po_item", "raw_po_header", "fact_po_item", "mart_po_item")
 
 _register("table_inventory", lambda w: profile.table_inventory(_tables(w, (*STORED, "fact_po_item", "mart_po_item"))))
