@@ -30,11 +30,15 @@ from .components import components
 SEED = 42
 #: Rows of one side that a cell of an anchor compares.
 CELL_ROWS = 8_192
+#: Rows of a table from which on its fingerprints meet at finer anchors.
+LARGE_ROWS = 1 << 25
 #: Words of a shingle and similarity of near duplicates; bits by which the word fingerprints of such differ.
 SHINGLE = 5
 SIMILARITY = 0.8
 WORD_BITS = 7
 SKETCH_BITS = 128
+#: Deviations of a sketch's estimate below the similarity at which a pair is still compared exactly.
+SKETCH_MARGIN = 3.0
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -127,39 +131,78 @@ class Bits:
 
 
 class PartBits(Bits):
-    """Alike: fingerprints within ``threshold`` bits, 7 at most, whose sketches agree to ``agree`` of their bits.
+    """Candidates: one of two word fingerprints within ``threshold`` bits, 7 at most, and sketches that agree to ``agree`` of their bits.
 
     Of four quarters one differs in a bit at most.  Every 16-bit word is an anchor, of
     covering radius 0, for each quarter.  Of two that differ in one bit, the one that has the
-    bit goes to the other's home.
+    bit goes to the other's home.  The second fingerprint mixes the words' hashes anew, so
+    pairs that chance puts far apart in one are met in the other.
     """
 
-    columns = ("sketch_0", "sketch_1")
+    columns = ("print_b", "sketch_0", "sketch_1")
 
     def __init__(self, threshold: int, agree: float):
-        self.threshold, self.agree = threshold, agree
+        self.threshold, self.most_apart = threshold, (1 - agree) * SKETCH_BITS
 
-    def replicas(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def replicas(self, prints: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows, anchors, homes = [], [], []
         everyone = np.arange(len(prints))
-        for quarter in range(4):
-            word = ((prints >> np.uint64(16 * quarter)) & np.uint64(0xFFFF)).astype(np.int64)
+        for part in range(4 if second is None else 8):
+            held = prints if part < 4 else second
+            word = ((held >> np.uint64(16 * (part % 4))) & np.uint64(0xFFFF)).astype(np.int64)
             rows.append(everyone)
-            anchors.append(word | quarter << 16)
+            anchors.append(word | part << 16)
             homes.append(np.ones(len(prints), dtype=bool))
             for bit in range(16):
                 some = np.flatnonzero(word >> bit & 1)
                 rows.append(some)
-                anchors.append(word[some] ^ (1 << bit) | quarter << 16)
+                anchors.append(word[some] ^ (1 << bit) | part << 16)
                 homes.append(np.zeros(len(some), dtype=bool))
         return np.concatenate(rows), np.concatenate(anchors), np.concatenate(homes)
 
-    def alike(self, a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
-        near = super().alike(a, b)
+    def candidates(self, a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of a, row of b, bits in which their sketches differ) of the pairs that may be alike."""
+        near = np.bitwise_count(a["print"][:, None] ^ b["print"][None, :]) <= self.threshold
+        near |= np.bitwise_count(a["print_b"][:, None] ^ b["print_b"][None, :]) <= self.threshold
         x, y = near.nonzero()
-        apart = sum(np.bitwise_count(a[c][x] ^ b[c][y]).astype(np.int64) for c in self.columns)
-        near[x, y] = apart <= (1 - self.agree) * 64 * len(self.columns)
-        return near
+        apart = sum(np.bitwise_count(a[c][x] ^ b[c][y]).astype(np.int64) for c in ("sketch_0", "sketch_1"))
+        close = apart <= self.most_apart
+        return x[close], y[close], apart[close]
+
+
+def _cell_sides(cell: pa.Table, rule: Bits) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Nodes of a cell's home rows and of its other rows, and their columns."""
+    node, role = cell.column("node").to_numpy(), cell.column("role").to_numpy()
+    columns = {c: cell.column(c).to_numpy().view(np.uint64) for c in ("print", *rule.columns)}
+    home, other = role < 2, role > 0
+    return node[home], node[other], {c: v[home] for c, v in columns.items()}, {c: v[other] for c, v in columns.items()}
+
+
+def _closest(cell: pa.Table, rule: PartBits) -> tuple[np.ndarray, ...]:
+    """(home row, other, bits apart) of each home row's closest candidate in a cell, and of its closest among smaller nodes."""
+    homes, others, own, rest = _cell_sides(cell, rule)
+    found = []
+    for at in range(0, len(homes), 512):
+        x, y, apart = rule.candidates({c: v[at : at + 512] for c, v in own.items()}, rest)
+        u, v = homes[at + x], others[y]
+        for some in (u != v, v < u):
+            a, b, d = u[some], v[some], apart[some]
+            order = np.lexsort((b, d, a))
+            first = np.concatenate([[True], a[order][1:] != a[order][:-1]]) if len(order) else order.astype(bool)
+            found.append((a[order][first], b[order][first], d[order][first]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (homes[:0], homes[:0], homes[:0])
+
+
+def _across(cell: pa.Table, rule: PartBits) -> tuple[np.ndarray, ...]:
+    """(smaller node, larger) of the candidates in a cell that lie in different components so far."""
+    homes, others, own, rest = _cell_sides(cell, rule)
+    found = [(homes[:0], homes[:0])]
+    for at in range(0, len(homes), 512):
+        x, y, _ = rule.candidates({c: v[at : at + 512] for c, v in own.items()}, rest)
+        some = own["root"][at + x] != rest["root"][y]
+        u, v = homes[at + x[some]], others[y[some]]
+        found.append((np.minimum(u, v), np.maximum(u, v)))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _compare(cell: pa.Table, rule: Bits) -> tuple[np.ndarray, np.ndarray]:
@@ -183,20 +226,21 @@ def _compare(cell: pa.Table, rule: Bits) -> tuple[np.ndarray, np.ndarray]:
     return nodes[linked], nodes[root[linked]]
 
 
-def covering_links(nodes: DataFrame, rule: Bits, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Links u, v between the longs ``node`` of different rows that join all rows alike by ``rule``.
+def covering_links(nodes: DataFrame, rule: Bits, cell_rows: int = CELL_ROWS, *, compare=_compare, names: tuple[str, ...] = ("u", "v")) -> DataFrame:
+    """Links u, v between the longs ``node`` of different rows that join all rows alike by ``rule``; or what ``compare`` gives of each cell.
 
     ``nodes`` (node, print and the rule's columns; nodes distinct) is read twice.  Role 0 is
     compared as home row, 2 as replica, 1 as both.  An anchor of many rows is cut into a grid of
     cells: home rows are repeated over the replica cuts and replicas over the home cuts.
     """
-    names = ["node", "print", *rule.columns]
+    result, names = list(names), ["node", "print", *rule.columns]
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 20_000):
                 part = batch.slice(at, 20_000)
-                row, anchor, home = rule.replicas(part.column(1).to_numpy().view(np.uint64))
+                prints = [part.column(names.index(c)).to_numpy().view(np.uint64) for c in ("print", "print_b") if c in names]
+                row, anchor, home = rule.replicas(*prints)
                 kept = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(anchor), pa.array(home)], [*names, "anchor", "at_home"])
 
@@ -228,11 +272,11 @@ def covering_links(nodes: DataFrame, rule: Bits, cell_rows: int = CELL_ROWS) ->
         .select(*names, F.xxhash64("anchor", "c.i", "c.j").alias("cell"), F.col("c.role").cast("byte").alias("role"))
     )
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "cell"):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _compare(group, rule)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in compare(group, rule)], result)
 
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "u long, v long").distinct()
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(compared, ", ".join(f"{c} long" for c in result)).distinct()
 
 
 def component_ids(rows: DataFrame, rule: Bits) -> DataFrame:
@@ -244,15 +288,18 @@ def component_ids(rows: DataFrame, rule: Bits) -> DataFrame:
     return settle(rooted.join(ids, "root").select("node", "root", "component_id"))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 3, threshold: int = 2, block: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 3, threshold: int = 2, block: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row.
 
     Links join fingerprints that differ in at most ``threshold`` bits; a component's id is its
-    smallest doc_id.  Null and empty texts have fingerprint zero and are linked like others.
+    smallest doc_id.  Blocks of ``block`` bits make the anchors: by default 5, for 2^12 anchors
+    and some 38 replicas a fingerprint, and 3 for tables of over LARGE_ROWS rows, for 2^21 anchors and
+    some 140 replicas, so that the rows that meet at an anchor do not grow with the table as fast.  Null and empty texts have fingerprint zero and are linked like others.
     A null doc_id is never a component's id unless all of the component's are null.  Repeated
     rows are returned as often as they occur.
     """
     prints = settle(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("print")))
+    block = block or (5 if prints.count() <= LARGE_ROWS else 3)
     ids = component_ids(prints.withColumn("node", F.col("print")), Bits(threshold, block))
     return prints.join(ids, prints["print"] == ids["node"]).select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
@@ -277,42 +324,103 @@ def sketch(hashes: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> tuple[
     return int.from_bytes(bits[:8].tobytes(), "big", signed=True), int.from_bytes(bits[8:].tobytes(), "big", signed=True)
 
 
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 def _marks(text: Column) -> Column:
-    """print of a text's words and the sketch of its word shingles."""
+    """set_0 and set_1 (128 bits that name a text's set of word shingles), two prints of its words, and the sketch of the set."""
     factors = _sketch_factors()
 
-    @F.pandas_udf("struct<print:long,sketch_0:long,sketch_1:long>")
+    @F.pandas_udf("struct<set_0:long,set_1:long,print:long,print_b:long,sketch_0:long,sketch_1:long>")
     def marks(texts: pd.Series) -> pd.DataFrame:
         out = []
         for value in texts:
             value = value or b""
             words = np.array([xxhash.xxh64_intdigest(w, SEED) for w in value.lower().split()], dtype=np.uint64)
-            out.append((majority_bits(words), *sketch(np.unique(shingle_hashes(value, SHINGLE)), factors)))
-        return pd.DataFrame(out, columns=["print", "sketch_0", "sketch_1"], dtype="int64")
+            with np.errstate(over="ignore"):
+                mixed = (words ^ (words >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+            shingles = np.unique(shingle_hashes(value, SHINGLE))
+            named = xxhash.xxh3_128_intdigest(shingles.tobytes())
+            out.append((_signed(named >> 64), _signed(named & (1 << 64) - 1), majority_bits(words), majority_bits(mixed ^ (mixed >> np.uint64(29))), *sketch(shingles, factors)))
+        return pd.DataFrame(out, columns=["set_0", "set_1", "print", "print_b", "sketch_0", "sketch_1"], dtype="int64")
 
     return marks.asNondeterministic()(text.cast("binary"))
 
 
+def _shingle_sets(text: Column) -> Column:
+    @F.pandas_udf("array<long>")
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t or b"", SHINGLE)).view(np.int64) for t in texts], dtype=object)
+
+    return sets.asNondeterministic()(text.cast("binary"))
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (u, v) whose sets (node, shingles) are ``similarity`` alike, counted exactly."""
+    one, other = (sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set")) for side in ("u", "v"))
+    both = F.size(F.array_intersect("u_set", "v_set"))
+    pairs = edges.join(one, "u").join(other, "v")
+    return pairs.filter(both >= similarity * (F.size("u_set") + F.size("v_set") - both) - 1e-9).select("u", "v")
+
+
+def similar_links(classes: DataFrame, texts: DataFrame, similarity: float, agree: float) -> DataFrame:
+    """Links u, v between the nodes of ``classes`` that join all candidates whose shingle sets are ``similarity`` alike.
+
+    ``texts`` (node, text) has one text of each class.  Each class is first compared exactly
+    with its closest candidate and its closest among smaller nodes, which joins groups of any
+    size by two comparisons a member.  What these leave apart is compared too: all candidates
+    that lie in different components then.  So no link is missed among the candidates, and
+    none is made below the similarity.
+    """
+    rule = PartBits(WORD_BITS, agree)
+    close = covering_links(classes, rule, compare=_closest, names=("u", "v", "apart"))
+    best = close.groupBy("u").agg(F.min(F.struct("apart", "v"))["v"].alias("best"), F.min(F.when(F.col("v") < F.col("u"), F.struct("apart", "v")))["v"].alias("lower"))
+    directed = best.select("u", F.explode(F.array_compact(F.array("best", "lower"))).alias("v"))
+    edges = settle(directed.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        some = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        return texts.join(some, "node").select("node", _shingle_sets(F.col("text")).alias("shingles"))
+
+    first = settle(verified(edges, sets_of(edges), similarity))
+    roots = components(first).toDF("node", "root")
+    rooted = settle(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    rule.columns = (*rule.columns, "root")
+    left = covering_links(rooted, rule, compare=_across).join(edges, ["u", "v"], "left_anti")
+    left = settle(left)
+    return first.union(settle(verified(left, sets_of(left), similarity)))
+
+
 def one_of_each(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` but for near duplicates: of each group the row of smallest doc_id stays.
 
     Texts are near duplicates if their sets of five-word shingles have a similarity of
-    ``similarity``, as estimated by sketches, and groups are what such links join.
-    Candidates are texts whose word fingerprints differ in at most WORD_BITS bits.  Texts without
-    words are one group.  Of rows equal in doc_id and text one stays; a null doc_id goes first.
+    ``similarity``, counted exactly, and groups are what such links join.  Candidates are texts
+    of which one of two word fingerprints differs in at most WORD_BITS bits and whose sketches
+    are within SKETCH_MARGIN deviations of the similarity.  Texts without words are one group.
+    Of rows equal in doc_id and text one stays; a null doc_id goes first.
     """
-    mark, count, here_mark = (free_name(docs, x) for x in ("_mark", "_copies", "_here"))
+    mark, count, here_mark, kept_id = (free_name(docs, x) for x in ("_mark", "_copies", "_here", "_kept_id"))
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), _marks(F.col("text")).alias("m")).select("doc_id", "mark", "m.*")
-    rows = settle(marked.withColumn("node", F.xxhash64("print", "sketch_0", "sketch_1")))
-    # Half the disagreement that the similarity leaves, and one deviation of the estimate.
-    agree = (1 + similarity) / 2 - math.sqrt((1 - similarity**2) / 4 / SKETCH_BITS)
-    ids = component_ids(rows, PartBits(WORD_BITS, agree))
-    copies = rows.groupBy("node", "doc_id", "mark").agg(F.count("*").alias("copies"))
-    low = copies.groupBy("node").agg(F.min(F.struct("doc_id", "mark", "copies")).alias("low"))
-    kept = settle(low.join(ids, "node").groupBy("root").agg(F.min("low").alias("low")).select("low.*"))
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("mark").alias(mark), F.col("copies").alias(count))
+    rows = settle(marked)
+    # Half the disagreement that the similarity leaves, and some deviations of the estimate.
+    agree = (1 + similarity) / 2 - SKETCH_MARGIN * math.sqrt((1 - similarity**2) / 4 / SKETCH_BITS)
+    # Texts of one shingle set are one node; nodes are numbered once, in a stored table.
+    looks = F.struct("print", "print_b", "sketch_0", "sketch_1")
+    classes = rows.groupBy("set_0", "set_1").agg(F.min(looks).alias("looks"), F.min(F.struct("doc_id", "mark")).alias("low"))
+    classes = settle(classes.select(F.monotonically_increasing_id().alias("node"), "set_0", "set_1", "looks.*", F.col("low.doc_id").alias("low_id"), F.col("low.mark").alias("low_mark")))
+    named = classes.select("node", "low_id", "low_mark")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    texts = texts.join(named, texts["doc_id"].eqNullSafe(named["low_id"]) & (texts["mark"] == named["low_mark"])).groupBy("node").agg(F.min("text").alias("text"))
+    roots = components(similar_links(classes, texts, similarity, agree)).toDF("node", "root")
+    ids = classes.join(roots, "node", "left").select("set_0", "set_1", F.coalesce("root", "node").alias("root"))
+    copies = rows.groupBy("set_0", "set_1", "doc_id", "mark").agg(F.count("*").alias("copies"))
+    low = copies.groupBy("set_0", "set_1").agg(F.min(F.struct("doc_id", "mark", "copies")).alias("low"))
+    kept = settle(low.join(ids, ["set_0", "set_1"]).groupBy("root").agg(F.min("low").alias("low")).select("low.*"))
+    kept = kept.select(F.col("doc_id").alias(kept_id), F.col("mark").alias(mark), F.col("copies").alias(count))
     here = docs.withColumn(here_mark, F.xxhash64("text"))
-    same = here["doc_id"].eqNullSafe(kept["_kept_id"]) & (here[here_mark] == kept[mark])
+    same = here["doc_id"].eqNullSafe(kept[kept_id]) & (here[here_mark] == kept[mark])
     joined = here.join(kept, same).select(*[here[c] for c in docs.columns], kept[count], kept[mark])
     once = joined.filter(F.col(count) == 1).select(*docs.columns)
     again = joined.filter(F.col(count) > 1).dropDuplicates(["doc_id", mark]).select(*docs.columns)

@@ -136,3 +136,72 @@ def test_sketches_estimate_similarity():
         apart = sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y))
         similarity = shared / (2000 - shared)
         assert abs(1 - 2 * apart / 128 - similarity) < 0.25
+
+
+def shingles(text, n=5):
+    parts = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(parts[i : i + n]) for i in range(max(1, len(parts) - n + 1))} if parts else set()
+
+
+def copies_at_all_similarities(rng, n_groups=60):
+    """Texts with copies in which some words are changed, left out or put in, from hardly any to very many."""
+    texts = []
+    for _ in range(n_groups):
+        own = words(rng, int(rng.integers(12, 500)), 4_000).split()
+        texts.append(" ".join(own))
+        for _ in range(int(rng.integers(1, 7))):
+            copy = list(own)
+            for k in sorted(rng.choice(len(copy), int(rng.integers(0, max(2, len(copy) // 22))), replace=False), reverse=True):
+                copy[k : k + 1] = ([], ["edit"], [copy[k], "more"])[int(rng.integers(0, 3))]
+            texts.append(" ".join(copy))
+    return texts
+
+
+def test_links_are_those_of_exact_similarity(spark):
+    """Against all pairs: none below 0.8 is linked, and of those at 0.8 and above 99 in 100 are."""
+    texts = copies_at_all_similarities(np.random.default_rng(12))
+    sets = [shingles(t) for t in texts]
+    alike = {
+        (i, j): len(a & sets[j]) / len(a | sets[j])
+        for i, a in enumerate(sets) for j in range(i)
+        if len(a & sets[j]) * 2 > len(a)
+    }
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (i, j), share in sorted(alike.items()):
+        if share >= 0.8 - 1e-12:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    want = {i for i in range(len(texts)) if find(i) == i}
+    kept = {r["doc_id"] for r in simhash.one_of_each(documents(spark, texts)).collect()}
+    assert want <= kept
+    edges = sum(0.75 < s < 0.85 for s in alike.values())
+    gone = len(texts) - len(want)
+    assert edges > 50 and gone > 100
+    assert len(kept - want) <= 0.01 * gone
+
+
+def test_a_large_group_of_near_copies_is_one(spark):
+    rng = np.random.default_rng(13)
+    own = words(rng, 120, 9_000).split()
+    texts = []
+    for k in range(700):
+        copy = list(own)
+        copy[k % 120] = f"z{k}"
+        texts.append(" ".join(copy))
+    kept = [r["doc_id"] for r in simhash.one_of_each(documents(spark, [*texts, words(rng, 50)])).collect()]
+    assert sorted(kept) == [0, 700]
+
+
+def test_finer_anchors_give_the_same_components(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    texts = [words(rng, int(rng.integers(1, 12)), 12) for _ in range(400)]
+    want = rows_of(simhash.near_duplicates(documents(spark, texts)))
+    monkeypatch.setattr(simhash, "LARGE_ROWS", 100)
+    assert rows_of(simhash.near_duplicates(documents(spark, texts))) == want
+    assert len({r[2] for r in want}) < 400
