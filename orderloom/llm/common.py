@@ -43,6 +43,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def narrow(df: DataFrame, most_rows: int = 1 << 20) -> DataFrame:
+    """A settled table of a few numbers a row, to be sent to all tasks if it is counted to have at most ``most_rows``."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def hash_sample(rows: DataFrame, n: int, *keys: str, seed: int = 0) -> DataFrame:
     """``n`` rows of smallest hash of ``keys``, or all if fewer.
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, settle, sorted_groups
+from .common import free_name, narrow, settle, sorted_groups
 from .components import components
 
 SEED = 42
@@ -32,10 +32,11 @@ SEED = 42
 CELL_ROWS = 8_192
 #: Rows of a table from which on its fingerprints meet at finer anchors.
 LARGE_ROWS = 1 << 25
-#: Words of a shingle and similarity of near duplicates; bits by which the word fingerprints of such differ.
+#: Words of a shingle and similarity of near duplicates; bits by which one of two word fingerprints of such differs at most.
+#: Pairs up to 7 bits apart surely meet, of those 8 to 12 apart nineteen in twenty to two in three, in each of the two.
 SHINGLE = 5
 SIMILARITY = 0.8
-WORD_BITS = 7
+WORD_BITS = 12
 SKETCH_BITS = 128
 #: Deviations of a sketch's estimate below the similarity at which a pair is still compared exactly.
 SKETCH_MARGIN = 3.0
@@ -131,9 +132,9 @@ class Bits:
 
 
 class PartBits(Bits):
-    """Candidates: one of two word fingerprints within ``threshold`` bits, 7 at most, and sketches that agree to ``agree`` of their bits.
+    """Candidates: one of two word fingerprints within ``threshold`` bits, and sketches that agree to ``agree`` of their bits.
 
-    Of four quarters one differs in a bit at most.  Every 16-bit word is an anchor, of
+    Where 7 bits differ, one of four quarters differs in a bit at most; where more do, it mostly does.  Every 16-bit word is an anchor, of
     covering radius 0, for each quarter.  Of two that differ in one bit, the one that has the
     bit goes to the other's home.  The second fingerprint mixes the words' hashes anew, so
     pairs that chance puts far apart in one are met in the other.
@@ -230,8 +231,8 @@ def covering_links(nodes: DataFrame, rule: Bits, cell_rows: int = CELL_ROWS, *,
     """Links u, v between the longs ``node`` of different rows that join all rows alike by ``rule``; or what ``compare`` gives of each cell.
 
     ``nodes`` (node, print and the rule's columns; nodes distinct) is read twice.  Role 0 is
-    compared as home row, 2 as replica, 1 as both.  An anchor of many rows is cut into a grid of
-    cells: home rows are repeated over the replica cuts and replicas over the home cuts.
+    compared as home row, 2 as replica, 1 as both.  An anchor of over ``cell_rows`` rows is cut into a
+    grid of cells: home rows are repeated over the replica cuts and replicas over the home cuts.
     """
     result, names = list(names), ["node", "print", *rule.columns]
 
@@ -245,15 +246,14 @@ def covering_links(nodes: DataFrame, rule: Bits, cell_rows: int = CELL_ROWS, *,
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(anchor), pa.array(home)], [*names, "anchor", "at_home"])
 
     near = nodes.select(*names).mapInArrow(replicate, ", ".join(f"{c} long" for c in [*names, "anchor"]) + ", at_home boolean")
+    counted = near.groupBy("anchor").agg(F.count("*").alias("all"), F.count_if("at_home").alias("homes")).filter(F.col("all") > cell_rows)
     cuts = settle(
-        near.groupBy("anchor").agg(F.count("*").alias("all"), F.count_if("at_home").alias("homes"))
-        .filter("homes > 0 and all > 1")
-        .select(
+        counted.select(
             "anchor",
-            F.ceil(F.col("homes") / cell_rows).cast("int").alias("home_cuts"),
+            F.greatest(F.ceil(F.col("homes") / cell_rows), F.lit(1)).cast("int").alias("home_cuts"),
             F.ceil(F.col("all") / cell_rows).cast("int").alias("all_cuts"),
         )
-    )
+    )
     slot = F.xxhash64("node")
     home_slot, all_slot = F.pmod(slot, "home_cuts").cast("int"), F.pmod(slot, "all_cuts").cast("int")
 
@@ -267,7 +267,7 @@ def covering_links(nodes: DataFrame, rule: Bits, cell_rows: int = CELL_ROWS, *,
     single = F.array(cell(F.lit(0), F.lit(0), F.when(F.col("at_home"), 1).otherwise(2)))
     each = F.when(one, single).when(F.col("at_home"), F.concat(as_home, as_other)).otherwise(as_other)
     cells = (
-        near.join(cuts, "anchor")
+        near.join(narrow(cuts), "anchor", "left").fillna(1, ["home_cuts", "all_cuts"])
         .select(*names, "anchor", F.explode(each).alias("c"))
         .select(*names, F.xxhash64("anchor", "c.i", "c.j").alias("cell"), F.col("c.role").cast("byte").alias("role"))
     )
@@ -349,9 +349,11 @@ def _marks(text: Column) -> Column:
 
 
 def _shingle_sets(text: Column) -> Column:
-    @F.pandas_udf("array<long>")
+    """32-bit hashes of a text's distinct word shingles; two of one text's thousands are equal by chance in one text of hundreds."""
+
+    @F.pandas_udf("array<int>")
     def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t or b"", SHINGLE)).view(np.int64) for t in texts], dtype=object)
+        return pd.Series([np.unique(shingle_hashes(t or b"", SHINGLE).astype(np.uint32)).view(np.int32) for t in texts], dtype=object)
 
     return sets.asNondeterministic()(text.cast("binary"))
 
@@ -360,32 +362,39 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The edges (u, v) whose sets (node, shingles) are ``similarity`` alike, counted exactly."""
     one, other = (sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set")) for side in ("u", "v"))
     both = F.size(F.array_intersect("u_set", "v_set"))
-    pairs = edges.join(one, "u").join(other, "v")
+    pairs = one.join(narrow(edges), "u").join(other, "v")
     return pairs.filter(both >= similarity * (F.size("u_set") + F.size("v_set") - both) - 1e-9).select("u", "v")
 
 
-def similar_links(classes: DataFrame, texts: DataFrame, similarity: float, agree: float) -> DataFrame:
+def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, agree: float) -> DataFrame:
     """Links u, v between the nodes of ``classes`` that join all candidates whose shingle sets are ``similarity`` alike.
 
-    ``texts`` (node, text) has one text of each class.  Each class is first compared exactly
-    with its closest candidate and its closest among smaller nodes, which joins groups of any
-    size by two comparisons a member.  What these leave apart is compared too: all candidates
-    that lie in different components then.  So no link is missed among the candidates, and
-    none is made below the similarity.
+    ``classes`` (node, low_id, low_mark, low_copies and the rule's columns) name one row of
+    ``docs`` (doc_id, mark, text) each, of which there are low_copies.  Each class is first
+    compared exactly with its closest candidate and its closest among smaller nodes, which
+    joins groups of any size by two comparisons a member.  What these leave apart is compared
+    too: all candidates that lie in different components then.  So no link is missed among the
+    candidates, and none is made below the similarity.
     """
     rule = PartBits(WORD_BITS, agree)
-    close = covering_links(classes, rule, compare=_closest, names=("u", "v", "apart"))
+    close = settle(covering_links(classes, rule, compare=_closest, names=("u", "v", "apart")))
     best = close.groupBy("u").agg(F.min(F.struct("apart", "v"))["v"].alias("best"), F.min(F.when(F.col("v") < F.col("u"), F.struct("apart", "v")))["v"].alias("lower"))
     directed = best.select("u", F.explode(F.array_compact(F.array("best", "lower"))).alias("v"))
     edges = settle(directed.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         some = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        return texts.join(some, "node").select("node", _shingle_sets(F.col("text")).alias("shingles"))
+        named = narrow(settle(classes.select("node", "low_id", "low_mark", "low_copies").join(some, "node")))
+        here = docs.join(named, docs["doc_id"].eqNullSafe(named["low_id"]) & (docs["mark"] == named["low_mark"]))
+        once, again = here.filter("low_copies = 1"), here.filter("low_copies > 1").dropDuplicates(["node"])
+        return settle(once.union(again).select("node", _shingle_sets(F.col("text")).alias("shingles")))
 
     first = settle(verified(edges, sets_of(edges), similarity))
     roots = components(first).toDF("node", "root")
-    rooted = settle(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # Only what has a candidate at all is looked at again.
+    some = close.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    rooted = classes.join(some, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = settle(rooted.select("node", "print", *rule.columns, "root"))
     rule.columns = (*rule.columns, "root")
     left = covering_links(rooted, rule, compare=_across).join(edges, ["u", "v"], "left_anti")
     left = settle(left)
@@ -408,16 +417,19 @@ def one_of_each(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame
     agree = (1 + similarity) / 2 - SKETCH_MARGIN * math.sqrt((1 - similarity**2) / 4 / SKETCH_BITS)
     # Texts of one shingle set are one node; nodes are numbered once, in a stored table.
     looks = F.struct("print", "print_b", "sketch_0", "sketch_1")
-    classes = rows.groupBy("set_0", "set_1").agg(F.min(looks).alias("looks"), F.min(F.struct("doc_id", "mark")).alias("low"))
-    classes = settle(classes.select(F.monotonically_increasing_id().alias("node"), "set_0", "set_1", "looks.*", F.col("low.doc_id").alias("low_id"), F.col("low.mark").alias("low_mark")))
-    named = classes.select("node", "low_id", "low_mark")
+    copies = rows.groupBy("set_0", "set_1", "doc_id", "mark").agg(F.count("*").alias("copies"), F.min(looks).alias("looks"))
+    low = F.min(F.struct("doc_id", "mark", "copies"))
+    classes = copies.groupBy("set_0", "set_1").agg(F.min("looks").alias("looks"), low.alias("low"))
+    classes = settle(
+        classes.select(
+            F.monotonically_increasing_id().alias("node"), "looks.*",
+            F.col("low.doc_id").alias("low_id"), F.col("low.mark").alias("low_mark"), F.col("low.copies").alias("low_copies"),
+        )
+    )
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    texts = texts.join(named, texts["doc_id"].eqNullSafe(named["low_id"]) & (texts["mark"] == named["low_mark"])).groupBy("node").agg(F.min("text").alias("text"))
     roots = components(similar_links(classes, texts, similarity, agree)).toDF("node", "root")
-    ids = classes.join(roots, "node", "left").select("set_0", "set_1", F.coalesce("root", "node").alias("root"))
-    copies = rows.groupBy("set_0", "set_1", "doc_id", "mark").agg(F.count("*").alias("copies"))
-    low = copies.groupBy("set_0", "set_1").agg(F.min(F.struct("doc_id", "mark", "copies")).alias("low"))
-    kept = settle(low.join(ids, ["set_0", "set_1"]).groupBy("root").agg(F.min("low").alias("low")).select("low.*"))
+    grouped = classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+    kept = settle(grouped.agg(F.min(F.struct(F.col("low_id").alias("doc_id"), F.col("low_mark").alias("mark"), F.col("low_copies").alias("copies"))).alias("low")).select("low.*"))
     kept = kept.select(F.col("doc_id").alias(kept_id), F.col("mark").alias(mark), F.col("copies").alias(count))
     here = docs.withColumn(here_mark, F.xxhash64("text"))
     same = here["doc_id"].eqNullSafe(kept[kept_id]) & (here[here_mark] == kept[mark])
