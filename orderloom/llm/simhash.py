@@ -142,8 +142,10 @@ class PartBits(Bits):
 
     columns = ("print_b", "sketch_0", "sketch_1")
 
-    def __init__(self, threshold: int, agree: float):
-        self.threshold, self.most_apart = threshold, (1 - agree) * SKETCH_BITS
+    def __init__(self, threshold: int, agree: float, tested: tuple[str, ...] = ()):
+        self.threshold, self.most_apart, self.tested = threshold, (1 - agree) * SKETCH_BITS, tested
+        if tested:
+            self.columns = (*self.columns, "root", *tested)
 
     def replicas(self, prints: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows, anchors, homes = [], [], []
@@ -179,6 +181,15 @@ def _cell_sides(cell: pa.Table, rule: Bits) -> tuple[np.ndarray, np.ndarray, dic
     return node[home], node[other], {c: v[home] for c, v in columns.items()}, {c: v[other] for c, v in columns.items()}
 
 
+def _first_of_each(u: np.ndarray, v: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the pairs of each u the one of fewest bits, ties to the smaller v."""
+    order = np.lexsort((v, apart, u))
+    u, v, apart = u[order], v[order], apart[order]
+    first = np.ones(len(u), dtype=bool)
+    first[1:] = u[1:] != u[:-1]
+    return u[first], v[first], apart[first]
+
+
 def _closest(cell: pa.Table, rule: PartBits) -> tuple[np.ndarray, ...]:
     """(home row, other, bits apart) of each home row's closest candidate in a cell, and of its closest among smaller nodes."""
     homes, others, own, rest = _cell_sides(cell, rule)
@@ -187,22 +198,22 @@ def _closest(cell: pa.Table, rule: PartBits) -> tuple[np.ndarray, ...]:
         x, y, apart = rule.candidates({c: v[at : at + 512] for c, v in own.items()}, rest)
         u, v = homes[at + x], others[y]
         for some in (u != v, v < u):
-            a, b, d = u[some], v[some], apart[some]
-            order = np.lexsort((b, d, a))
-            first = np.concatenate([[True], a[order][1:] != a[order][:-1]]) if len(order) else order.astype(bool)
-            found.append((a[order][first], b[order][first], d[order][first]))
+            found.append(_first_of_each(u[some], v[some], apart[some]))
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (homes[:0], homes[:0], homes[:0])
 
 
-def _across(cell: pa.Table, rule: PartBits) -> tuple[np.ndarray, ...]:
-    """(smaller node, larger) of the candidates in a cell that lie in different components so far."""
+def _closest_apart(cell: pa.Table, rule: PartBits) -> tuple[np.ndarray, ...]:
+    """(home row, other, bits apart) of each home row's closest candidate in another component that it was not compared with."""
     homes, others, own, rest = _cell_sides(cell, rule)
-    found = [(homes[:0], homes[:0])]
+    own, rest = ({c: v.view(np.int64) if c in ("root", *rule.tested) else v for c, v in side.items()} for side in (own, rest))
+    found = [(homes[:0],) * 3]
     for at in range(0, len(homes), 512):
-        x, y, _ = rule.candidates({c: v[at : at + 512] for c, v in own.items()}, rest)
-        some = own["root"][at + x] != rest["root"][y]
-        u, v = homes[at + x[some]], others[y[some]]
-        found.append((np.minimum(u, v), np.maximum(u, v)))
+        x, y, apart = rule.candidates({c: v[at : at + 512] for c, v in own.items()}, rest)
+        u, v, x = homes[at + x], others[y], at + x
+        some = own["root"][x] != rest["root"][y]
+        for c in rule.tested:
+            some &= (own[c][x] != v) & (rest[c][y] != u)
+        found.append(_first_of_each(u[some], v[some], apart[some]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -367,18 +378,22 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, agree: float) -> DataFrame:
-    """Links u, v between the nodes of ``classes`` that join all candidates whose shingle sets are ``similarity`` alike.
+    """Links u, v between nodes of ``classes`` whose shingle sets are ``similarity`` alike, enough to join the groups.
 
     ``classes`` (node, low_id, low_mark, low_copies and the rule's columns) name one row of
-    ``docs`` (doc_id, mark, text) each, of which there are low_copies.  Each class is first
-    compared exactly with its closest candidate and its closest among smaller nodes, which
-    joins groups of any size by two comparisons a member.  What these leave apart is compared
-    too: all candidates that lie in different components then.  So no link is missed among the
-    candidates, and none is made below the similarity.
+    ``docs`` (doc_id, mark, text) each, of which there are low_copies.  Each class is compared
+    exactly with its closest candidate and its closest among smaller nodes, which joins groups of
+    any size by two comparisons a member, and then, in rounds, with its closest candidate in
+    another component that it was not compared with, until a round links none.  So none is
+    linked below the similarity, and a round's comparisons grow with the members.
     """
     rule = PartBits(WORD_BITS, agree)
     close = settle(covering_links(classes, rule, compare=_closest, names=("u", "v", "apart")))
-    best = close.groupBy("u").agg(F.min(F.struct("apart", "v"))["v"].alias("best"), F.min(F.when(F.col("v") < F.col("u"), F.struct("apart", "v")))["v"].alias("lower"))
+    best = settle(
+        close.groupBy("u").agg(
+            F.min(F.struct("apart", "v"))["v"].alias("best"), F.min(F.when(F.col("v") < F.col("u"), F.struct("apart", "v")))["v"].alias("lower")
+        )
+    )
     directed = best.select("u", F.explode(F.array_compact(F.array("best", "lower"))).alias("v"))
     edges = settle(directed.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
@@ -390,15 +405,23 @@ def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, agree:
         return settle(once.union(again).select("node", _shingle_sets(F.col("text")).alias("shingles")))
 
     first = settle(verified(edges, sets_of(edges), similarity))
-    roots = components(first).toDF("node", "root")
     # Only what has a candidate at all is looked at again.
-    some = close.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    rooted = classes.join(some, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = settle(rooted.select("node", "print", *rule.columns, "root"))
-    rule.columns = (*rule.columns, "root")
-    left = covering_links(rooted, rule, compare=_across).join(edges, ["u", "v"], "left_anti")
-    left = settle(left)
-    return first.union(settle(verified(left, sets_of(left), similarity)))
+    some = settle(close.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(best.withColumnRenamed("u", "node"), "node", "left").fillna(-1))
+    links, tested = first, ["best", "lower"]
+    while True:
+        roots = components(links).toDF("node", "root")
+        rooted = classes.join(some, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rule = PartBits(WORD_BITS, agree, tuple(tested))
+        rooted = settle(rooted.select("node", "print", *rule.columns))
+        apart = covering_links(rooted, rule, compare=_closest_apart, names=("u", "v", "apart"))
+        apart = settle(apart.groupBy("u").agg(F.min(F.struct("apart", "v"))["v"].alias("v")))
+        left = settle(apart.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        found = settle(verified(left, sets_of(left), similarity))
+        if found.isEmpty():
+            return links
+        links = links.union(found)
+        tested.append(f"tested_{len(tested)}")
+        some = settle(some.join(apart.toDF("node", tested[-1]), "node", "left").fillna(-1, [tested[-1]]))
 
 
 def one_of_each(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
