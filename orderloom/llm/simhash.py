@@ -40,6 +40,8 @@ WORD_BITS = 12
 SKETCH_BITS = 128
 #: Deviations of a sketch's estimate below the similarity at which a pair is still compared exactly.
 SKETCH_MARGIN = 3.0
+#: Share of the compared pairs that a round must link for another to follow.
+LEAST_YIELD = 0.02
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -384,8 +386,9 @@ def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, agree:
     ``docs`` (doc_id, mark, text) each, of which there are low_copies.  Each class is compared
     exactly with its closest candidate and its closest among smaller nodes, which joins groups of
     any size by two comparisons a member, and then, in rounds, with its closest candidate in
-    another component that it was not compared with, until a round links none.  So none is
-    linked below the similarity, and a round's comparisons grow with the members.
+    another component that it was not compared with, until a round links no more than
+    LEAST_YIELD of what it compares.  So none is linked below the similarity, and a round's
+    comparisons grow with the members.
     """
     rule = PartBits(WORD_BITS, agree)
     close = settle(covering_links(classes, rule, compare=_closest, names=("u", "v", "apart")))
@@ -417,9 +420,9 @@ def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, agree:
         apart = settle(apart.groupBy("u").agg(F.min(F.struct("apart", "v"))["v"].alias("v")))
         left = settle(apart.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         found = settle(verified(left, sets_of(left), similarity))
-        if found.isEmpty():
-            return links
         links = links.union(found)
+        if found.count() <= LEAST_YIELD * left.count():
+            return links
         tested.append(f"tested_{len(tested)}")
         some = settle(some.join(apart.toDF("node", tested[-1]), "node", "left").fillna(-1, [tested[-1]]))
 
