@@ -40,8 +40,8 @@ WORD_BITS = 12
 SKETCH_BITS = 128
 #: Deviations of a sketch's estimate below the similarity at which a pair is still compared exactly.
 SKETCH_MARGIN = 3.0
-#: Share of the compared pairs that a round must link for another to follow.
-LEAST_YIELD = 0.02
+#: Rounds in which each member is compared with its closest candidate in another component, after the first two comparisons.
+ROUNDS = 1
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -385,9 +385,8 @@ def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, agree:
     ``classes`` (node, low_id, low_mark, low_copies and the rule's columns) name one row of
     ``docs`` (doc_id, mark, text) each, of which there are low_copies.  Each class is compared
     exactly with its closest candidate and its closest among smaller nodes, which joins groups of
-    any size by two comparisons a member, and then, in rounds, with its closest candidate in
-    another component that it was not compared with, until a round links no more than
-    LEAST_YIELD of what it compares.  So none is linked below the similarity, and a round's
+    any size by two comparisons a member, and then, in ROUNDS rounds, with its closest candidate
+    in another component that it was not compared with.  So none is linked below the similarity, and a round's
     comparisons grow with the members.
     """
     rule = PartBits(WORD_BITS, agree)
@@ -411,7 +410,7 @@ def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, agree:
     # Only what has a candidate at all is looked at again.
     some = settle(close.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(best.withColumnRenamed("u", "node"), "node", "left").fillna(-1))
     links, tested = first, ["best", "lower"]
-    while True:
+    for _ in range(ROUNDS):
         roots = components(links).toDF("node", "root")
         rooted = classes.join(some, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rule = PartBits(WORD_BITS, agree, tuple(tested))
@@ -421,10 +420,9 @@ def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, agree:
         left = settle(apart.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         found = settle(verified(left, sets_of(left), similarity))
         links = links.union(found)
-        if found.count() <= LEAST_YIELD * left.count():
-            return links
         tested.append(f"tested_{len(tested)}")
-        some = settle(some.join(apart.toDF("node", tested[-1]), "node", "left").fillna(-1, [tested[-1]]))
+        some = some.join(apart.toDF("node", tested[-1]), "node", "left").fillna(-1, [tested[-1]])
+    return links
 
 
 def one_of_each(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
