@@ -2,20 +2,23 @@
 
 Pages of a host are made from few templates.  A page's DOM is read into a tree of its
 blocks, in which neighbouring alike siblings are one repeated node; pages of the same
-shape fall together.  The shapes of a host are aligned by simple tree matching: the most
-frequent ones found clusters, the others are matched node by node to the cluster they fit
-best.  Aligned nodes share their statistics over all of the host's pages: nodes whose text
+shape fall together.  The shapes of a host are aligned by simple tree matching: from the most
+frequent on, those that match none before them are templates, and each shape is matched node by
+node to the template it fits best.  Aligned nodes share their statistics over all of the host's pages: nodes whose text
 is the same on pages that differ elsewhere are template, all others slots.  The content
 is the slots of all elements named as article, else of the node that holds nearly all varying
 text and of what varies beside it, without menus, notices and the like.
 
 Statistics are sums, minima and maxima per host, shape and node, combined before they are
-shuffled, so a host of many pages costs one row for each of its nodes and tasks.
+shuffled, so a host of many pages costs one row for each of its nodes and tasks.  A host of
+many shapes is dealt over parts of bounded size: templates are found per part and merged in
+further rounds, and parts of shapes meet parts of templates in a grid, so no task holds a host.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,12 +30,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import narrow, settle
 
 #: Different pages that must agree on a node's text before it counts as template; copies of a page are one.
 LEAST_PAGES = 3
 #: Share of the smaller tree that must match for a shape to join a cluster.
 LEAST_MATCH = 0.5
+#: Shapes, and templates, of a host that one task aligns at a time.
+PART_SHAPES = 256
+#: A host's templates are merged again as long as a round leaves at most this share of them.
+MERGED = 0.9
 #: Wrappers up to this size are sent to all tasks; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -390,7 +397,7 @@ def tree_match(a: Shape, b: Shape) -> tuple[int, list[tuple[int, int]]]:
 
 
 def _content(template: Shape, stats: dict[int, list], parents: dict[int, int]) -> set[int]:
-    """Numbers of the template's content slots.  stats: number -> marks of different pages, lowest and highest text hash, characters, linked characters."""
+    """Numbers of the template's content slots.  stats: number -> different pages, lowest and highest text hash, characters, linked characters."""
     nodes = {n.number: n for n in template.nodes()}
     hidden: set[int] = set()
 
@@ -403,8 +410,8 @@ def _content(template: Shape, stats: dict[int, list], parents: dict[int, int]) -
                 hidden.add(number)
 
     def constant(number: int) -> bool:
-        marks, low, high, _, _ = stats[number]
-        return len(marks) >= LEAST_PAGES and low == high
+        pages, low, high, _, _ = stats[number]
+        return pages >= LEAST_PAGES and low == high
 
     def text_mass(number: int) -> float:
         if number in hidden or number not in stats:
@@ -463,44 +470,69 @@ def _content(template: Shape, stats: dict[int, list], parents: dict[int, int]) -
     return {n for n in filled if not constant(n)}
 
 
-def induce(shapes: pd.DataFrame) -> pd.DataFrame:
-    """Content slots of each of a host's shapes (columns host, shape, slot, pages, low, high, chars, linked, marks)."""
-    by_shape = []
-    for shape, rows in shapes.groupby("shape", sort=True):
-        by_shape.append((int(rows["pages"].max()), shape, Shape.read(shape), rows))
-    by_shape.sort(key=lambda x: (-x[0], x[1]))
-    clusters: list[tuple[Shape, dict, list]] = []
-    for pages, shape, tree, rows in by_shape:
-        best, best_cluster, best_pairs = 0.0, None, []
-        for cluster in clusters:
-            n, pairs = tree_match(cluster[0], tree)
-            share = n / min(cluster[0].size, tree.size)
-            if share > best:
-                best, best_cluster, best_pairs = share, cluster, pairs
-        if best < LEAST_MATCH:
-            best_cluster, best_pairs = (tree, {}, []), [(n.number, n.number) for n in tree.nodes()]
-            clusters.append(best_cluster)
-        to_template = {b: a for a, b in best_pairs}
-        best_cluster[2].append((shape, tree, to_template, rows))
-        for row in rows.itertuples():
-            at = to_template.get(row.slot)
-            if at is not None:
-                have = best_cluster[1].setdefault(at, [set(), row.low, row.high, 0, 0])
-                have[0].update(row.marks)
-                have[1], have[2] = min(have[1], row.low), max(have[2], row.high)
-                have[3] += row.chars
-                have[4] += row.linked
+def _share(a: Shape, b: Shape) -> tuple[float, list[tuple[int, int]]]:
+    """Share of the smaller tree that matches, and the matched numbers."""
+    n, pairs = tree_match(a, b)
+    return n / min(a.size, b.size), pairs
+
+
+def _founders(part: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a part of a host's shapes (shape, pages) that match none before them, from the most frequent on."""
+    ordered = part.sort_values(["pages", "shape"], ascending=[False, True])
+    trees: list[Shape] = []
+    kept = []
+    for at, shape in enumerate(ordered["shape"]):
+        tree = Shape.read(shape)
+        if all(_share(t, tree)[0] < LEAST_MATCH for t in trees):
+            trees.append(tree)
+            kept.append(at)
+    return ordered.iloc[kept][["host", "shape", "pages", "parts", "held"]]
+
+
+def _alignments(cell: pd.DataFrame) -> pd.DataFrame:
+    """Each shape of a cell with the template in it that it shares most with: share, pages and shape of that, its number for each node or -1."""
+    templates = cell[cell["is_template"]].sort_values(["pages", "shape"], ascending=[False, True])
+    trees = [(Shape.read(t.shape), t.shape, t.pages) for t in templates.itertuples()]
     out = []
-    for template, stats, members in clusters:
-        parents = {c.number: n.number for n in template.nodes() for c in n.children}
-        content = _content(template, stats, parents)
-        for shape, tree, to_template, rows in members:
-            own_parents = {c.number: n.number for n in tree.nodes() for c in n.children}
-            own = _content(tree, {r.slot: [set(r.marks), r.low, r.high, r.chars, r.linked] for r in rows.itertuples()}, own_parents)
-            # Nodes that the template lacks are judged on their shape's pages alone.
-            chosen = sorted(n.number for n in tree.nodes() if (to_template[n.number] in content if n.number in to_template else n.number in own))
-            out.append((shapes["host"].iloc[0], shape, chosen))
-    return pd.DataFrame(out, columns=["host", "shape", "content"])
+    for host, shape in cell.loc[~cell["is_template"], ["host", "shape"]].itertuples(index=False):
+        tree = Shape.read(shape)
+        best: tuple = (-1.0, 0, "", [])
+        for template, text, pages in trees:
+            # A template is its own, however much of it another one holds.
+            share, pairs = (2.0, [(k, k) for k in range(tree.size)]) if text == shape else _share(template, tree)
+            if share > best[0]:
+                best = (share, pages, text, pairs)
+        at = np.full(tree.size, -1, dtype=np.int32)
+        for a, b in best[3]:
+            at[b] = a
+        out.append((host, shape, -best[0], -best[1], best[2], at))
+    return pd.DataFrame(out, columns=["host", "shape", "unlike", "rarity", "cluster", "at"])
+
+
+def _judged(shape: str, nodes) -> set[int]:
+    """Content slots of a tree by the statistics (slot, n, low, high, chars, linked) of its nodes."""
+    tree = Shape.read(shape)
+    parents = {c.number: n.number for n in tree.nodes() for c in n.children}
+    return _content(tree, {slot: [n, low, high, chars, linked] for slot, n, low, high, chars, linked in nodes}, parents)
+
+
+def _cluster_content(rows: pd.DataFrame) -> pd.DataFrame:
+    """Content slots of one template, from the statistics of its nodes over all shapes aligned to it."""
+    host, cluster = rows["host"].iloc[0], rows["cluster"].iloc[0]
+    nodes = rows[["node", "n", "low", "high", "chars", "linked"]].itertuples(index=False)
+    return pd.DataFrame([(host, cluster, sorted(_judged(cluster, nodes)))], columns=["host", "cluster", "slots"])
+
+
+def _shape_content(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Content slots of shapes: those of the template; nodes that it lacks are judged on their shape's pages alone."""
+    for batch in batches:
+        chosen = []
+        for row in batch.itertuples():
+            content = set() if row.slots is None else set(row.slots)
+            at = list(row.at)
+            own = _judged(row.shape, [tuple(n.values()) for n in row.nodes]) if -1 in at else set()
+            chosen.append([slot for slot, node in enumerate(at) if (node in content if node >= 0 else slot in own)])
+        yield pd.DataFrame({"host": batch["host"], "shape": batch["shape"], "content": chosen})
 
 
 def page_mark(tree: Tree) -> int:
@@ -557,12 +589,62 @@ def page_host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
 
 
+def _dealt(shapes: DataFrame, salt: int = 0) -> DataFrame:
+    """Rows with the number of ``parts`` of their host, their ``part`` and, where there are several, the rows ``held`` by the host."""
+    many = shapes.groupBy("host").agg(F.count("*").alias("held")).filter(F.col("held") > PART_SHAPES)
+    parts = F.coalesce(F.ceil(F.col("held") / PART_SHAPES), F.lit(1)).cast("int")
+    dealt = shapes.join(narrow(settle(many)), "host", "left").withColumn("parts", parts)
+    return dealt.withColumn("part", F.pmod(F.xxhash64(F.lit(salt), "shape"), "parts").cast("int"))
+
+
+def _templates(shapes: DataFrame) -> DataFrame:
+    """host, shape, pages of the shapes that found clusters.
+
+    Templates of the parts of a large host are dealt anew and merged, until one part holds
+    them or a round leaves nearly all: then hardly two are alike.
+    """
+    done = None
+    for salt in itertools.count():
+        found = settle(_dealt(shapes, salt).groupBy("host", "part").applyInPandas(_founders, "host string, shape string, pages long, parts int, held long"))
+        left = found.filter("parts > 1").groupBy("host").agg(F.count("*").alias("left"), F.max("held").alias("held"))
+        again = settle(left.filter(F.col("left") <= MERGED * F.col("held")).select("host"))
+        found = found.select("host", "shape", "pages")
+        if again.isEmpty():
+            return found if done is None else done.union(found)
+        ended = found.join(narrow(again), "host", "left_anti")
+        done = ended if done is None else done.union(ended)
+        shapes = found.join(narrow(again), "host", "left_semi")
+
+
+def _aligned(shapes: DataFrame) -> DataFrame:
+    """host, shape, cluster (the template's shape) and ``at``: for each node the template's node or -1."""
+    dealt, templates = _dealt(shapes), _dealt(settle(_templates(shapes)))
+    one = ["host", "shape", "pages"]
+
+    def over(rows: DataFrame, others: DataFrame, own: str, other: str) -> DataFrame:
+        several = narrow(settle(others.filter("parts > 1").select("host", F.col("parts").alias("cuts")).distinct()))
+        every = F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)).alias(other)
+        return rows.withColumnRenamed("part", own).join(several, "host", "left").select(*one, own, every)
+
+    cells = over(dealt, templates, "i", "j").withColumn("is_template", F.lit(False)).unionByName(
+        over(templates, dealt, "j", "i").withColumn("is_template", F.lit(True))
+    )
+    kind = "host string, shape string, unlike double, rarity long, cluster string, at array<int>"
+    best = cells.groupBy("host", "i", "j").applyInPandas(_alignments, kind).groupBy("host", "shape")
+    best = best.agg(F.min(F.struct("unlike", "rarity", "cluster", "at")).alias("best")).select("host", "shape", "best.*")
+    # What fits no template well is one of its own.
+    alone = F.col("unlike") > -LEAST_MATCH
+    own = F.sequence(F.lit(0), F.size("at") - 1)
+    return best.select("host", "shape", F.when(alone, F.col("shape")).otherwise(F.col("cluster")).alias("cluster"), F.when(alone, own).otherwise(F.col("at")).alias("at"))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, shape, content: the numbers of the content slots for every shape of every host.
 
-    A host's task gets one row per node of each distinct shape, however many pages there are.
+    Statistics take one row per node of each distinct shape, however many pages there are.
+    A task aligns PART_SHAPES shapes with as many templates at a time, however many a host has.
     """
-    stats = (
+    stats = settle(
         pages.select(page_host(F.col("url")).alias("host"), "html")
         .mapInArrow(_summaries, "host string, shape string, slot int, pages long, low long, high long, chars long, linked long, marks array<long>")
         .groupBy("host", "shape", "slot")
@@ -571,7 +653,20 @@ def wrappers(pages: DataFrame) -> DataFrame:
             F.slice(F.array_distinct(F.flatten(F.collect_list("marks"))), 1, LEAST_PAGES).alias("marks"),
         )
     )
-    return stats.groupBy("host").applyInPandas(induce, "host string, shape string, content array<int>")
+    shapes = settle(stats.groupBy("host", "shape").agg(F.max("pages").alias("pages")))
+    aligned = settle(_aligned(shapes))
+    node = F.element_at("at", F.col("slot") + 1)
+    placed = stats.join(aligned, ["host", "shape"]).select("host", "cluster", node.alias("node"), "low", "high", "chars", "linked", F.posexplode("marks").alias("k", "mark"))
+    once = F.col("k") == 0
+    nodes = placed.filter("node >= 0").groupBy("host", "cluster", "node").agg(
+        F.count_distinct("mark").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.sum(F.when(once, F.col("chars"))).alias("chars"), F.sum(F.when(once, F.col("linked"))).alias("linked"),
+    )
+    content = nodes.groupBy("host", "cluster").applyInPandas(_cluster_content, "host string, cluster string, slots array<int>")
+    facts = F.struct("slot", F.size("marks").cast("long").alias("n"), "low", "high", "chars", "linked")
+    own = stats.groupBy("host", "shape").agg(F.collect_list(facts).alias("nodes"))
+    joined = own.join(aligned, ["host", "shape"]).join(content, ["host", "cluster"], "left")
+    return joined.select("host", "shape", "nodes", "at", "slots").mapInPandas(_shape_content, "host string, shape string, content array<int>")
 
 
 def page_blocks(page: Column) -> Column:

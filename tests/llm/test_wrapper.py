@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,48 @@ def test_an_odd_page_leaves_the_others(spark):
     rows += [(5, "http://h.example/", "<div>" * 5_000 + "deep"), (6, "http://h.example/", "<a " * 5_000), (7, None, "<b>" * 5_000)]
     found = {r["page_id"]: r["text"] for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert len(found) == 8 and found[3] == "text 3"
+
+
+def many_shapes(rng, n):
+    """Pages of one host whose articles hold odd orders of elements, so that hardly two have one shape."""
+    rows = []
+    for k in range(n):
+        parts = [f"<{t}>{t} {k} {j}</{t}>" for j, t in enumerate(rng.choice(["p", "h2", "pre", "blockquote"], int(rng.integers(3, 9))))]
+        body = "".join(parts)
+        if k % 3 == 0:
+            html = f"<body><table><tr><td>Fixed line</td><td>{body}</td></tr></table><center>Imprint of the host</center></body>"
+        else:
+            html = f"<body><div class=top>Site name</div><div class=main>{body}<div class=tools>Print this page</div></div></body>"
+        rows.append((k, "http://many.example/", html))
+    return rows
+
+
+def test_a_host_of_many_shapes_is_aligned_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = many_shapes(rng, 300)
+    pages = spark.createDataFrame(rows, PAGES).repartition(5)
+    want = {r["page_id"]: r["text"] for r in W.extract(pages).collect()}
+    assert all(f"{k} 0" in t and "Print this page" not in t and "Imprint" not in t and "Fixed line" not in t for k, t in want.items())
+    for size in (40, 7):
+        monkeypatch.setattr(W, "PART_SHAPES", size)
+        assert {r["page_id"]: r["text"] for r in W.extract(pages).collect()} == want
+
+
+def test_templates_match_none_of_each_other(spark, monkeypatch):
+    monkeypatch.setattr(W, "PART_SHAPES", 16)
+    shapes = sorted({W.fold(W.parse(html)).shape() for _, _, html in many_shapes(np.random.default_rng(4), 200)})
+    held = spark.createDataFrame([("h", s, 1) for s in shapes], "host string, shape string, pages long")
+    found = [r["shape"] for r in W._templates(held).collect()]
+    trees = [W.Shape.read(s) for s in found]
+    assert len(shapes) > 100 and len(found) <= 16
+    assert all(W._share(a, b)[0] < W.LEAST_MATCH for i, a in enumerate(trees) for b in trees[:i])
+    got = W._aligned(held).collect()
+    assert sorted(r["shape"] for r in got) == shapes
+    for row in got:
+        tree = W.Shape.read(row["shape"])
+        best = 2.0 if row["shape"] in found else max(W._share(t, tree)[0] for t in trees)
+        assert len(row["at"]) == tree.size
+        if row["shape"] in found:
+            assert row["cluster"] == row["shape"]
+        elif best >= W.LEAST_MATCH:
+            assert W._share(W.Shape.read(row["cluster"]), tree)[0] == best
