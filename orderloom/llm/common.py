@@ -43,6 +43,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bound_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Sends tasks' Python workers at most ``rows`` rows at a time: whole texts are held in the batch, its copy and the results."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name))
+    if not 0 < held <= rows:
+        spark.conf.set(name, rows)
+
+
 def narrow(df: DataFrame, most_rows: int = 1 << 20) -> DataFrame:
     """A settled table of a few numbers a row, to be sent to all tasks if it is counted to have at most ``most_rows``."""
     return F.broadcast(df) if df.count() <= most_rows else df

@@ -30,6 +30,8 @@ from .components import components
 SEED = 42
 #: Rows of one side that a cell of an anchor compares.
 CELL_ROWS = 8_192
+#: Home rows that are compared with a cell's other rows at a time.
+STRIP_ROWS = 128
 #: Rows of a table from which on its fingerprints meet at finer anchors.
 LARGE_ROWS = 1 << 25
 #: Words of a shingle and similarity of near duplicates; bits by which one of two word fingerprints of such differs at most.
@@ -196,8 +198,8 @@ def _closest(cell: pa.Table, rule: PartBits) -> tuple[np.ndarray, ...]:
     """(home row, other, bits apart) of each home row's closest candidate in a cell, and of its closest among smaller nodes."""
     homes, others, own, rest = _cell_sides(cell, rule)
     found = []
-    for at in range(0, len(homes), 512):
-        x, y, apart = rule.candidates({c: v[at : at + 512] for c, v in own.items()}, rest)
+    for at in range(0, len(homes), STRIP_ROWS):
+        x, y, apart = rule.candidates({c: v[at : at + STRIP_ROWS] for c, v in own.items()}, rest)
         u, v = homes[at + x], others[y]
         for some in (u != v, v < u):
             found.append(_first_of_each(u[some], v[some], apart[some]))
@@ -209,8 +211,8 @@ def _closest_apart(cell: pa.Table, rule: PartBits) -> tuple[np.ndarray, ...]:
     homes, others, own, rest = _cell_sides(cell, rule)
     own, rest = ({c: v.view(np.int64) if c in ("root", *rule.tested) else v for c, v in side.items()} for side in (own, rest))
     found = [(homes[:0],) * 3]
-    for at in range(0, len(homes), 512):
-        x, y, apart = rule.candidates({c: v[at : at + 512] for c, v in own.items()}, rest)
+    for at in range(0, len(homes), STRIP_ROWS):
+        x, y, apart = rule.candidates({c: v[at : at + STRIP_ROWS] for c, v in own.items()}, rest)
         u, v, x = homes[at + x], others[y], at + x
         some = own["root"][x] != rest["root"][y]
         for c in rule.tested:
