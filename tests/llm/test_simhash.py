@@ -186,6 +186,23 @@ def test_links_are_those_of_exact_similarity(spark):
     assert len(kept - want) <= 0.01 * gone
 
 
+def test_candidates_behind_many_closer_ones_are_compared(spark, monkeypatch):
+    """Two alike texts whose sketches are closer to seven texts each that are not alike; cells are cut into grids."""
+    monkeypatch.setattr(simhash, "SET_ROWS", 2, raising=False)
+    rng = np.random.default_rng(17)
+    own = words(rng, 120, 9_000)
+    texts = [words(rng, 120, 9_000) for _ in range(14)] + [own + " one", own + " two"]
+    docs = documents(spark, texts).withColumn("mark", F.xxhash64("text"))
+    far = F.expr("(doc_id >= 7 and doc_id < 14) or doc_id = 15")
+    classes = docs.select(
+        F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("print"), F.lit(0).cast("long").alias("print_b"),
+        F.when(far, 1).otherwise(0).cast("long").alias("sketch_0"), F.lit(0).cast("long").alias("sketch_1"),
+        F.col("doc_id").alias("low_id"), F.col("mark").alias("low_mark"), F.lit(1).cast("long").alias("low_copies"),
+    )
+    links = simhash.similar_links(classes, docs, 0.8, 0.7).collect()
+    assert {tuple(sorted((r["u"], r["v"]))) for r in links} == {(14, 15)}
+
+
 def test_a_large_group_of_near_copies_is_one(spark):
     rng = np.random.default_rng(13)
     own = words(rng, 120, 9_000).split()
