@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from orderloom.llm import simhash
+from orderloom.llm.common import released_shuffles, settle
 from orderloom.llm.components import components
 
 from .helpers import documents, empty, rows_of, words
@@ -222,3 +226,45 @@ def test_finer_anchors_give_the_same_components(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LARGE_ROWS", 100)
     assert rows_of(simhash.near_duplicates(documents(spark, texts))) == want
     assert len({r[2] for r in want}) < 400
+
+
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f.name for d in folders for f in Path(d.getPath()).rglob("shuffle_*")}
+
+
+def left_after(spark, before, seconds=20):
+    """Shuffle files that are more than those of ``before``; removal runs in the background."""
+    end = time.time() + seconds
+    while (left := shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.2)
+    return left
+
+
+def test_settled_steps_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    sums = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n"))
+    once, again = settle(sums), settle(sums)
+    assert rows_of(once) == rows_of(again) == [(k, sum(range(k, 1000, 7))) for k in range(7)]
+    assert left_after(spark, before) == set()
+    rng = np.random.default_rng(21)
+    own = words(rng, 90)
+    kept = simhash.one_of_each(documents(spark, [own, own + " more", words(rng, 90)]))
+    assert left_after(spark, before) == set()
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
+
+
+def test_tables_outside_keep_their_shuffle_files(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(name, None)
+    with pytest.raises(ValueError), released_shuffles(spark):
+        assert spark.conf.get(name) == "true"
+        raise ValueError
+    assert spark.conf.get(name, None) == held
+    before = shuffle_files(spark)
+    counted = spark.range(100).groupBy((F.col("id") % 3).alias("k")).count()
+    first = rows_of(counted)
+    own = shuffle_files(spark) - before
+    settle(counted)
+    assert own and own <= shuffle_files(spark)
+    assert rows_of(counted) == first
