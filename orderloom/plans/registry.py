@@ -40,7 +40,14 @@ FIGURE_COLUMNS = (
     " asn_qty gr_qty dashboard_status"
 ).split()
 GROUP_COLUMNS = "purchase_order material_group_text supplier po_deletion_code material_group plant spend".split()
-DASHBOARD_COLUMNS = [*dict.fromkeys([*SUPPLIER_COLUMNS, *GROUP_COLUMNS, "creation_date"])]
+CHART_COLUMNS = {
+    "status_distribution": FIGURE_COLUMNS,
+    "spend_timeline": FIGURE_COLUMNS,
+    "top_suppliers": SUPPLIER_COLUMNS,
+    "spend_by_material_group": GROUP_COLUMNS,
+    "supplier_risk": SUPPLIER_COLUMNS,
+}
+DASHBOARD_COLUMNS = [*dict.fromkeys(c for columns in CHART_COLUMNS.values() for c in columns)]
 LINE_COLUMNS = (
     "purchase_order purchase_order_item customer_po customer_pr customer_pr_item purchasing_org supplier supplier_name creation_date"
     " document_currency po_deletion_code material material_name plant requisitioner purchase_requisition item_deletion_code order_qty"
@@ -241,8 +248,8 @@ _on_mart("top_suppliers", lists.top_suppliers, columns=SUPPLIER_COLUMNS)
 _on_mart("top_material_groups", lists.top_material_groups, columns=GROUP_COLUMNS)
 _on_mart("top_supplier_risk", lists.top_supplier_risk, columns=SUPPLIER_COLUMNS)
 _on_mart("chart_series", lambda m: lists.chart_series(lists.labelled_suppliers(m)), columns=SUPPLIER_COLUMNS)
-for _name in ("status_distribution", "spend_timeline", "top_suppliers", "spend_by_material_group", "supplier_risk"):
-    _on_mart(f"dashboard_{_name}", lambda m, name=_name: lists.dashboard(m)[name], columns=DASHBOARD_COLUMNS)
+for _name, _columns in CHART_COLUMNS.items():
+    _on_mart(f"dashboard_{_name}", lambda m, name=_name: lists.dashboard(m, [name])[name], columns=_columns)
 _on_mart("list_suppliers", lists.list_suppliers, columns=SUPPLIER_COLUMNS)
 _on_mart("list_supplier_risk", lists.list_supplier_risk, columns=SUPPLIER_COLUMNS)
 _on_mart("trend", lists.trend, columns=FIGURE_COLUMNS)

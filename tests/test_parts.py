@@ -7,6 +7,7 @@ import os
 
 import pytest
 
+from orderloom.operators import lists
 from orderloom.operators.fact import FACT_COLUMNS, RawInputs, build_fact, narrowed
 from orderloom.operators.mart import MART_COLUMNS, build_mart
 from orderloom.plans import registry
@@ -85,6 +86,22 @@ def test_only_needed_inputs_are_joined(inputs):
     assert len([line for line in text.splitlines() if "Join" in line]) == 2
 
 
+@pytest.mark.parametrize("name", ["status_distribution", "spend_timeline", "top_suppliers", "spend_by_material_group", "supplier_risk"])
+def test_a_chart_needs_its_columns_only(spark, sf_dir, whole, name):
+    """Each chart of the overview page runs on the columns that its query stores, in an application that has stored no others."""
+    mart = whole["mart_po_item"]
+    figures = rows_of(lists.dashboard(mart, [name])[name])
+    assert figures == rows_of(lists.dashboard(mart)[name]) == rows_of(lists.dashboard(mart.select(*registry.CHART_COLUMNS[name]), [name])[name])
+    fresh = Workspace(spark, sf_dir)
+    build, opened = registry.registered()[f"dashboard_{name}"], registry.workspace
+    registry.workspace = lambda *_: fresh
+    try:
+        assert build(spark, sf_dir).collect()
+    finally:
+        registry.workspace = opened
+    assert "raw_gr" not in stored(fresh)
+
+
 def stored(w):
     return {name for folder, names, _ in os.walk(w.store.root) for name in names if name.startswith(("raw_", "fact_", "mart_", "pr_", "po_"))}
 
