@@ -5,12 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import released_shuffles
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,21 +37,6 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@contextmanager
-def released_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Tables made inside lose their shuffle files as soon as they are computed, not when the driver forgets them.
-
-    Only for tables that are computed once: a second run shuffles again.
-    """
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    held = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if held is None else spark.conf.set(name, held)
-
-
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, survives lost executors, leaves no shuffle files."""
     shared_folder(df.sparkSession)

@@ -200,7 +200,7 @@ _register(
     lambda w: fact.material_names(w.table("raw_material")).withColumnRenamed("master_name", "material_name"),
 )
 _register("po_item_status", lambda w: w.fact().select(*_LINE, "order_qty", "system_status"))
-_register("fact_po_item", lambda w: w.fact())
+_register("fact_po_item", lambda w: w.lines("fact_po_item") or w.fact())
 _register("key_report", lambda w: fact.key_report(w.raw_inputs()))
 
 # Mart and overrides -----------------------------------------------------------
@@ -221,7 +221,7 @@ def _override_changes(w: Workspace) -> DataFrame:
 
 
 _register(
-    "mart_po_item", lambda w: mart.build_mart(w.fact(), w.table("po_item_overrides"))
+    "mart_po_item", lambda w: w.lines("mart_po_item") or mart.build_mart(w.fact(), w.table("po_item_overrides"))
 )
 _register("override_upsert", lambda w: mart.upsert_overrides(w.table("po_item_overrides"), _override_changes(w)))
 _register("override_delete", lambda w: mart.delete_overrides(w.table("po_item_overrides"), _override_changes(w)))

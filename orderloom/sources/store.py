@@ -27,6 +27,9 @@ from .schemas import OVERRIDES, struct_of
 
 OVERRIDE_KEYS = ["purchase_order", "purchase_order_item"]
 
+# Smaller files than those of Spark's default, for some more CPU time.
+COMPRESSION = "zstd"
+
 # Columns of the run log, and the characters of a summary.
 SUMMARY_WIDTH = 120
 RUN_COLUMNS = {
@@ -62,21 +65,28 @@ class TableStore:
     def path(self, run_id: str, table: str) -> str:
         return f"{self.root}/runs/{run_id}/{table}"
 
-    def write(self, df: DataFrame, run_id: str, table: str, layout: Layout | list[str] | None = None) -> DataFrame:
-        """Write a table of a run and return it as read back.
+    def write(
+        self, df: DataFrame, run_id: str, table: str, layout: Layout | list[str] | None = None, append: bool = False
+    ) -> DataFrame:
+        """Write a table of a run, or with ``append`` more rows of it, and return it as read back.
 
         A ``layout`` places the rows, by one more shuffle, so that filters on its columns
         read little; a list of columns orders them inside each file only, without one.  An
         empty input keeps its schema.
         """
-        options, placed = {}, df
+        options, placed = {"compression": COMPRESSION}, df
         if isinstance(layout, Layout):
-            options, placed = layout.options(), layout.place(df)
+            options, placed = options | layout.options(), layout.place(df)
         elif layout:
             placed = df.sortWithinPartitions(*layout)
-        placed.write.mode("overwrite").options(**options).parquet(self.path(run_id, table))
+        placed.write.mode("append" if append else "overwrite").options(**options).parquet(self.path(run_id, table))
         return self.read(table, run_id)
 
+    def drop(self, path: str = "") -> None:
+        """Remove a folder of the store, or all of it, that nobody reads any more."""
+        where, files = self._at(path) if path else self._at(".")
+        files.delete(where, True)
+
     def read(self, table: str, run_id: str | None = None) -> DataFrame:
         run_id = run_id or self.current_run()
         if run_id is None:
