@@ -109,13 +109,18 @@ def dataset(
     return top_rows(rows, ["-creation_date", "-purchase_order", "purchase_order_item"], limit)
 
 
+def prefix_table(prefix: str) -> str:
+    """The raw table that ``prefix_lookup`` reads."""
+    return "raw_po_header" if prefix.startswith(CUSTOMER_PO_SERIES) else "raw_po_item"
+
+
 def prefix_lookup(header: DataFrame, items: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
     """Raw rows whose customer reference starts with ``prefix``.
 
     The customer order series is looked up on the header, anything else among the
     item requisitions.
     """
-    if prefix.startswith(CUSTOMER_PO_SERIES):
+    if prefix_table(prefix) == "raw_po_header":
         field, rows = "CorrespncExternalReference", header.select(
             "PurchaseOrder", "CorrespncExternalReference", "Supplier"
         )

@@ -266,14 +266,17 @@ _on_mart("search_customer_pr", search.search, FIND_PR, columns=LINE_COLUMNS)
 _on_mart("search_generic", search.search, FIND_TEXT, columns=LINE_COLUMNS)
 _on_mart("dataset_all", search.dataset, columns=mart.MART_COLUMNS)
 _on_mart("dataset_filtered", search.dataset, **DATASET_FILTERS, columns=mart.MART_COLUMNS)
-_register(
-    "prefix_lookup",
-    lambda w: search.prefix_lookup(w.index("raw_po_header"), w.index("raw_po_item"), FIND_PO),
-)
-_register(
-    "prefix_lookup_item",
-    lambda w: search.prefix_lookup(w.index("raw_po_header"), w.index("raw_po_item"), FIND_PR),
-)
+
+
+def _prefix_lookup(w: Workspace, prefix: str) -> DataFrame:
+    """Only the index of the table that the prefix is looked up in is stored; nothing reads the other table."""
+    indexed = search.prefix_table(prefix)
+    header, items = [w.index(t) if t == indexed else w.once(t) for t in ("raw_po_header", "raw_po_item")]
+    return search.prefix_lookup(header, items, prefix)
+
+
+_register("prefix_lookup", lambda w: _prefix_lookup(w, FIND_PO))
+_register("prefix_lookup_item", lambda w: _prefix_lookup(w, FIND_PR))
 _on_mart("mart_row_count", lambda m: m.agg(views.lines_count().alias("rows")), columns=FIGURE_COLUMNS)
 
 # Client-side operations -------------------------------------------------------
