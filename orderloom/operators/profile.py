@@ -33,12 +33,12 @@ FILL_COLUMNS = {
 }
 
 
-def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows and columns per table; the counts read no column."""
+def table_inventory(tables: Mapping[str, DataFrame], widths: Mapping[str, int] | None = None) -> DataFrame:
+    """Rows and columns per table; the counts read no column.  ``widths``: columns of tables of which some are given."""
     inventory = None
     for name, df in tables.items():
         row = df.agg(lines_count().alias("rows")).withColumns(
-            {"table_name": F.lit(name), "columns": F.lit(len(df.columns))}
+            {"table_name": F.lit(name), "columns": F.lit((widths or {}).get(name, len(df.columns)))}
         )
         inventory = row if inventory is None else inventory.unionByName(row)
     return inventory.select("table_name", "rows", "columns")
