@@ -10,8 +10,9 @@ import pytest
 from orderloom.operators import lists
 from orderloom.operators.fact import FACT_COLUMNS, RawInputs, build_fact, narrowed
 from orderloom.operators.mart import MART_COLUMNS, build_mart
+from orderloom.plans import refresh as refreshing
 from orderloom.plans import registry
-from orderloom.plans.refresh import refresh, refresh_columns
+from orderloom.plans.refresh import refresh, refresh_columns, sliced, write_sliced
 from orderloom.plans.workspace import Workspace
 from orderloom.sources.store import TableStore
 
@@ -117,3 +118,59 @@ def test_a_query_stores_no_more_than_it_reads(spark, sf_dir):
     some = [c for c in MART_COLUMNS if c in registry.GROUP_COLUMNS]
     assert rows_of(w.table("mart_po_item").select(*some)) == rows_of(figures)
     assert "raw_po_item_by_PurchaseRequisition" in stored(w)
+
+
+@pytest.mark.parametrize("table", ["fact_po_item", "mart_po_item"])
+def test_slices_of_orders_give_the_rows_of_the_whole(spark, inputs, overrides, whole, tmp_path, table):
+    """Lines without an order, repeated lines and headers included; a slice's header and items go with it."""
+    store = TableStore(spark, str(tmp_path))
+    columns = FACT_COLUMNS if table == "fact_po_item" else MART_COLUMNS
+    result = refresh_columns(store, inputs, table, columns, overrides, slices=5)
+    assert rows_of(store.read(table, result.run_id)) == rows_of(whole[table])
+    assert result.counts == {"raw_po_header": 4, "raw_po_item": 5, table: whole[table].count()}
+    assert os.listdir(f"{store.root}/runs/{result.run_id}") == [table]
+
+
+def test_a_table_is_stored_in_slices(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    rows = spark.createDataFrame([(None if i % 7 == 0 else str(i % 5), i) for i in range(60)], "PurchaseOrder string, n int")
+    parts = [rows_of(sliced(rows, k, 4)) for k in range(4)]
+    assert len({r[0] for p in parts for r in p}) == sum(len({r[0] for r in p}) for p in parts) == 6
+    assert rows_of(write_sliced(store, rows.repartition("n"), "first", "rows", 4)) == rows_of(rows) == sorted(sum(parts, []), key=repr)
+    store.drop()
+    assert not os.path.exists(store.root)
+
+
+def shuffle_files(spark):
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f"{at}/{name}" for top in folder for at, _, names in os.walk(top) for name in names if name.startswith("shuffle_")}
+
+
+def test_storing_leaves_no_shuffle_files(spark, inputs, overrides, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    before = shuffle_files(spark)
+    refresh_columns(store, inputs, "mart_po_item", MART_COLUMNS, overrides, slices=2)
+    assert not shuffle_files(spark) - before
+
+
+LARGE = {
+    "core_sample_rows": set(), "core_schema_profile": set(), "core_null_profile": set(),
+    "prefix_lookup": {"raw_po_header_by_CorrespncExternalReference"}, "prefix_lookup_item": {"raw_po_item_by_PurchaseRequisition"},
+    "dataset_all": {"mart_po_item"}, "dataset_filtered": {"mart_po_item"}, "sample_rows": {"mart_po_item"}, "restricted_projection": {"mart_po_item"},
+    "table_inventory": {"fact_po_item", "mart_po_item", "raw_po_header", "raw_po_item"}, "fact_po_item": {"fact_po_item"}, "mart_po_item": {"mart_po_item"}, "ingest_odd_items": {"raw_po_item"},
+}
+
+
+@pytest.mark.parametrize("key", LARGE)
+def test_queries_of_large_inputs_hold_little(spark, sf_dir, monkeypatch, key):
+    """The rows are those of an input that is not large; what is left stored is what the result reads."""
+    expected = rows_of(registry.registered()[key](spark, sf_dir))
+    w = Workspace(spark, sf_dir)
+    monkeypatch.setattr(refreshing, "SLICE_BYTES", 50_000)
+    monkeypatch.setattr(registry, "workspace", lambda *_: w)
+    assert w.slices > 1
+    assert rows_of(registry.registered()[key](spark, sf_dir)) == expected
+    assert stored(w) == LARGE[key]
+    if key == "ingest_odd_items":
+        assert w.table("raw_po_item", ["Plant"]).columns == ["PurchaseOrder", "PurchaseOrderItem", "Plant", "OrderQuantity", "NetAmount"]
+        assert all(n.endswith((".gz", ".crc")) for n in os.listdir(w.output("odd_items")) if "part-" in n)
